@@ -168,7 +168,7 @@ def _events_sql(site, threshold=0.0):
     return with_station(
         f", f AS (SELECT *, {STRENGTH} AS s, sum(CASE WHEN {STRENGTH} > {threshold} THEN 0 ELSE 1 END) OVER {_over(site)} AS run FROM st) "
         f"SELECT {site}, min({TIME}) AS start_time, max({TIME}) AS end_time, count(*) AS n_steps, "
-        f"{r(f'(epoch_us(max({TIME})) - epoch_us(min({TIME}))) / 3600000000.0', 'elapsed_hours')}, {r('max(s)', 'max_inversion_strength')}, "
+        f"(epoch_us(max({TIME})) - epoch_us(min({TIME}))) / 3600000000.0 AS elapsed_hours, {r('max(s)', 'max_inversion_strength')}, "
         f"{r('avg(s)', 'avg_inversion_strength')}, CASE (CASE WHEN month(min({TIME})) IN (12, 1, 2) THEN 0 WHEN month(min({TIME})) <= 5 THEN 1 "
         f"WHEN month(min({TIME})) <= 8 THEN 2 ELSE 3 END) WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'fall' END AS season "
         f"FROM f WHERE s > {threshold} GROUP BY {site}, run"

@@ -87,7 +87,7 @@ def _gaps_sql(site):
 
 def _periods_sql(site):
     return with_station(
-        f", {_steps_sql(site)} SELECT {site}, cast(period AS bigint) AS period, start_date, end_date, {r('us / 3600000000.0', 'duration_hours')}, record_count FROM p"
+        f", {_steps_sql(site)} SELECT {site}, cast(period AS bigint) AS period, start_date, end_date, us / 3600000000.0 AS duration_hours, record_count FROM p"
     )
 
 
@@ -96,9 +96,9 @@ def _completeness_sql(site):
         f", {_steps_sql(site)}, t AS (SELECT {site}, count(*) AS periods, epoch_us(max(end_date)) - epoch_us(min(start_date)) AS span, "
         f"sum(us) AS data, first(us ORDER BY us DESC, start_date) AS lus, first(start_date ORDER BY us DESC, start_date) AS longest_start, "
         f"first(end_date ORDER BY us DESC, start_date) AS longest_end FROM p GROUP BY {site}) "
-        f"SELECT {site}, periods, {r('span / 3600000000.0', 'span_hours')}, {r('data / 3600000000.0', 'data_hours')}, "
-        f"{r('(span - data) / 3600000000.0', 'gap_hours')}, {r('data * 100.0 / nullif(span, 0)', 'completeness_pct')}, "
-        f"{r('lus / 3600000000.0', 'longest_hours')}, longest_start, longest_end FROM t"
+        f"SELECT {site}, periods, span / 3600000000.0 AS span_hours, data / 3600000000.0 AS data_hours, "
+        f"(span - data) / 3600000000.0 AS gap_hours, {r('data * 100.0 / nullif(span, 0)', 'completeness_pct')}, "
+        f"lus / 3600000000.0 AS longest_hours, longest_start, longest_end FROM t"
     )
 
 
@@ -117,7 +117,7 @@ def _chunks_cte(site):
 
 EXTENT_SQL = (
     f"min(n) AS start_row, max(n) AS end_row, min({TIME}) AS start_time, max({TIME}) AS end_time, count(*) AS n_rows, "
-    + r(f"(epoch_us(max({TIME})) - epoch_us(min({TIME}))) / 3600000000.0", "span_hours")
+    f"(epoch_us(max({TIME})) - epoch_us(min({TIME}))) / 3600000000.0 AS span_hours"
 )
 
 
