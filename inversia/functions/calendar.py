@@ -15,11 +15,11 @@ SEASON_OF_MONTH = (0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 0)
 
 
 def season_code(month: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in SEASON_OF_MONTH]), month)
+    return F.get(F.array(*[F.lit(c) for c in SEASON_OF_MONTH]), month - 1)
 
 
 def season_name(month: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEASONS]), season_code(month) + 1)
+    return F.get(F.array(*[F.lit(s) for s in SEASONS]), season_code(month))
 
 
 def calendar_parts(ts: Column) -> dict[str, Column]:

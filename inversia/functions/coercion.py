@@ -26,8 +26,8 @@ def number(col: Column) -> Column:
 
 
 def finite(col: Column) -> Column:
-    """Null for NaN and both infinities."""
-    return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), col)
+    """Null for NaN and both infinities (Spark orders NaN above infinity)."""
+    return F.when(F.abs(col) < F.lit(float("inf")), col)
 
 
 def existing(df: DataFrame, columns: Iterable[str]) -> list[str]:

@@ -29,7 +29,7 @@ def strength_code(strength: Column) -> Column:
 
 def strength_label(strength: Column) -> Column:
     names = F.array(*[F.lit(n) for n in STRENGTH_CLASSES])
-    return F.element_at(names, strength_code(strength).cast("int") + 1)
+    return F.get(names, strength_code(strength).cast("int"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -23,92 +23,111 @@ ROLLING = (3, 6, 12)
 HORIZONS = (1, 3, 6, 12)
 
 
-def lag_columns(columns: Sequence[str], w: WindowSpec, lags: Sequence[int] = LAGS) -> dict[str, Column]:
-    return {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags}
+class Frames:
+    """Window values of one ordered window, each named and computed once.
 
+    Features ask for lags, leads and frame statistics and combine the returned columns; shared
+    values (a lag that is also a difference, the count that guards four statistics) are so one
+    window function."""
 
-def target_columns(columns: Sequence[str], w: WindowSpec, horizons: Sequence[int] = HORIZONS) -> dict[str, Column]:
-    return {f"{c}_target_{h}h": F.lead(c, h).over(w) for c in columns for h in horizons}
+    def __init__(self, w: WindowSpec):
+        self.w = w
+        self.raw: dict[str, Column] = {}
 
+    def _value(self, name: str, make) -> Column:
+        if name not in self.raw:
+            self.raw[name] = make()
+        return F.col(name)
 
-def rolling_columns(columns: Sequence[str], w: WindowSpec, sizes: Sequence[int] = ROLLING) -> dict[str, Column]:
-    """Statistics of the last n rows, null unless all n are known, and the change over n rows."""
-    out: dict[str, Column] = {}
-    for c in columns:
-        for n in sizes:
-            frame = w.rowsBetween(-(n - 1), 0)
-            full = F.count(c).over(frame) == n
-            for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-                out[f"{c}_rolling_{name}_{n}"] = F.when(full, agg(c).over(frame))
-            out[f"{c}_rolling_change_{n}"] = F.col(c) - F.lag(c, n).over(w)
-    return out
+    def lag(self, c: str, k: int = 1) -> Column:
+        return self._value(f"_lag_{k}_{c}", lambda: F.lag(c, k).over(self.w))
+
+    def lead(self, c: str, k: int) -> Column:
+        return self._value(f"_lead_{k}_{c}", lambda: F.lead(c, k).over(self.w))
+
+    def last_rows(self, name: str, agg, c: str, n: int) -> Column:
+        return self._value(f"_{name}_{n}_{c}", lambda: agg(c).over(self.w.rowsBetween(-(n - 1), 0)))
+
+    def step(self, c: str, k: int = 1) -> Column:
+        return F.col(c) - self.lag(c, k)
 
+    def second_step(self, c: str) -> Column:
+        """Difference of differences, written out so that windows do not nest."""
+        return (F.col(c) - self.lag(c, 1)) - (self.lag(c, 1) - self.lag(c, 2))
 
-def step(c: str, w: WindowSpec, k: int = 1) -> Column:
-    return F.col(c) - F.lag(c, k).over(w)
+    def turn(self, c: str) -> Column:
+        """Direction change wrapped to (-180, 180]."""
+        d = self.step(c)
+        return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
 
 
-def second_step(c: str, w: WindowSpec) -> Column:
-    """Difference of differences, written out so that windows do not nest."""
-    one = F.lag(c, 1).over(w)
-    return (F.col(c) - one) - (one - F.lag(c, 2).over(w))
+def lag_columns(columns: Sequence[str], f: Frames, lags: Sequence[int] = LAGS) -> dict[str, Column]:
+    return {f"{c}_lag_{k}": f.lag(c, k) for c in columns for k in lags}
 
 
-def turn(c: str, w: WindowSpec) -> Column:
-    """Direction change wrapped to (-180, 180]."""
-    d = step(c, w)
-    return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
+def target_columns(columns: Sequence[str], f: Frames, horizons: Sequence[int] = HORIZONS) -> dict[str, Column]:
+    return {f"{c}_target_{h}h": f.lead(c, h) for c in columns for h in horizons}
+
+
+def rolling_columns(columns: Sequence[str], f: Frames, sizes: Sequence[int] = ROLLING) -> dict[str, Column]:
+    """Statistics of the last n rows, null unless all n are known, and the change over n rows."""
+    out: dict[str, Column] = {}
+    for c in columns:
+        for n in sizes:
+            full = f.last_rows("count", F.count, c, n) == n
+            for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
+                out[f"{c}_rolling_{name}_{n}"] = F.when(full, f.last_rows(name, agg, c, n))
+            out[f"{c}_rolling_change_{n}"] = f.step(c, n)
+    return out
 
 
-def difference_columns(have: Sequence[str], w: WindowSpec) -> dict[str, Column]:
+def difference_columns(have: Sequence[str], f: Frames) -> dict[str, Column]:
     """First and second differences of the sensors that are present."""
     rules = {
-        "TAIR": {
-            "temp_change_1h": lambda c: step(c, w),
-            "temp_change_3h": lambda c: step(c, w, 3),
-            "temp_acceleration": lambda c: second_step(c, w),
-        },
-        "PRES": {
-            "pressure_tendency_1h": lambda c: step(c, w),
-            "pressure_tendency_3h": lambda c: step(c, w, 3) / 3,
-            "pressure_acceleration": lambda c: second_step(c, w),
-        },
-        "WSPD": {"wind_speed_change": lambda c: step(c, w)},
-        "WDIR": {"wind_direction_change": lambda c: turn(c, w)},
-        "SRAD": {"solar_rad_change": lambda c: step(c, w)},
-        "RELH": {"humidity_change": lambda c: step(c, w)},
-        "ST02": {"soil_temp_change_02": lambda c: step(c, w)},
-        "ST04": {"soil_temp_change_04": lambda c: step(c, w)},
+        "temp_change_1h": ("TAIR", f.step),
+        "temp_change_3h": ("TAIR", lambda c: f.step(c, 3)),
+        "temp_acceleration": ("TAIR", f.second_step),
+        "pressure_tendency_1h": ("PRES", f.step),
+        "pressure_tendency_3h": ("PRES", lambda c: f.step(c, 3) / 3),
+        "pressure_acceleration": ("PRES", f.second_step),
+        "wind_speed_change": ("WSPD", f.step),
+        "wind_direction_change": ("WDIR", f.turn),
+        "solar_rad_change": ("SRAD", f.step),
+        "humidity_change": ("RELH", f.step),
+        "soil_temp_change_02": ("ST02", f.step),
+        "soil_temp_change_04": ("ST04", f.step),
     }
-    return {name: make(c) for c in have if c in rules for name, make in rules[c].items()}
+    return {name: make(c) for name, (c, make) in rules.items() if c in have}
 
 
 def add_windowed(df: DataFrame, spec: SeriesSpec, build, lookback: int = 0, lookahead: int = 0) -> DataFrame:
-    """Add the columns ``build(window) -> {name: Column}``; frames may reach ``lookback`` rows
+    """Add the columns ``build(frames) -> {name: Column}``; frames may reach ``lookback`` rows
     back and ``lookahead`` rows forward."""
     layout = plan_layout(df, spec)
     rows = layout.spread(df, lookback, lookahead)
-    added = build(layout.window)
-    return layout.own(rows.select("*", *[c.alias(n) for n, c in added.items()]))
+    frames = Frames(layout.window)
+    added = build(frames)
+    valued = layout.own(rows.select("*", *[c.alias(n) for n, c in frames.raw.items()]))
+    return valued.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
 def add_lags(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], lags: Sequence[int] = LAGS) -> DataFrame:
     cols = existing(df, columns)
-    return add_windowed(df, spec, lambda w: lag_columns(cols, w, lags), lookback=max(lags))
+    return add_windowed(df, spec, lambda f: lag_columns(cols, f, lags), lookback=max(lags))
 
 
 def add_targets(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:
     cols = existing(df, columns)
-    return add_windowed(df, spec, lambda w: target_columns(cols, w, horizons), lookahead=max(horizons))
+    return add_windowed(df, spec, lambda f: target_columns(cols, f, horizons), lookahead=max(horizons))
 
 
 def add_rolling(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], sizes: Sequence[int] = ROLLING) -> DataFrame:
     cols = existing(df, columns)
-    return add_windowed(df, spec, lambda w: rolling_columns(cols, w, sizes), lookback=max(sizes))
+    return add_windowed(df, spec, lambda f: rolling_columns(cols, f, sizes), lookback=max(sizes))
 
 
 def add_differences(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return add_windowed(df, spec, lambda w: difference_columns(df.columns, w), lookback=3)
+    return add_windowed(df, spec, lambda f: difference_columns(df.columns, f), lookback=3)
 
 
 def inversion_events(df: DataFrame, spec: SeriesSpec, strength: Column, threshold: float = 0.0) -> DataFrame:

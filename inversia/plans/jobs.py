@@ -27,52 +27,63 @@ STATION = SeriesSpec((SITE,), TIME)
 CORE = ("TAIR", "DWPT", "PRES", "RELH", "WSPD", "SRAD", "VT05", "VT20", "VT90", "VT_inversion_90_05")
 FORECAST = ("VT20", "VT90", "VT_inversion_90_20", "VT_inversion_90_05", "TAIR")
 FORECAST_TARGETS = {"VT20": "VT20_target_1h", "VT90": "VT90_target_1h", "VT_diff": "VT_inversion_90_20_target_1h"}
+# Derived columns that divide by a sensor; only these can leave the finite numbers by themselves.
+QUOTIENTS = {"VT20_VT90_ratio", "potential_temp", "virtual_temp_calc"}
+# Row-wise columns whose far quantiles are capped.
+CAPPED = (
+    "VT20_VT90_ratio", "VT_profile_curvature", "temp_dewpoint_spread", "wind_u", "wind_v",
+    "potential_temp", "sat_vapor_pressure", "vapor_pressure", "virtual_temp_calc",
+)
 TEST_SHARE = 0.2
 
 
 def build_features(df: DataFrame, spec: SeriesSpec = STATION) -> DataFrame:
     """The full feature table: about 280 columns, one shuffle on the site.
 
-    Extremes are cleaned on the row-wise columns, before the window pass: a lag, a mean or a
-    difference of finite values below the trigger cannot pass it. Only if a sensor holds such
-    values is the wide table itself checked."""
+    Extremes are looked for in the row-wise columns, before the window pass: a lag, a mean or a
+    difference of values below the trigger cannot pass it. Only if a column holds such values
+    are the tables cleaned column by column."""
     have = df.columns
-    rowwise = df.withColumns(
-        {
-            **calendar_parts(F.col(spec.ts)),
-            **season_columns(F.col(spec.ts)),
-            **cyclic_columns(F.col(spec.ts)),
-            **inversion_columns(have),
-            **surface_columns(have),
-            **soil_columns(have),
-            **physics_columns(have),
-            **interaction_columns(have),
-        }
-    )
-    rowwise = filters.numeric_only(rowwise, (*spec.site, spec.ts, COUNTY, *spec.tiebreak))
+    ids = (*spec.site, spec.ts, COUNTY, *spec.tiebreak)
+    typed = filters.numeric_only(df, ids)
+    sensors = [f.name for f in typed.schema.fields if f.dataType.simpleString() in ("double", "float")]
+    base = typed.select(*[finite(F.col(c)).alias(c) if c in sensors else F.col(c) for c in typed.columns])
+    derived = {
+        **calendar_parts(F.col(spec.ts)),
+        **season_columns(F.col(spec.ts)),
+        **cyclic_columns(F.col(spec.ts)),
+        **inversion_columns(have),
+        **surface_columns(have),
+        **soil_columns(have),
+        **physics_columns(have),
+        **interaction_columns(have),
+    }
+    rowwise = base.select("*", *[(finite(c) if n in QUOTIENTS else c).alias(n) for n, c in derived.items()])
     numeric = [f.name for f in rowwise.schema.fields if f.dataType.simpleString() in ("double", "float")]
-    rowwise = rowwise.withColumns({c: finite(F.col(c)) for c in numeric})
     peak = rowwise.agg(F.greatest(*[F.max(F.abs(c)) for c in numeric], F.lit(0.0))).first()[0]
+    wild = not peak * 4 <= 1e10
     core = existing(rowwise, CORE)
     forecast = existing(rowwise, FORECAST)
 
-    def build(w):
+    def build(f: windows.Frames):
         return {
-            **windows.difference_columns(have, w),
-            **windows.lag_columns(core, w),
-            **windows.rolling_columns(core, w),
-            **windows.target_columns(forecast, w),
+            **windows.difference_columns(have, f),
+            **windows.lag_columns(core, f),
+            **windows.rolling_columns(core, f),
+            **windows.target_columns(forecast, f),
         }
 
-    if peak * 4 > 1e10:
-        capped = [c for c in numeric if c not in have]
-        rowwise = windows.clean_extremes(rowwise, numeric, capped)
+    never = float("inf")
+    if wild:
+        rowwise = windows.clean_extremes(rowwise, CAPPED, CAPPED, any_trigger=never)
     wide = windows.add_windowed(
         rowwise, spec, build, lookback=max(windows.ROLLING), lookahead=max(windows.HORIZONS)
     )
-    if peak * 4 > 1e10:
+    if wild:
+        steps = list(windows.difference_columns(have, windows.Frames(spec.window())))
+        wide = windows.clean_extremes(wide, steps, steps, any_trigger=never)
         reals = [f.name for f in wide.schema.fields if f.dataType.simpleString() in ("double", "float")]
-        wide = windows.clean_extremes(wide, reals, list(windows.difference_columns(have, spec.window())))
+        wide = windows.clean_extremes(wide, reals)
     return wide
 
 
@@ -174,7 +185,7 @@ def forecast_job(
             try:
                 _, predictions = ml.train_all(train, test, spec, rounds, depth, folds, stack)
                 parts.append(
-                    predictions.select(F.lit(name).alias("site"), F.lit(label).alias("target"), "model", *spec.keys, "label", "prediction")
+                    predictions.select(F.lit(name).alias("site"), F.lit(label).alias("target"), "model", *spec.order, "label", "prediction")
                 )
             finally:
                 train.unpersist()
@@ -237,7 +248,7 @@ def significance_job(
     table = filters.difference_targets(df)
     large = filters.large_sites(table, spec.site, more_than)
     names = sites if sites is not None else [r[0] for r in large.select(site).distinct().orderBy(site).collect()]
-    skip = {"TAIR", "VT20", "VT90", *targets} if exclude_inputs else set()
+    skip = {"TAIR", "VT20", "VT90", "TAIR_VT20", "VT90_VT20"} if exclude_inputs else set()
     reports, comparisons = [], []
     for target in targets:
         columns = [c for c in filters.all_but(table, target, (*filters.ID_COLUMNS, *spec.keys)) if c not in skip]
