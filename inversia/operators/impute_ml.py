@@ -26,6 +26,7 @@ from inversia.operators.modeling import scores
 from inversia.operators.quality import gap_analysis
 from inversia.operators.quantiles import quantile_table
 from inversia.operators.windows import add_lags
+from inversia.plans.layout import settled
 from inversia.plans.series import SeriesSpec
 from inversia.session import shared_folder
 
@@ -173,6 +174,7 @@ def fill_gaps(
     table is checkpointed to the shared folder, so lineage does not grow with the variables."""
     wanted = existing(df, variables if variables is not None else sensors)
     df = df.withColumns({c: number(F.col(c)) for c in wanted}) if wanted else df
+    spec = settled(df, spec)  # fills change values, never rows
     if method == "auto":
         plan = choose_methods(df, spec, wanted, type_aware)
     else:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from inversia.operators.quantiles import exact_quantiles
 from inversia.plans.layout import plan_layout
-from inversia.plans.series import SeriesSpec
+from inversia.plans.series import ROWS_PER_CHUNK, SeriesSpec
 
-MAX_AXIS = 1_000_000
+MAX_AXIS = 200_000
 RAIN_NAMES = ("ppt", "precipitation")
 
 
@@ -58,30 +58,21 @@ def _nearest_by_search(points: DataFrame, column: str, name: str, axis: list) ->
 
 
 def _nearest_by_order(points: DataFrame, column: str, name: str, axis: DataFrame, rows_per_chunk: int) -> DataFrame:
-    """Merge points and axis in coordinate order and take the nearer neighbour. Works for any
-    axis length; the merged order is cut into chunks like a long series."""
-    spec = SeriesSpec((), "_v", ("_i",), rows_per_chunk=rows_per_chunk)
-    both = points.withColumns(
-        {"_v": F.col(column).cast("double"), "_i": F.lit(None).cast("bigint"), "_mark": F.lit(None).cast("double")}
-    ).unionByName(
-        axis.select("_v", F.col("_i").cast("bigint").alias("_i"), F.col("_v").alias("_mark")), allowMissingColumns=True
-    )
-    both = both.withColumn("_hit", F.when(F.col("_mark").isNotNull(), F.struct("_mark", "_i")))
-    known = both.where(F.col("_v").isNotNull())
-    layout = plan_layout(known, spec)
-    near = layout.own(layout.carry(layout.spread(known), ["_hit"])).where(F.col("_mark").isNull())
+    """Merge the distinct coordinates of the points with the axis in order and take the nearer
+    neighbour; then look each point's coordinate up. Works for any axis length: the merged order
+    is cut into chunks like a long series, and a coordinate that many points share is one row."""
+    spec = SeriesSpec((), "_v", rows_per_chunk=rows_per_chunk)
+    asked = points.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    hits = axis.select("_v", F.struct(F.col("_v").alias("at"), F.col("_i").cast("bigint").alias("i")).alias("_hit"))
+    merged = asked.withColumn("_ask", F.lit(True)).join(hits, "_v", "full_outer")
+    layout = plan_layout(merged, spec)
+    near = layout.own(layout.carry(layout.spread(merged), ["_hit"])).where("_ask")
     low, high = F.col("_prev__hit"), F.col("_next__hit")
-    to_low, to_high = F.col("_v") - low["_mark"], high["_mark"] - F.col("_v")
-    lower = high.isNull() | (to_low < to_high) | ((to_low == to_high) & (low["_i"] < high["_i"]))
+    to_low, to_high = F.col("_v") - low["at"], high["at"] - F.col("_v")
+    lower = high.isNull() | (to_low < to_high) | ((to_low == to_high) & (low["i"] < high["i"]))
     best = F.when(low.isNotNull() & lower, low).otherwise(high)
-    helpers = ["_v", "_i", "_mark", "_hit", "_prev__hit", "_next__hit"]
-    placed = near.withColumns({f"_{name}_idx": best["_i"], f"grid_{name}": best["_mark"]}).drop(*helpers)
-    unplaced = (
-        both.where(F.col("_v").isNull())
-        .withColumns({f"_{name}_idx": F.lit(None).cast("bigint"), f"grid_{name}": F.lit(None).cast("double")})
-        .drop(*[h for h in helpers if not h.startswith(("_prev", "_next"))])
-    )
-    return placed.unionByName(unplaced)
+    found = near.select(F.col("_v").alias("_x"), best["i"].alias(f"_{name}_idx"), best["at"].alias(f"grid_{name}"))
+    return points.join(found, F.col(column).cast("double") == F.col("_x"), "left").drop("_x")
 
 
 def nearest_grid_point(
@@ -90,7 +81,7 @@ def nearest_grid_point(
     lat: str = "latitude",
     lon: str = "longitude",
     max_axis: int = MAX_AXIS,
-    rows_per_chunk: int | None = None,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add the nearest grid cell of every point: ``altitude``, ``grid_lat``, ``grid_lon`` and
     ``distance`` (degrees, not scaled with latitude)."""
@@ -101,8 +92,7 @@ def nearest_grid_point(
         if len(head) <= max_axis:
             out = _nearest_by_search(out, column, name, head)
         else:
-            limit = {} if rows_per_chunk is None else {"rows_per_chunk": rows_per_chunk}
-            out = _nearest_by_order(out, column, name, axis, **(limit or {"rows_per_chunk": SeriesSpec((), "_v").rows_per_chunk}))
+            out = _nearest_by_order(out, column, name, axis, rows_per_chunk)
     cells = grid.select(
         F.col("lat_idx").cast("bigint").alias("_lat_idx"),
         F.col("lon_idx").cast("bigint").alias("_lon_idx"),

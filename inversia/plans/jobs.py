@@ -18,7 +18,9 @@ from inversia.functions.weather import (
     surface_columns,
 )
 from inversia.operators import filters, impute, impute_ml, ml, modeling, quality, spatial, windows
+from inversia.plans.layout import settled
 from inversia.plans.series import SeriesSpec
+from inversia.session import staged
 from inversia.sources import raster, sinks
 from inversia.sources.stations import COUNTY, SITE, TIME
 
@@ -119,6 +121,7 @@ def fill_job(
 
 def continuity_report(df: DataFrame, spec: SeriesSpec = STATION, expected_s: float = 1800, tolerance_s: float = 300) -> dict[str, DataFrame]:
     """Continuous periods, gaps, and completeness."""
+    spec = settled(df, spec)
     return {
         "periods": quality.continuous_periods(df, spec, expected_s, tolerance_s),
         "gaps": quality.time_gaps(df, spec, expected_s, tolerance_s),
@@ -127,7 +130,8 @@ def continuity_report(df: DataFrame, spec: SeriesSpec = STATION, expected_s: flo
 
 
 def cleaning_job(raw: DataFrame, typed: DataFrame, spec: SeriesSpec, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """What was lost to coercion, the complete subset, and where complete data lies."""
+    """What was lost to coercion, the complete subset, and where complete data lies. ``typed`` may
+    have lost rows of ``raw`` (units rows), so the two are laid out apart."""
     log = quality.missing_log(raw, spec, columns)
     return {
         "log": log,
@@ -171,6 +175,7 @@ def forecast_job(
     """Every site and target: split, fit the boosted variants and their stack, score, pick the
     best. Sites and targets are independent Spark jobs, started one after the other."""
     site = spec.site[0]
+    features = staged(features, "features")
     names = sites if sites is not None else [r[0] for r in features.select(site).distinct().orderBy(site).collect()]
     parts = []
     for name in names:
@@ -189,7 +194,7 @@ def forecast_job(
                 )
             finally:
                 train.unpersist()
-    predictions = reduce(DataFrame.unionByName, parts)
+    predictions = staged(reduce(DataFrame.unionByName, parts), "predictions")
     results = modeling.scores(predictions, ["site", "target", "model"])
     return {"predictions": predictions, "results": results, "best": modeling.best_models(results)}
 
@@ -245,7 +250,7 @@ def significance_job(
     """Targets, profile, then per target every large enough site and all sites together: forest,
     permutation and Shapley importance; top features of every method in one report."""
     site = spec.site[0]
-    table = filters.difference_targets(df)
+    table = staged(filters.difference_targets(df), "significance")
     large = filters.large_sites(table, spec.site, more_than)
     names = sites if sites is not None else [r[0] for r in large.select(site).distinct().orderBy(site).collect()]
     skip = {"TAIR", "VT20", "VT90", "TAIR_VT20", "VT90_VT20"} if exclude_inputs else set()
@@ -287,8 +292,9 @@ def convert_rasters(
     files = raster.list_rasters(spark, path).withColumn("year", F.year("date"))
     if variable is not None:
         files = files.where(F.coalesce(F.col("variable") == variable, F.lit(True)))
-    files = spatial_choice(files, years, pattern)
-    cells = raster.decode_rasters(files, region, every)
+    files = wanted_files(files, years, pattern)
+    # decoded once: the key, the report and the list of failures all go over the cells again
+    cells = staged(raster.decode_rasters(files, region, every), "cells")
     good = cells.where(F.col("error").isNull()).drop("error")
     if grid is not None:
         good = spatial.add_altitude(good, grid)
@@ -299,7 +305,7 @@ def convert_rasters(
     return {"points": points, "failures": failures, "report": run_report(files, cells)}
 
 
-def spatial_choice(files: DataFrame, years: Sequence[int] | None, pattern: str | None) -> DataFrame:
+def wanted_files(files: DataFrame, years: Sequence[int] | None, pattern: str | None) -> DataFrame:
     """Files of the wanted years and name; unreadable names stay in so that they are reported."""
     out = files
     if years is not None:

@@ -14,8 +14,10 @@ one aggregate over the key columns. Sites that are too long are cut along time:
 Whole-series state (running sums, last known value) is computed per chunk and the chunk totals
 are scanned in a second, tiny window (``running``, ``carry``).
 
-The cut plan is bounded: at most MAX_CUT_SITES hot sites and about CELLS_PER_CHUNK cells per
-``total / MAX_CUT_SITES`` rows. It is therefore safe to build on the driver and to broadcast.
+The cut plan is bounded: a chunk has at least ``total / MAX_CHUNKS`` rows, so there are at most
+MAX_CHUNKS hot sites and about CELLS_PER_CHUNK * MAX_CHUNKS cells, whatever the table's size. It
+is therefore safe to build on the driver and to broadcast. Rows of equal time are cut by the
+tie-break columns; only rows equal in every order column stay together.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inversia.plans.series import MAX_CUT_SITES, SeriesSpec, order_number
+from inversia.plans.series import MAX_CHUNKS, SeriesSpec, order_numbers
 
 CHUNK, OWN, FIRST, TOTAL = "_chunk", "_own", "_first", "_total"
-CELLS_PER_CHUNK = 16
+CELLS_PER_CHUNK = 8
 MAX_DEPTH = 4
+# (site key values and cell path so far) -> (order column, low, width) of its sub-cells
+Level = dict[tuple, tuple[int, float, float]]
 HELPERS = (CHUNK, OWN, FIRST, TOTAL)
 
 
@@ -50,8 +54,7 @@ class SeriesLayout:
     """How the series of a table are spread over tasks; see the module text."""
 
     spec: SeriesSpec
-    # one entry per histogram level: (site key values + path so far) -> (low, width)
-    levels: list[dict[tuple, tuple[float, float]]] = field(default_factory=list)
+    levels: list[Level] = field(default_factory=list)
     cells: dict[tuple, list[Cell]] = field(default_factory=dict)
     rows: int = 0
 
@@ -253,75 +256,86 @@ class SeriesLayout:
         )
 
 
-def _locate(df: DataFrame, spec: SeriesSpec, levels: list[dict]) -> DataFrame:
+def _locate(df: DataFrame, spec: SeriesSpec, levels: list[Level]) -> DataFrame:
     """Add the cell path ``_p0, _p1, ...`` of every row (null for sites that are not cut)."""
     spark = df.sparkSession
-    out = df.withColumn("_order", order_number(df, spec.ts))
+    numbers = order_numbers(df, spec)
+    depth_of = max((k for level in levels for k, _, _ in level.values()), default=0) + 1
+    added = [f"_o{i}" for i in range(depth_of)]
+    out = df.select("*", *[n.alias(a) for n, a in zip(numbers, added)])
     for depth, level in enumerate(levels):
         schema = T.StructType(
             [T.StructField(f"_s{i}", df.schema[c].dataType) for i, c in enumerate(spec.site)]
             + [T.StructField(f"_c{d}", T.LongType()) for d in range(depth)]
-            + [T.StructField("_low", T.DoubleType()), T.StructField("_width", T.DoubleType())]
+            + [T.StructField("_k", T.IntegerType()), T.StructField("_low", T.DoubleType()), T.StructField("_width", T.DoubleType())]
         )
-        rows = [(*key, float(low), float(width)) for key, (low, width) in level.items()]
         on = reduce(
             Column.__and__,
             [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(spec.site)]
             + [F.col(f"_p{d}") == F.col(f"_c{d}") for d in range(depth)],
             F.lit(True),
         )
-        step = F.floor((F.col("_order") - F.col("_low")) / F.col("_width"))
-        if depth:  # rows of cells that were full enough already stay in sub-cell 0
+        along = F.lit(None).cast("double")
+        for i, a in enumerate(added):
+            along = F.when(F.col("_k") == i, F.col(a) - F.col("_low")).otherwise(along)
+        step = F.floor(along / F.col("_width"))
+        if depth:  # rows of cells that were small enough already stay in sub-cell 0
             step = F.coalesce(step, F.when(F.col("_p0").isNotNull(), F.lit(0).cast("bigint")))
-        out = (
-            out.join(F.broadcast(spark.createDataFrame(rows, schema)), on, "left")
-            .withColumn(f"_p{depth}", step)
-            .drop(*[f"_s{i}" for i in range(len(spec.site))], *[f"_c{d}" for d in range(depth)], "_low", "_width")
-        )
-    return out
+        grids = F.broadcast(spark.createDataFrame([(*key, *grid) for key, grid in level.items()], schema))
+        helpers = [*[f"_s{i}" for i in range(len(spec.site))], *[f"_c{d}" for d in range(depth)], "_k", "_low", "_width"]
+        out = out.join(grids, on, "left").withColumn(f"_p{depth}", step).drop(*helpers)
+    return out.drop(*added)
+
+
+def settled(df: DataFrame, spec: SeriesSpec) -> SeriesSpec:
+    """The spec with the table's layout attached, so that several operators share one check.
+    Valid for tables with the same rows (other columns may differ)."""
+    return spec.but(layout=plan_layout(df, spec))
 
 
 def plan_layout(df: DataFrame, spec: SeriesSpec) -> SeriesLayout:
     """Check the length of every series (one aggregate over the key columns) and plan the cuts."""
+    if spec.layout is not None:
+        return spec.layout
     site = list(spec.site)
-    keyed = df.select(*site, spec.ts, order_number(df, spec.ts).alias("_order"))
-    sizes = keyed.groupBy(*site).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_low"), F.max("_order").alias("_high")
-    )
+    numbers = order_numbers(df, spec)
+    order = [f"_extent{i}" for i in range(len(numbers))]
+    keyed = df.select(*spec.keys, *[n.alias(o) for n, o in zip(numbers, order)])
+    extent = [F.count(F.lit(1)).alias("_n")] + [x for o in order for x in (F.min(o).alias(f"_l{o}"), F.max(o).alias(f"_h{o}"))]
+    sizes = keyed.groupBy(*site).agg(*extent)
     total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    layout = SeriesLayout(spec, rows=max(spec.rows_per_chunk, (total or 0) // MAX_CUT_SITES))
+    layout = SeriesLayout(spec, rows=max(spec.rows_per_chunk, (total or 0) // MAX_CHUNKS))
     if not total or longest <= layout.rows:
         return layout
-    # fewer than MAX_CUT_SITES sites can pass this filter
-    hot = sizes.where((F.col("_n") > layout.rows) & (F.col("_high") > F.col("_low"))).collect()
-    level: dict[tuple, tuple[float, float]] = {}
-    for row in hot:
-        level[tuple(row[c] for c in site)] = _grid(row["_low"], row["_high"], row["_n"], layout.rows)
-    done: dict[tuple, dict[tuple[int, ...], int]] = {key: {} for key in level}
+
+    def grid(row) -> tuple[int, float, float] | None:
+        """Equal cells along the first order column in which the rows differ."""
+        for k, o in enumerate(order):
+            low, high = row[f"_l{o}"], row[f"_h{o}"]
+            if low is not None and high > low:
+                cells = max(2, -(-row["_n"] * CELLS_PER_CHUNK // layout.rows))
+                return k, float(low), max((float(high) - float(low)) / cells, np.finfo(float).tiny)
+        return None
+
+    # fewer than MAX_CHUNKS sites can pass this filter
+    hot = sizes.where(F.col("_n") > layout.rows).collect()
+    level: Level = {tuple(row[c] for c in site): grid(row) for row in hot}
+    level = {key: g for key, g in level.items() if g}
+    done: dict[tuple, dict[tuple[int, ...], int]] = {}
     for depth in range(MAX_DEPTH):
         if not level:
             break
         layout.levels.append(level)
         path = [f"_p{d}" for d in range(depth + 1)]
         counted = (
-            _locate(keyed, spec, layout.levels)
-            .where(F.col(f"_p{depth}").isNotNull())
-            .groupBy(*site, *path)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_low"), F.max("_order").alias("_high"))
-            .collect()
+            _locate(keyed, spec, layout.levels).where(F.col(f"_p{depth}").isNotNull()).groupBy(*site, *path).agg(*extent).collect()
         )
-        done = {key: {} for key in done}
-        level = {}
+        done, level = {}, {}
         for row in counted:
             key, cell = tuple(row[c] for c in site), tuple(row[p] for p in path)
-            done[key][cell] = row["_n"]
-            if row["_n"] > layout.rows and row["_high"] > row["_low"]:
-                level[(*key, *cell)] = _grid(row["_low"], row["_high"], row["_n"], layout.rows)
+            done.setdefault(key, {})[cell] = row["_n"]
+            finer = grid(row) if row["_n"] > layout.rows else None
+            if finer:
+                level[(*key, *cell)] = finer
     layout.cells = {key: [Cell(p, n) for p, n in sorted(found.items())] for key, found in done.items()}
     return layout
-
-
-def _grid(low, high, rows: int, per_chunk: int) -> tuple[float, float]:
-    """Equal cells over [low, high]; about CELLS_PER_CHUNK of them per chunk of rows."""
-    cells = max(2, -(-rows * CELLS_PER_CHUNK // per_chunk))
-    return float(low), max((float(high) - float(low)) / cells, np.finfo(float).tiny)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import types as T
 
 # A site longer than this many rows is cut into chunks that separate tasks can work on.
 ROWS_PER_CHUNK = 1_000_000
-# At most this many sites are cut. A site with fewer than total/MAX_CUT_SITES rows is no
-# larger than an average shuffle partition of a big job, so it is not skewed.
-MAX_CUT_SITES = 10_000
+# No table is cut into more chunks than this (plus one per cut site): a chunk then has at least
+# total/MAX_CHUNKS rows, about what a shuffle partition of a job that size holds anyway.
+MAX_CHUNKS = 40_000
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class SeriesSpec:
     ts: str
     tiebreak: tuple[str, ...] = ()
     rows_per_chunk: int = ROWS_PER_CHUNK
+    # a layout already planned for the table, see ``layout.settled``
+    layout: Any = field(default=None, compare=False, repr=False)
 
     def __post_init__(self):
         for name in ("site", "tiebreak"):
@@ -42,7 +45,7 @@ class SeriesSpec:
         return Window.partitionBy(*self.site, *extra).orderBy(*self.order)
 
     def but(self, **changes) -> "SeriesSpec":
-        return replace(self, **changes)
+        return replace(self, **{"layout": None, **changes})
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -66,3 +69,14 @@ def order_number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):
         return F.col(name)
     raise TypeError(f"order column {name} must be a time or a number, not {kind.simpleString()}")
+
+
+def order_numbers(df: DataFrame, spec: SeriesSpec) -> list[Column]:
+    """Numbers for the order column and for the tie-breaks up to the first that is no number."""
+    out = [order_number(df, spec.ts)]
+    for name in spec.tiebreak:
+        try:
+            out.append(order_number(df, name))
+        except TypeError:
+            break
+    return out

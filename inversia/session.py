@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "inversia", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,3 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is overwritten."""
     return f"{shared_folder(spark).rstrip('/')}/inversia-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back: later steps and repeated actions
+    read columns instead of computing the table again, and an executor lost on the way costs
+    nothing. Used where a job goes over an expensive table several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

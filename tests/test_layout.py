@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inversia.operators import impute, quality, windows
 from inversia.operators.quantiles import exact_quantiles
-from inversia.plans.layout import plan_layout
+from inversia.plans.layout import plan_layout, settled
 from tests.helpers import SPEC, hot_table, same
 
 CUT = SPEC.but(rows_per_chunk=50)
@@ -89,3 +89,21 @@ def test_partition_count_does_not_matter(spark, table):
                 assert got.sort_values(["site", "start_time"]).values.tolist() == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_equal_times_are_cut_by_the_tie_break(spark):
+    """Half of the hot site's rows share one time; they are cut along the tie-break."""
+    table = hot_table(spark).withColumn(
+        "ts", F.when((F.col("site") == "hot") & (F.col("id") % 2 == 0), F.lit("2024-02-01").cast("timestamp_ntz")).otherwise(F.col("ts"))
+    )
+    layout = plan_layout(table, CUT)
+    sizes = layout.spread(table).where("_own").groupBy("site", "_chunk").count().toPandas()
+    assert sizes["count"].max() <= 2 * layout.rows
+    for name in ("events", "linear", "rolling", "time_gaps"):
+        assert same(JOBS[name](table, SPEC), JOBS[name](table, CUT))
+
+
+def test_settled_layout_is_reused(table):
+    spec = settled(table, CUT)
+    assert plan_layout(table, spec) is spec.layout and spec == CUT
+    assert same(JOBS["rolling"](table, SPEC), JOBS["rolling"](table, spec))
