@@ -194,11 +194,18 @@ class SeriesLayout:
             known = F.col(c).isNotNull() & (F.col(OWN) if self.cut else F.lit(True))
             return F.when(known, F.struct(F.col(c).alias("v"), at.alias("at")))
 
-        down = self.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # looking ahead is looking back in reversed order: a frame that runs to the end of the
+        # series from every row would be evaluated anew for each row
+        later_first = [F.desc(c) for c in ((position,) if position else self.spec.order)]
+        down = (
+            Window.partitionBy(*self.spec.site, *((CHUNK,) if self.cut else ()))
+            .orderBy(*later_first)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
         held = df.select(
             "*",
             *[F.last(item(c), ignorenulls=True).over(self.upto).alias(f"_lp_{c}") for c in columns],
-            *[F.first(item(c), ignorenulls=True).over(down).alias(f"_ln_{c}") for c in columns],
+            *[F.last(item(c), ignorenulls=True).over(down).alias(f"_ln_{c}") for c in columns],
         )
         if self.cut:
             site = list(self.spec.site)
@@ -208,14 +215,14 @@ class SeriesLayout:
                 *[F.max_by(item(c), F.when(F.col(c).isNotNull(), order)).alias(f"_e_{c}") for c in columns],
                 *[F.min_by(item(c), F.when(F.col(c).isNotNull(), order)).alias(f"_f_{c}") for c in columns],
             )
-            by_chunk = Window.partitionBy(*site).orderBy(CHUNK)
-            before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-            after = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+            by_chunk = Window.partitionBy(*site)
+            before = by_chunk.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+            after = by_chunk.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
             base = self._cut_only(edges).select(
                 *[F.col(c).alias(f"_b_{c}") for c in site],
                 F.col(CHUNK).alias("_b_chunk"),
                 *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_e_{c}") for c in columns],
-                *[F.first(f"_f_{c}", ignorenulls=True).over(after).alias(f"_f_{c}") for c in columns],
+                *[F.last(f"_f_{c}", ignorenulls=True).over(after).alias(f"_f_{c}") for c in columns],
             )
             held = held.join(F.broadcast(base), self._on_chunk(site), "left")
             prev = {c: F.coalesce(F.col(f"_lp_{c}"), F.col(f"_e_{c}")) for c in columns}
