@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inversia.llm import decontaminate, language, mixing, quality, shards, simhash, spotsigs, tokens, toxicity
+from inversia.llm import decontaminate, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity
 from inversia.llm.workspace import read_table
 
 
@@ -30,6 +30,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.digest_shards(read_table(spark, folder, "documents"))
 
 
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated 100-byte strings."""
+    return substrings.digest_cut(read_table(spark, folder, "documents"))
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify_language(read_table(spark, folder, "documents"))
@@ -60,8 +65,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_mixing, op3_spotsigs, op4_sharding, op6_language,
-        op7_tokens, op8_toxicity, op9_quality, op10_decontamination,
+        op1_simhash, op2_mixing, op3_spotsigs, op4_sharding, op5_substrings,
+        op6_language, op7_tokens, op8_toxicity, op9_quality, op10_decontamination,
     )
 }
 
@@ -85,13 +90,4 @@ JOIN ni ON ni.item_id IS NOT DISTINCT FROM si.item_id AND ni.text = si.text
 GROUP BY sd.doc_id, sd.text, si.item_id, si.text, n HAVING count(*) / n >= 0.8 - 1e-12
 """
 
-_PLACED = r"""
-WITH t AS (
-  SELECT *, ('0x' || substr(md5('shards-1:' || coalesce(cast(doc_id AS varchar), '')), 1, 15))::bigint AS h FROM documents
-), r AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text) - 0.5::double) / count(*) OVER (PARTITION BY source) AS f FROM t
-), p AS (
-  SELECT *, row_number() OVER (ORDER BY f, h, source NULLS FIRST, doc_id) - 1 AS position, count(*) OVER () AS total FROM r
-)
-"""
 ORACLES: dict[str, str] = {"op10_decontamination": LEAKS_SQL}
