@@ -202,16 +202,23 @@ def _most_confident(scores: DataFrame, view: str, taken: dict[int, float], share
 
 
 def platt(log_odds: np.ndarray, labels: np.ndarray, steps: int = 30) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of labels on log-odds, by Newton with a small ridge."""
+    """Slope and offset of a logistic fit of labels on log-odds, by damped Newton steps with a small ridge."""
     if len(labels) < 10 or labels.min() == labels.max():
         return 1.0, 0.0
     x = np.stack([log_odds, np.ones_like(log_odds)], 1)
-    w = np.array([1.0, 0.0])
+    prior, w = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0.0, z) - labels * z) + 0.05 * np.sum((w - prior) ** 2))
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        gradient = x.T @ (p - labels) + 0.1 * (w - [1.0, 0.0])
+        gradient = x.T @ (p - labels) + 0.1 * (w - prior)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
