@@ -13,7 +13,7 @@ import numpy as np
 
 DISTANCES = 65
 #: Pairs of query and node held at once.
-FRONTIER = 2_000_000
+FRONTIER = 200_000
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
