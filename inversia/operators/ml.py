@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inversia.operators.modeling import contiguous_folds, score_columns, scores
+from inversia.plans.layout import plan_layout
 from inversia.plans.series import SeriesSpec
+from inversia.session import staged
 
 Scorer = Callable[[DataFrame], DataFrame]
 SEED = 42
-# Rows that share one shuffle of a permuted column; large enough to be a fair draw, small
-# enough for one task.
-ROWS_PER_SHUFFLE = 100_000
+# Tasks of a shuffled column hold about so many rows; the order goes on from task to task.
+ROWS_PER_TASK = 100_000
 
 
 def assemble(matrix: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -57,24 +58,27 @@ def permutation_importance(
     repeats: int = 10,
     seed: int = SEED,
     draw: Callable[[int], Column] | None = None,
-    rows_per_shuffle: int = ROWS_PER_SHUFFLE,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean and deviation over ``repeats`` of the loss in R2 when one feature is shuffled.
 
-    A repeat throws the rows into random groups and, in each group, passes the feature vector on
-    to the next row in random order: a permutation of the column that no task needs to hold
-    whole. ``draw(repeat)`` may replace the random order."""
+    A repeat puts all rows in random order and passes the feature vector on to the next row, from
+    the last row to the first: a permutation of the column. The order is cut like a long series,
+    so no task holds it whole and the draw doesn't depend on the cuts. ``draw(repeat)`` may
+    replace the random order."""
     order = draw or (lambda r: F.xxhash64(*keys, F.lit(seed * 1000 + r)))
-    rows = test.select(*keys, "label", vector_to_array("features").alias("_x"))
-    total = rows.count()
-    groups = max(1, -(-total // rows_per_shuffle))
-    base = scorer(test).agg(score_columns()[2]).first()["r2"]
+    # the scored rows, written once for all repeats
+    rows = staged(test.select(*keys, "label", vector_to_array("features").alias("_x")), "permuted")
+    base = scorer(rows.select("label", array_to_vector("_x").alias("features"))).agg(score_columns()[2]).first()["r2"]
     shuffled = []
     for r in range(repeats):
-        drawn = rows.withColumn("_o", order(r)).withColumn("_g", F.pmod(F.xxhash64("_o", F.lit(seed)), F.lit(groups)))
-        w = Window.partitionBy("_g").orderBy("_o", *keys)
-        first = F.first("_x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        shuffled.append(drawn.select("label", "_x", F.coalesce(F.lead("_x").over(w), first).alias("_y"), F.lit(r).alias("repeat")))
+        drawn = rows.withColumn("_o", order(r))
+        spec = SeriesSpec((), "_o", tuple(keys), rows_per_chunk=rows_per_task)
+        layout = plan_layout(drawn, spec)
+        first = drawn.orderBy(*spec.order).select("_x").first()
+        wrapped = F.array(*[F.lit(v) for v in (first["_x"] if first else [])]).cast("array<double>")
+        placed = layout.spread(drawn, lookahead=1).withColumn("_y", F.coalesce(F.lead("_x").over(layout.window), wrapped))
+        shuffled.append(layout.own(placed).select("label", "_x", "_y", F.lit(r).alias("repeat")))
     stacked = reduce(DataFrame.unionByName, shuffled)
     changed = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_y")[F.col("_j")]).otherwise(v))
     altered = stacked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select(

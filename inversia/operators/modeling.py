@@ -7,11 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inversia.functions.coercion import existing, finite, numeric_columns
+from inversia.functions.coercion import existing, numeric_columns
 from inversia.operators.filters import inversion_rows
 from inversia.operators.impute import mean_fill
 from inversia.operators.windows import clean_extremes
-from inversia.plans.joins import all_of
 from inversia.plans.layout import plan_layout
 from inversia.plans.series import SeriesSpec
 
@@ -78,6 +77,15 @@ def model_matrix(
     return mean_fill(matrix, numeric, source).drop("_fit")
 
 
+def known_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns with a known value in some row (one aggregate)."""
+    cols = existing(df, columns)
+    if not cols:
+        return []
+    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    return [c for c in cols if counts[c]]
+
+
 def score_columns(y: str = "label", p: str = "prediction") -> list[Column]:
     """RMSE, MAE and R2 as aggregates; R2 of a constant target is null."""
     error = F.col(y) - F.col(p)
@@ -162,9 +170,3 @@ def significance_report(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def known_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows whose listed columns are all finite."""
-    cols = existing(df, columns)
-    return df.where(all_of(finite(F.col(c)).isNotNull() for c in cols))

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inversia.functions.coercion import numeric_columns
+from inversia.functions.coercion import numeric_columns, parse_time
 from inversia.plans.joins import all_of, match
 from inversia.plans.layout import plan_layout
 from inversia.plans.series import SeriesSpec, micros
@@ -55,9 +56,18 @@ def missing_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _by_read_time(raw: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, SeriesSpec]:
+    """Text times are read into a helper column for the order and kept as they are; rows whose
+    time can't be read come first, by their text."""
+    if not isinstance(raw.schema[spec.ts].dataType, T.StringType):
+        return raw, spec
+    return raw.withColumn("_time", parse_time(F.col(spec.ts))), spec.but(ts="_time", tiebreak=(spec.ts, *spec.tiebreak))
+
+
 def missing_log(raw: DataFrame, spec: SeriesSpec, columns: Sequence[str]) -> DataFrame:
     """One row per cell of a raw text table that is not a number: when, where, what it was."""
-    layout = plan_layout(raw, spec)
+    raw, ordered = _by_read_time(raw, spec)
+    layout = plan_layout(raw, ordered)
     rows = layout.spread(raw)
     rows = layout.own(rows.withColumn("Row_Index", layout.position()))
     cells = F.array(
@@ -88,6 +98,7 @@ def first_raw_values(raw: DataFrame, spec: SeriesSpec, columns: Sequence[str], f
 
     Distinct values are combined map-side; the rank is a group-limited window, so of each column
     only ``first`` values per partition travel."""
+    raw, spec = _by_read_time(raw, spec)
     order = F.struct(*[F.col(c) for c in spec.order])
     cells = F.array(
         *[F.struct(F.lit(c).alias("Column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("Value")) for c in columns]

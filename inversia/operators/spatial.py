@@ -30,31 +30,38 @@ def thin_grid(grid: DataFrame, every: int) -> DataFrame:
 
 def _axis(grid: DataFrame, name: str) -> DataFrame:
     """Distinct coordinates of one axis; of equal coordinates the smallest index."""
-    return grid.groupBy(F.col(name).cast("double").alias("_v")).agg(F.min(f"{name}_idx").alias("_i"))
+    known = grid.where(F.col(name).isNotNull())
+    return known.groupBy(F.col(name).cast("double").alias("_v")).agg(F.min(f"{name}_idx").cast("bigint").alias("_i"))
+
+
+def _nearer(value: Column, low: Column, high: Column) -> Column:
+    """The nearer of two neighbours (``at``, ``i``) on an axis; equally near: the smaller index."""
+    to_low, to_high = value - low["at"], high["at"] - value
+    lower = high.isNull() | (to_low < to_high) | ((to_low == to_high) & (low["i"] < high["i"]))
+    return F.when(low.isNotNull() & lower, low).otherwise(high)
 
 
 def _nearest_by_search(points: DataFrame, column: str, name: str, axis: list) -> DataFrame:
-    """Binary search among the midpoints of a checked, driver-side axis. A point exactly between
-    two coordinates goes to the smaller index."""
+    """Binary search among the coordinates of a checked, driver-side axis for the two that a point
+    lies between."""
     axis = sorted((r["_v"], r["_i"]) for r in axis)
-    middle = [(a[0] + b[0]) / 2 for a, b in zip(axis, axis[1:])]
-    rising = len(axis) < 2 or axis[0][1] < axis[-1][1]
-    # Bucketizer intervals are closed on the left; on the negated axis they are closed on the right
-    sign = -1.0 if rising else 1.0
-    edges = sorted({sign * m for m in middle})
     place, value = f"_place_{name}", f"_x_{name}"
-    search = Bucketizer(
-        splits=[-math.inf, *edges, math.inf], inputCol=value, outputCol=place, handleInvalid="keep"
-    )
-    found = search.transform(
-        points.withColumn(value, F.coalesce(F.col(column).cast("double") * sign, F.lit(math.nan)))
-    )
-    last = len(axis) - 1
+    found = points.withColumn(value, F.col(column).cast("double"))
+    # interval k begins at coordinate k - 1 and ends before coordinate k
+    splits = [-math.inf, *[v for v, _ in axis], math.inf]
+    if len(axis):
+        search = Bucketizer(splits=splits, inputCol=value, outputCol=place, handleInvalid="keep")
+        found = search.transform(found.withColumn(value, F.coalesce(value, F.lit(math.nan))))
+    else:
+        found = found.withColumn(place, F.lit(0.0))
+    ends = [None, *axis, None]
     lookup = points.sparkSession.createDataFrame(
-        [(float(last - k if rising else k), i, v) for k, (v, i) in enumerate(axis)],
-        f"`{place}` double, `_{name}_idx` bigint, `grid_{name}` double",
+        [(float(k), ends[k] and (ends[k][0], ends[k][1]), ends[k + 1] and (ends[k + 1][0], ends[k + 1][1])) for k in range(len(axis) + 1)],
+        f"`{place}` double, _low struct<at: double, i: bigint>, _high struct<at: double, i: bigint>",
     )
-    return found.join(F.broadcast(lookup), place, "left").drop(place, value)
+    best = _nearer(F.col(value), F.col("_low"), F.col("_high"))
+    joined = found.join(F.broadcast(lookup), place, "left")
+    return joined.withColumns({f"_{name}_idx": best["i"], f"grid_{name}": best["at"]}).drop(place, value, "_low", "_high")
 
 
 def _nearest_by_order(points: DataFrame, column: str, name: str, axis: DataFrame, rows_per_chunk: int) -> DataFrame:
@@ -67,10 +74,7 @@ def _nearest_by_order(points: DataFrame, column: str, name: str, axis: DataFrame
     merged = asked.withColumn("_ask", F.lit(True)).join(hits, "_v", "full_outer")
     layout = plan_layout(merged, spec)
     near = layout.own(layout.carry(layout.spread(merged), ["_hit"])).where("_ask")
-    low, high = F.col("_prev__hit"), F.col("_next__hit")
-    to_low, to_high = F.col("_v") - low["at"], high["at"] - F.col("_v")
-    lower = high.isNull() | (to_low < to_high) | ((to_low == to_high) & (low["i"] < high["i"]))
-    best = F.when(low.isNotNull() & lower, low).otherwise(high)
+    best = _nearer(F.col("_v"), F.col("_prev__hit"), F.col("_next__hit"))
     found = near.select(F.col("_v").alias("_x"), best["i"].alias(f"_{name}_idx"), best["at"].alias(f"grid_{name}"))
     return points.join(found, F.col(column).cast("double") == F.col("_x"), "left").drop("_x")
 
@@ -139,15 +143,12 @@ def with_metadata(values: DataFrame, metadata: DataFrame, key: str = "key") -> D
     return values.join(metadata, key)
 
 
-def field_metrics(
-    df: DataFrame, value: str, by: Sequence[str] = (), sum_below: int = 10_000, rain: Column | None = None
-) -> DataFrame:
-    """Min, max, mean, exact median and sample deviation of a value column; the total only for
-    precipitation and small groups."""
+def field_metrics(df: DataFrame, value: str, by: Sequence[str] = (), rain: Column | None = None) -> DataFrame:
+    """Min, max, mean, exact median and sample deviation of a value column; the total for
+    precipitation only, since sums of other fields mean nothing."""
     is_rain = F.lit(value.lower() in RAIN_NAMES) if rain is None else rain
     keyed = df.withColumn("_rain", is_rain)
     stats = keyed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.avg(value).alias("mean"),
@@ -157,8 +158,7 @@ def field_metrics(
     )
     medians = exact_quantiles(df, [value], {"median": 0.5}, by).drop("variable")
     joined = stats.join(medians, list(by)) if by else stats.withColumn("median", F.lit(medians.first()["median"]))
-    total = F.when(F.col("_rain") & (F.col("_n") < sum_below), F.col("_sum"))
-    return joined.select(*by, "min", "max", "mean", "median", "std", total.alias("total"))
+    return joined.select(*by, "min", "max", "mean", "median", "std", F.when(F.col("_rain"), F.col("_sum")).alias("total"))
 
 
 def extent(df: DataFrame, lat: str = "latitude", lon: str = "longitude", buffer: float = 0.1) -> DataFrame:

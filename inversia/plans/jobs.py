@@ -144,11 +144,13 @@ def cleaning_job(raw: DataFrame, typed: DataFrame, spec: SeriesSpec, columns: Se
     }
 
 
-def site_matrix(
+def training_matrix(
     features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool, fit_on: str = "train"
-) -> tuple[DataFrame, DataFrame]:
-    """Chronological train and test tables with ``features`` and ``label``. Means come from the
-    training rows; ``fit_on="all"`` takes them from all rows."""
+) -> tuple[DataFrame, list[str]]:
+    """All rows with a known target, ``is_train``, and the columns that can be learned from.
+
+    Null cells take the mean of the training rows (``fit_on="all"``: of all rows). A column
+    without a known value among those is left out; no row is."""
     rows = features.where(F.col(target).isNotNull())
     if focus_inversion:
         rows = filters.inversion_rows(rows)
@@ -156,8 +158,18 @@ def site_matrix(
     split = modeling.chronological_split(rows.select(*wanted), spec, TEST_SHARE)
     fit = F.col("is_train") if fit_on == "train" else None
     matrix = modeling.model_matrix(split, columns, target, [*spec.keys, "is_train"], fit_rows=fit)
-    known = ml.assemble(matrix.na.drop(subset=[c for c in columns if c in matrix.columns]), columns, target)
-    return known.where("is_train"), known.where(~F.col("is_train"))
+    # after the fill a column is null where it had no mean to take
+    used = modeling.known_columns(matrix if fit is None else matrix.where("is_train"), [c for c in columns if c in matrix.columns])
+    return matrix.select(*dict.fromkeys([*spec.keys, "is_train", target, *used])), used
+
+
+def site_matrix(
+    features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool, fit_on: str = "train"
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and test tables with ``features`` and ``label``, and the names behind ``features``."""
+    matrix, used = training_matrix(features, spec, columns, target, focus_inversion, fit_on)
+    known = ml.assemble(matrix, used, target)
+    return known.where("is_train"), known.where(~F.col("is_train")), used
 
 
 def forecast_job(
@@ -185,7 +197,7 @@ def forecast_job(
         for label, target in (targets or FORECAST_TARGETS).items():
             if target not in features.columns:
                 continue
-            train, test = site_matrix(own, spec, chosen, target, focus_inversion)
+            train, test, _ = site_matrix(own, spec, chosen, target, focus_inversion)
             train = train.persist()
             try:
                 _, predictions = ml.train_all(train, test, spec, rounds, depth, folds, stack)
@@ -215,8 +227,10 @@ def explain_site(
     rows = df.where(F.col(target).isNotNull()).withColumns(times)
     used = list(dict.fromkeys([*columns, *times]))
     clean = filters.drop_outliers(impute.fill_all(rows, spec, used), target)
-    clean = clean.na.drop(subset=used)
     split = modeling.chronological_split(clean, spec, TEST_SHARE)
+    # what a whole site lacks is the mean of the other sites; what all lack is left out
+    used = modeling.known_columns(split.where("is_train"), used)
+    split = impute.mean_fill(split, used, split.where("is_train"))
     table = ml.assemble(split.select(*spec.keys, "is_train", target, *[c for c in used if c != target]), used, target)
     table = table.select(*spec.keys, "is_train", "features", "label").persist()
     train, test = table.where("is_train"), table.where(~F.col("is_train"))

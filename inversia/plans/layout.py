@@ -17,7 +17,8 @@ are scanned in a second, tiny window (``running``, ``carry``).
 The cut plan is bounded: a chunk has at least ``total / MAX_CHUNKS`` rows, so there are at most
 MAX_CHUNKS hot sites and about CELLS_PER_CHUNK * MAX_CHUNKS cells, whatever the table's size. It
 is therefore safe to build on the driver and to broadcast. Rows of equal time are cut by the
-tie-break columns; only rows equal in every order column stay together.
+tie-break columns; only rows equal in every order column stay together. Rows whose order value is
+null sort first and have a cell of their own before the others.
 """
 
 from __future__ import annotations
@@ -35,9 +36,8 @@ from inversia.plans.series import MAX_CHUNKS, SeriesSpec, order_numbers
 
 CHUNK, OWN, FIRST, TOTAL = "_chunk", "_own", "_first", "_total"
 CELLS_PER_CHUNK = 8
-MAX_DEPTH = 4
-# (site key values and cell path so far) -> (order column, low, width) of its sub-cells
-Level = dict[tuple, tuple[int, float, float]]
+# (site key values and cell path so far) -> (order column, low, low as a whole number, width) of its sub-cells
+Level = dict[tuple, tuple[int, float, int | None, float]]
 HELPERS = (CHUNK, OWN, FIRST, TOTAL)
 
 
@@ -267,14 +267,16 @@ def _locate(df: DataFrame, spec: SeriesSpec, levels: list[Level]) -> DataFrame:
     """Add the cell path ``_p0, _p1, ...`` of every row (null for sites that are not cut)."""
     spark = df.sparkSession
     numbers = order_numbers(df, spec)
-    depth_of = max((k for level in levels for k, _, _ in level.values()), default=0) + 1
+    depth_of = max((g[0] for level in levels for g in level.values()), default=0) + 1
     added = [f"_o{i}" for i in range(depth_of)]
     out = df.select("*", *[n.alias(a) for n, a in zip(numbers, added)])
+    whole = {f.name for f in out.schema.fields if f.name in added and isinstance(f.dataType, T.IntegralType)}
     for depth, level in enumerate(levels):
         schema = T.StructType(
             [T.StructField(f"_s{i}", df.schema[c].dataType) for i, c in enumerate(spec.site)]
             + [T.StructField(f"_c{d}", T.LongType()) for d in range(depth)]
-            + [T.StructField("_k", T.IntegerType()), T.StructField("_low", T.DoubleType()), T.StructField("_width", T.DoubleType())]
+            + [T.StructField("_k", T.IntegerType()), T.StructField("_low", T.DoubleType())]
+            + [T.StructField("_whole", T.LongType()), T.StructField("_width", T.DoubleType())]
         )
         on = reduce(
             Column.__and__,
@@ -284,12 +286,16 @@ def _locate(df: DataFrame, spec: SeriesSpec, levels: list[Level]) -> DataFrame:
         )
         along = F.lit(None).cast("double")
         for i, a in enumerate(added):
-            along = F.when(F.col("_k") == i, F.col(a) - F.col("_low")).otherwise(along)
-        step = F.floor(along / F.col("_width"))
+            here = F.col(a) - F.col("_low")
+            if a in whole:  # exactly, however large the numbers
+                here = F.when(F.col("_whole").isNotNull(), (F.col(a) - F.col("_whole")).cast("double")).otherwise(here)
+            along = F.when(F.col("_k") == i, here).otherwise(along)
+        # a null order value sorts before all others
+        step = F.when(F.col("_k").isNotNull(), F.coalesce(F.floor(along / F.col("_width")), F.lit(-1).cast("bigint")))
         if depth:  # rows of cells that were small enough already stay in sub-cell 0
             step = F.coalesce(step, F.when(F.col("_p0").isNotNull(), F.lit(0).cast("bigint")))
         grids = F.broadcast(spark.createDataFrame([(*key, *grid) for key, grid in level.items()], schema))
-        helpers = [*[f"_s{i}" for i in range(len(spec.site))], *[f"_c{d}" for d in range(depth)], "_k", "_low", "_width"]
+        helpers = [*[f"_s{i}" for i in range(len(spec.site))], *[f"_c{d}" for d in range(depth)], "_k", "_low", "_whole", "_width"]
         out = out.join(grids, on, "left").withColumn(f"_p{depth}", step).drop(*helpers)
     return out.drop(*added)
 
@@ -308,41 +314,54 @@ def plan_layout(df: DataFrame, spec: SeriesSpec) -> SeriesLayout:
     numbers = order_numbers(df, spec)
     order = [f"_extent{i}" for i in range(len(numbers))]
     keyed = df.select(*spec.keys, *[n.alias(o) for n, o in zip(numbers, order)])
-    extent = [F.count(F.lit(1)).alias("_n")] + [x for o in order for x in (F.min(o).alias(f"_l{o}"), F.max(o).alias(f"_h{o}"))]
-    sizes = keyed.groupBy(*site).agg(*extent)
-    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    layout = SeriesLayout(spec, rows=max(spec.rows_per_chunk, (total or 0) // MAX_CHUNKS))
-    if not total or longest <= layout.rows:
-        return layout
-
-    def grid(row) -> tuple[int, float, float] | None:
+    extent = [F.count(F.lit(1)).alias("_n")] + [
+        x for o in order for x in (F.min(o).alias(f"_l{o}"), F.max(o).alias(f"_h{o}"), F.count(o).alias(f"_c{o}"))
+    ]
+    # one row per site, kept so that the table itself is read once for both questions
+    sizes = keyed.groupBy(*site).agg(*extent).persist()
+    try:
+        total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+        layout = SeriesLayout(spec, rows=max(spec.rows_per_chunk, (total or 0) // MAX_CHUNKS))
+        if not total or longest <= layout.rows:
+            return layout
+        # fewer than MAX_CHUNKS sites can pass this filter
+        hot = sizes.where(F.col("_n") > layout.rows).collect()
+    finally:
+        sizes.unpersist()
+
+    def grid(row) -> tuple[int, float, int | None, float] | None:
         """Equal cells along the first order column in which the rows differ."""
         for k, o in enumerate(order):
-            low, high = row[f"_l{o}"], row[f"_h{o}"]
-            if low is not None and high > low:
+            low, high, some = row[f"_l{o}"], row[f"_h{o}"], row[f"_c{o}"]
+            if low is None:
+                continue
+            if high > low or some < row["_n"]:  # rows with and without a value differ too
                 cells = max(2, -(-row["_n"] * CELLS_PER_CHUNK // layout.rows))
-                return k, float(low), max((float(high) - float(low)) / cells, np.finfo(float).tiny)
+                exact = low if isinstance(low, int) and high - low < 2**63 else None
+                return k, float(low), exact, max(float(high - low) / cells, float(np.finfo(float).tiny))
         return None
 
-    # fewer than MAX_CHUNKS sites can pass this filter
-    hot = sizes.where(F.col("_n") > layout.rows).collect()
     level: Level = {tuple(row[c] for c in site): grid(row) for row in hot}
     level = {key: g for key, g in level.items() if g}
+    before = {tuple(row[c] for c in site): row["_n"] for row in hot}
     done: dict[tuple, dict[tuple[int, ...], int]] = {}
-    for depth in range(MAX_DEPTH):
-        if not level:
-            break
+    while level:  # until every cell is small enough or holds equal rows only
+        depth = len(layout.levels)
         layout.levels.append(level)
         path = [f"_p{d}" for d in range(depth + 1)]
         counted = (
             _locate(keyed, spec, layout.levels).where(F.col(f"_p{depth}").isNotNull()).groupBy(*site, *path).agg(*extent).collect()
         )
-        done, level = {}, {}
+        parents, done, level = before, {}, {}
+        before = {}
         for row in counted:
             key, cell = tuple(row[c] for c in site), tuple(row[p] for p in path)
             done.setdefault(key, {})[cell] = row["_n"]
-            finer = grid(row) if row["_n"] > layout.rows else None
-            if finer:
-                level[(*key, *cell)] = finer
+            # a cell that took all of its parent holds values that doubles can't tell apart
+            if layout.rows < row["_n"] < parents.get((*key, *cell[:-1]), 0):
+                finer = grid(row)
+                if finer:
+                    level[(*key, *cell)] = finer
+                    before[(*key, *cell)] = row["_n"]
     layout.cells = {key: [Cell(p, n) for p, n in sorted(found.items())] for key, found in done.items()}
     return layout

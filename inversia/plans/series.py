@@ -71,10 +71,25 @@ def order_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order column {name} must be a time or a number, not {kind.simpleString()}")
 
 
+# Text is told apart by so many leading bytes, as numbers of six bytes each.
+TEXT_NUMBERS, TEXT_BYTES = 4, 6
+
+
+def text_numbers(name: str) -> list[Column]:
+    """Numbers that sort like the text as far as its first TEXT_NUMBERS * TEXT_BYTES bytes go."""
+    digits = F.hex(F.col(name).cast("binary"))
+    width = 2 * TEXT_BYTES
+    parts = [F.rpad(F.substring(digits, 1 + i * width, width), width, "0") for i in range(TEXT_NUMBERS)]
+    return [F.conv(part, 16, 10).cast("bigint") for part in parts]
+
+
 def order_numbers(df: DataFrame, spec: SeriesSpec) -> list[Column]:
-    """Numbers for the order column and for the tie-breaks up to the first that is no number."""
+    """Numbers for the order column and the tie-breaks, up to the first that has no such order."""
     out = [order_number(df, spec.ts)]
     for name in spec.tiebreak:
+        if isinstance(df.schema[name].dataType, T.StringType):
+            out += text_numbers(name)
+            continue
         try:
             out.append(order_number(df, name))
         except TypeError:

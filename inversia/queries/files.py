@@ -10,6 +10,7 @@ from inversia.functions.coercion import number, with_parsed_time
 from inversia.queries.views import SITE, TIME, Query, points, r, rounded, station, table, with_station
 from inversia.session import scratch_path
 from inversia.sources import manifest, sinks, stations
+from inversia.sources.stations import COUNTY
 
 AS_OF = dt.date(1999, 6, 15)
 
@@ -37,22 +38,30 @@ def _times(spark, folder):
 
 
 def _raw_export(spark, folder):
-    """Write a raw export with a units row and repeated headers, then scan it."""
+    """Write a raw export with units rows and two column orders; its folder."""
     st = station(spark, folder, ["TAIR", "RELH", "PRES"])
     text = st.select(
         SITE,
-        F.lit("County").alias("County"),
+        F.lit("County").alias(COUNTY),
         F.date_format(TIME, "yyyy-MM-dd HH:mm:ss").alias(TIME),
         F.coalesce(F.format_string("%.3f", "TAIR"), F.lit("bad")).alias("TAIR"),
         F.format_string("%.3f", "RELH").alias("RELH"),
         F.format_string("%.3f", "PRES").alias("PRES"),
     )
     units = table(spark, folder, "events").where("event_id % 100 = 0").select(
-        F.lit("site").alias(SITE), F.lit("").alias("County"), F.lit("Timestamp").alias(TIME), F.lit("degC").alias("TAIR"), F.lit("%").alias("RELH"), F.lit("hPa").alias("PRES")
+        F.lit("site").alias(SITE), F.lit("").alias(COUNTY), F.lit("Timestamp").alias(TIME), F.lit("degC").alias("TAIR"), F.lit("%").alias("RELH"), F.lit("hPa").alias("PRES")
     )
     path = scratch_path(spark, "export")
-    sinks.write_table(text.unionByName(units), path, "csv")
-    back = stations.read_stations(spark, path)
+    # two files of one folder whose columns stand in another order
+    north = F.col("TAIR").endswith("1") | F.col("TAIR").endswith("3")
+    sinks.write_table(text.where(north).unionByName(units), f"{path}/north", "csv")
+    turned = [COUNTY, "PRES", "RELH", TIME, "TAIR", SITE]
+    sinks.write_table(text.where(~north).select(*turned), f"{path}/south", "csv")
+    return path
+
+
+def _scanned(spark, folder):
+    back = stations.read_stations(spark, f"{_raw_export(spark, folder)}/*")
     return back.select(SITE, F.col(TIME).cast("timestamp_ntz").alias(TIME), "TAIR", "RELH", "PRES")
 
 
@@ -129,7 +138,7 @@ QUERIES: dict[str, Query] = {
     ),
     "parse_times": Query(_times, "SELECT event_id, date_trunc('second', ts) AS t FROM events WHERE event_id % 4 <> 3"),
     "station_export_scan": Query(
-        _raw_export,
+        _scanned,
         with_station(f"SELECT {SITE}, date_trunc('second', {TIME}) AS {TIME}, {r('TAIR', 'TAIR', 3)}, {r('RELH', 'RELH', 3)}, {r('PRES', 'PRES', 3)} FROM st"),
     ),
     "union_sites": Query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inversia.operators import spatial
 from inversia.operators.filters import REGION
 from inversia.plans import jobs
-from inversia.queries.views import GRID_SQL, POINT_SQL, Query, grid, points, r, rounded, table
+from inversia.queries.views import COLUMN_SQL, GRID_SQL, POINT_SQL, ROW_SQL, Query, grid, points, r, rounded, table
 from inversia.session import scratch_path
 from inversia.sources import raster, sinks
 
@@ -134,6 +134,42 @@ def _brute(points_sql, extra=""):
     )
 
 
+MIDPOINT_ROWS, MIDPOINT_COLUMNS = "c_custkey % 40", "c_custkey % 19"
+MIDPOINT_LAT = f"36.0e0 + ({MIDPOINT_ROWS}) * 0.0625e0 + 0.03125e0"
+MIDPOINT_LON = f"-90.5e0 + ({MIDPOINT_COLUMNS}) * 0.5e0 + 0.25e0"
+EXACT_GRID_SQL = (
+    f"SELECT {ROW_SQL} AS lat_idx, {COLUMN_SQL} AS lon_idx, 36.0e0 + {ROW_SQL} * 0.0625e0 AS lat, "
+    f"-90.5e0 + ({COLUMN_SQL}) * 0.5e0 AS lon, p_retailprice AS z FROM part"
+)
+
+
+def _midpoints(spark, folder):
+    """Points exactly between two rows and two columns of a grid, through both lookups."""
+    cells = table(spark, folder, "part").select(
+        F.expr(ROW_SQL).alias("lat_idx"), F.expr(COLUMN_SQL).alias("lon_idx"),
+        F.expr(f"36.0e0 + {ROW_SQL} * 0.0625e0").alias("lat"), F.expr(f"-90.5e0 + ({COLUMN_SQL}) * 0.5e0").alias("lon"), F.col("p_retailprice").alias("z"),
+    )
+    between = table(spark, folder, "customer").select(
+        "c_custkey", F.expr(MIDPOINT_LAT).cast("double").alias("latitude"), F.expr(MIDPOINT_LON).cast("double").alias("longitude")
+    )
+    ways = {"search": {}, "order": {"max_axis": 0, "rows_per_chunk": 400}}
+    parts = [
+        spatial.nearest_grid_point(between, cells, **options).select(F.lit(way).alias("way"), "c_custkey", "altitude", "grid_lat", "grid_lon")
+        for way, options in ways.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+MIDPOINTS_SQL = (
+    f"WITH p AS (SELECT c_custkey, {MIDPOINT_LAT} AS latitude, {MIDPOINT_LON} AS longitude FROM customer), g AS ({EXACT_GRID_SQL}), "
+    "a AS (SELECT lat, min(lat_idx) AS i FROM g GROUP BY lat), o AS (SELECT lon, min(lon_idx) AS i FROM g GROUP BY lon), "
+    "ra AS (SELECT latitude, arg_min(lat, (abs(latitude - lat), i)) AS grid_lat, arg_min(i, (abs(latitude - lat), i)) AS lat_idx FROM (SELECT DISTINCT latitude FROM p), a GROUP BY latitude), "
+    "ro AS (SELECT longitude, arg_min(lon, (abs(longitude - lon), i)) AS grid_lon, arg_min(i, (abs(longitude - lon), i)) AS lon_idx FROM (SELECT DISTINCT longitude FROM p), o GROUP BY longitude) "
+    "SELECT way, c_custkey, z AS altitude, grid_lat, grid_lon FROM p JOIN ra USING (latitude) JOIN ro USING (longitude) "
+    "LEFT JOIN g ON g.lat_idx = ra.lat_idx AND g.lon_idx = ro.lon_idx, (SELECT unnest(['search', 'order']) AS way)"
+)
+
+
 def _with_altitude(spark, folder):
     return spatial.add_altitude(points(spark, folder), grid(spark, folder))
 
@@ -188,6 +224,7 @@ QUERIES: dict[str, Query] = {
         lambda s, d: spatial.nearest_grid_point(points(s, d), grid(s, d), max_axis=0, rows_per_chunk=400).select("c_custkey", "altitude"),
         _brute(POINT_SQL, "SELECT c_custkey, b.z AS altitude FROM n"),
     ),
+    "nearest_grid_point_midpoints": Query(_midpoints, MIDPOINTS_SQL),
     "altitude_stats": Query(
         lambda s, d: rounded(spatial.altitude_stats(_with_altitude(s, d), ["c_nationkey"])),
         _brute(
@@ -211,9 +248,9 @@ QUERIES: dict[str, Query] = {
         "SELECT c_nationkey AS key, c_custkey AS id, c_acctbal AS value, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
     ),
     "field_metrics": Query(
-        lambda s, d: rounded(spatial.field_metrics(points(s, d).withColumnRenamed("c_acctbal", "ppt"), "ppt", ["c_nationkey"], sum_below=61)),
+        lambda s, d: rounded(spatial.field_metrics(points(s, d).withColumnRenamed("c_acctbal", "ppt"), "ppt", ["c_nationkey"])).withColumn("total", F.round("total", 2)),
         f"SELECT c_nationkey, min(c_acctbal) AS min, max(c_acctbal) AS max, {r('avg(c_acctbal)', 'mean')}, {r('median(c_acctbal)', 'median')}, "
-        f"{r('stddev_samp(c_acctbal)', 'std')}, {r('CASE WHEN count(*) < 61 THEN sum(c_acctbal) END', 'total')} FROM customer GROUP BY c_nationkey",
+        f"{r('stddev_samp(c_acctbal)', 'std')}, {r('sum(c_acctbal)', 'total', 2)} FROM customer GROUP BY c_nationkey",
     ),
     "field_metrics_whole": Query(
         lambda s, d: rounded(spatial.field_metrics(table(s, d, "lineitem"), "l_extendedprice"), 4),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inversia.operators import ml, modeling
 from inversia.plans import jobs
-from inversia.queries.views import LINE_KEYS, LINES, SITE, SPEC, TIME, Query, lines, r, rounded, station, table, with_station
+from inversia.queries.views import HOT, LINE_KEYS, LINES, SITE, SPEC, TIME, Query, lines, r, rounded, station, table, with_station
 
 KEYS_SQL = ", ".join(LINE_KEYS)
 ORDER_SQL = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -96,6 +96,27 @@ def _matrix(spark, folder):
     return rounded(out)
 
 
+def _training(spark, folder):
+    """Rows per site and split when one sensor never reports and one site lacks another."""
+    st = station(spark, folder, ["TAIR", "RELH", "PRES", "VT20", "VT90"]).drop("event_type")
+    st = st.withColumns(
+        {"SRAD": F.lit(None).cast("double"), "PRES": F.when(F.col(SITE) != "1", F.col("PRES")), "VT_inversion_90_20": F.col("VT90") - F.col("VT20")}
+    )
+    matrix, used = jobs.training_matrix(st, SPEC, ["TAIR", "RELH", "PRES", "SRAD"], "VT20", False)
+    counted = matrix.groupBy(SITE, "is_train").agg(
+        F.count("*").alias("n"), F.count("PRES").alias("n_filled"), F.sum("PRES").alias("pres")
+    )
+    return rounded(counted.withColumn("columns", F.lit(",".join(used))), 4)
+
+
+TRAINING_SQL = with_station(
+    f", s AS (SELECT {SITE}, CASE WHEN {SITE} <> '1' THEN PRES END AS p, row_number() OVER (PARTITION BY {SITE} ORDER BY {TIME}, event_id) - 1 "
+    f"< floor(count(*) OVER (PARTITION BY {SITE}) * 0.8e0) AS is_train FROM st WHERE VT20 IS NOT NULL) "
+    f"SELECT {SITE}, is_train, count(*) AS n, count(*) AS n_filled, {r('sum(coalesce(p, (SELECT avg(p) FROM s WHERE is_train)))', 'pres', 4)}, "
+    f"'TAIR,RELH,PRES' AS columns FROM s GROUP BY {SITE}, is_train"
+)
+
+
 MATRIX_SQL = with_station(
     f", t AS (SELECT *, lead(VT20) OVER (PARTITION BY {SITE} ORDER BY {TIME}, event_id) AS y FROM st), "
     "m AS (SELECT * FROM t WHERE y IS NOT NULL AND VT90 - VT20 > 0) "
@@ -121,7 +142,7 @@ def _permutation(spark, folder):
     table_ = ml.assemble(lines(spark, folder).select(*LINE_KEYS, "l_quantity", "l_discount", "l_tax", "l_extendedprice"), FEATURES, "l_extendedprice")
     found = ml.permutation_importance(
         fixed_scorer, table_.select(*LINE_KEYS, "features", "label"), FEATURES, LINE_KEYS, REPEATS,
-        draw=lambda k: F.expr(ROWS_ORDER.format(r=k)), rows_per_shuffle=1_000_000_000,
+        draw=lambda k: F.expr(ROWS_ORDER.format(r=k)),
     )
     return rounded(found)
 
@@ -167,6 +188,12 @@ def _shapley(spark, folder):
     return ml.shapley_values(fixed_scorer, sample, test, FEATURES, LINE_KEYS, permutations=10)
 
 
+def _null_times(spark, folder):
+    """Long series in which every seventh event has lost its time."""
+    events = table(spark, folder, "events")
+    return events.select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias(TIME))
+
+
 def _boosted(spark, folder):
     train, test = _assembled(spark, folder)
     _, predictions = ml.train_all(train.select(*LINE_KEYS, "features", "label").persist(), test, LINES, rounds=2, depth=3, folds=3)
@@ -197,6 +224,11 @@ QUERIES: dict[str, Query] = {
         lambda s, d: modeling.chronological_split(lines(s, d).select(*LINE_KEYS), LINES),
         f"SELECT {KEYS_SQL}, row_number() OVER ({ORDER_SQL}) - 1 < floor(count(*) OVER (PARTITION BY l_returnflag) * 0.8e0) AS is_train FROM lineitem",
     ),
+    "split_null_times_long_series": Query(
+        lambda s, d: modeling.chronological_split(_null_times(s, d), HOT).select("event_id", "is_train"),
+        f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 7 <> 0 THEN ts END NULLS FIRST, event_id) - 1 "
+        "< floor(count(*) OVER (PARTITION BY event_type) * 0.8e0) AS is_train FROM events",
+    ),
     "contiguous_folds": Query(
         lambda s, d: modeling.contiguous_folds(lines(s, d).select(*LINE_KEYS), LINES),
         f"SELECT {KEYS_SQL}, cast(ntile(5) OVER ({ORDER_SQL}) - 1 AS int) AS fold FROM lineitem",
@@ -207,6 +239,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT {KEYS_SQL} FROM n WHERE i IN (SELECT (k * (n.c - 1)) // 99 FROM (SELECT unnest(range(100)) AS k))",
     ),
     "model_matrix": Query(_matrix, MATRIX_SQL),
+    "training_matrix": Query(_training, TRAINING_SQL),
     "regression_scores": Query(
         lambda s, d: modeling.scores(_predictions(s, d), ["model"]).select("model", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("r2", 6).alias("r2")),
         f"WITH {STACK_SQL} SELECT model, {SCORE_SQL} FROM s GROUP BY model",

@@ -20,12 +20,28 @@ def union_sites(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def header_groups(spark: SparkSession, *paths: str) -> list[list[str]]:
+    """The files under the paths, those with the same header line together.
+
+    Only first lines reach the driver, one for each file, as a listing of the files would."""
+    lines = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    numbered = lines.where("file_block_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    heads = numbered.groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("file_path").collect():
+        groups.setdefault(row["header"], []).append(row["file_path"])
+    return list(groups.values())
+
+
 def read_raw_stations(spark: SparkSession, *paths: str) -> DataFrame:
     """Raw exports as text columns named by each file's own header; types are never inferred.
 
-    Paths given together are separate reads, since exports of different sites order and name
-    their columns differently; one path may be a glob over files of equal layout."""
-    return union_sites(*[spark.read.option("header", True).option("inferSchema", False).csv(p) for p in paths])
+    Exports of different sites order and name their columns differently, also within a folder, so
+    files are read in groups of equal headers and stacked by name."""
+    groups = header_groups(spark, *paths)
+    if not groups:
+        return spark.read.option("header", True).option("inferSchema", False).csv(list(paths))
+    return union_sites(*[spark.read.option("header", True).option("inferSchema", False).csv(files) for files in groups])
 
 
 def type_stations(raw: DataFrame, ids: Sequence[str] = (SITE, COUNTY), ts: str = TIME) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inversia.operators import impute, quality, windows
+from inversia.operators import filters, impute, modeling, quality, windows
 from inversia.operators.quantiles import exact_quantiles
 from inversia.plans.layout import plan_layout, settled
 from tests.helpers import SPEC, hot_table, same
@@ -29,6 +29,10 @@ JOBS = {
     "linear": lambda df, s: impute.linear_fill(df, s, ["v", "u"], 4, directions=["u"]),
     "both_ways": lambda df, s: impute.forward_backward_fill(df, s, ["v", "u"], 5),
     "fill_all": lambda df, s: impute.fill_all(df, s, ["v", "u"]),
+    "differences": lambda df, s: windows.add_differences(df.withColumnsRenamed({"v": "VT20", "u": "WDIR"}), s),
+    "split": lambda df, s: modeling.chronological_split(df, s),
+    "folds": lambda df, s: modeling.contiguous_folds(df, s),
+    "thin": lambda df, s: modeling.thin(df, s, 37),
 }
 
 
@@ -51,6 +55,54 @@ def test_cut_equals_whole(table, name):
     assert same(JOBS[name](table, SPEC), JOBS[name](table, CUT))
 
 
+@pytest.fixture(scope="module")
+def troubled(spark):
+    """Null times, repeated times, and a text tie-break that alone tells many rows apart."""
+    df = hot_table(spark)
+    early = F.when(F.col("id") % 9 == 0, F.lit(None)).when(F.col("id") % 4 == 0, F.lit("2024-01-02").cast("timestamp_ntz"))
+    named = df.withColumn("ts", F.coalesce(early, F.when(F.col("id") % 9 != 0, F.col("ts"))))
+    return named.withColumn("name", F.concat(F.lit("a long common beginning "[:9]), F.format_string("%06d", F.pmod(F.col("id") * 7919, F.lit(100_003)))))
+
+
+# times are compared and subtracted in these, so a null time has no place in them
+TIMED = {"time_gaps", "periods", "completeness", "events", "event_summary"}
+
+
+@pytest.mark.parametrize("name", [n for n in JOBS if n not in TIMED])
+def test_null_and_repeated_times(troubled, name):
+    whole = SPEC.but(tiebreak=("name",))
+    cut = whole.but(rows_per_chunk=40)
+    layout = plan_layout(troubled, cut)
+    sizes = layout.spread(troubled).where("_own").groupBy("site", "_chunk").count().toPandas()
+    assert sizes["count"].max() <= 2 * layout.rows
+    assert same(JOBS[name](troubled, whole), JOBS[name](troubled, cut))
+
+
+def test_series_without_any_time(spark):
+    df = hot_table(spark).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    for name in ("split", "rolling", "fill_all"):
+        assert same(JOBS[name](df, SPEC), JOBS[name](df, CUT))
+
+
+def test_cells_are_split_until_they_fit(spark):
+    """Gaps of ever larger scale: many levels of cells."""
+    df = spark.createDataFrame([("hot", 2**40 * (i % 2) + 4 ** (i % 20), i, float(i)) for i in range(800)], "site string, n bigint, id bigint, v double")
+    spec = SPEC.but(ts="n", tiebreak=("id",))
+    cut = spec.but(rows_per_chunk=8)
+    layout = plan_layout(df, cut)
+    assert len(layout.levels) > 4
+    sizes = layout.spread(df).where("_own").groupBy("_chunk").count().toPandas()
+    assert sizes["count"].max() <= 2 * layout.rows
+    for name in ("split", "rolling"):
+        assert same(JOBS[name](df, spec), JOBS[name](df, cut))
+
+
+def test_numbers_beyond_doubles_go_by_the_tie_break(spark):
+    df = spark.createDataFrame([("hot", 2**60 + i % 3, i, 1.0) for i in range(300)], "site string, n bigint, id bigint, v double")
+    spec = SPEC.but(ts="n", tiebreak=("id",))
+    assert same(JOBS["split"](df, spec), JOBS["split"](df, spec.but(rows_per_chunk=20)))
+
+
 @pytest.mark.parametrize("name", ["events", "linear", "rolling"])
 def test_one_series_without_site(table, name):
     one = SPEC.but(site=())
@@ -103,6 +155,31 @@ def test_equal_times_are_cut_by_the_tie_break(spark):
         assert same(JOBS[name](table, SPEC), JOBS[name](table, CUT))
 
 
+def count_scans(spark, work):
+    """Rows read from the counted table while ``work`` plans, in units of the table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    work(counted)
+    return seen.value
+
+
+def test_planning_reads_the_table_once(spark):
+    df = hot_table(spark).cache()
+    rows = df.count()
+    assert count_scans(spark, lambda counted: plan_layout(counted(df), SPEC)) == rows
+    # a cut table: once for the lengths, once for each level of cells
+    levels = len(plan_layout(df, CUT).levels)
+    assert count_scans(spark, lambda counted: plan_layout(counted(df), CUT)) == rows * (1 + levels)
+
+
 def test_settled_layout_is_reused(table):
     spec = settled(table, CUT)
     assert plan_layout(table, spec) is spec.layout and spec == CUT

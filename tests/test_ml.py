@@ -98,11 +98,14 @@ def test_permutation_importance(spark):
     df = spark.createDataFrame(rows, "id bigint, x array<double>")
     df = df.select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.col("x")[2].alias("c"))
     table = ml.assemble(df.withColumn("y", 1 + 3 * F.col("a") + F.col("b")), ["a", "b", "c"], "y").select("id", "features", "label")
+    both = []
     for per in (10**6, 50):
-        got = ml.permutation_importance(linear_scorer([3, 1, 0]), table, ["a", "b", "c"], ["id"], 3, rows_per_shuffle=per)
+        got = ml.permutation_importance(linear_scorer([3, 1, 0]), table, ["a", "b", "c"], ["id"], 3, rows_per_task=per)
         found = {r.feature: r for r in got.collect()}
+        both.append({f: round(r.perm_importance_mean, 9) for f, r in found.items()})
         assert found["a"].perm_importance_mean > 1.0
         assert found["b"].perm_importance_mean == pytest.approx(0) and found["c"].perm_importance_std == pytest.approx(0)
+    assert both[0] == both[1]
 
 
 def test_shapley_is_exact_for_a_linear_model(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inversia.operators import filters, impute, modeling, quality, spatial, windows
 from inversia.plans import jobs
 from inversia.plans.series import SeriesSpec
+from inversia.sources import stations
 from tests.helpers import SPEC, START, hot_table, series, values
 
 GAPPY = [None] * 3 + [1] + [None] * 6 + [8] + [None] * 3
@@ -117,6 +118,26 @@ def test_missing_log_keeps_the_raw_text(spark):
     assert [(r.Row_Index, r.Original_Value, r.Missing_Type) for r in got] == [(1, "bad", "Non-numeric_converted"), (2, None, "Already_missing")]
 
 
+def test_raw_exports_of_two_layouts(spark, tmp_path):
+    """Two files of one folder, their columns in another order, units rows and text times."""
+    (tmp_path / "a.csv").write_text("NetSiteAbbrev,County,UTCTimestampCollected,TAIR,RELH\n,,UTC,C,%\nA,x,2024-01-01 00:05:00,2,60\nA,x,2024-01-01 00:00:00,1,bad\n")
+    (tmp_path / "b.csv").write_text("RELH,TAIR,UTCTimestampCollected,NetSiteAbbrev,County\n70,3,01/02/2024 00:00:00,B,y\n71,,2024-01-03 00:00:00,B,y\n")
+    assert len(stations.header_groups(spark, str(tmp_path))) == 2
+    raw = stations.read_raw_stations(spark, str(tmp_path))
+    typed = stations.type_stations(raw)
+    got = {(r.NetSiteAbbrev, r.TAIR, r.RELH) for r in typed.collect()}
+    assert got == {("A", 2.0, 60.0), ("A", 1.0, None), ("B", 3.0, 70.0), ("B", None, 71.0)}
+    found = jobs.cleaning_job(raw, typed, jobs.STATION, ["TAIR", "RELH"])
+    log = {(r.Column, r.Original_Value, r.Row_Index, r.DateTime) for r in found["log"].collect()}
+    assert log == {
+        ("TAIR", "C", 0, "UTC"), ("RELH", "%", 0, "UTC"), ("RELH", "bad", 0, "2024-01-01 00:00:00"), ("TAIR", None, 1, "2024-01-03 00:00:00"),
+    }
+    values = [(r.Column, r.Seen_No, r.Value) for r in found["raw_values"].orderBy("Column", "Seen_No").collect()]
+    assert values[:2] == [("RELH", 1, "%"), ("RELH", 2, "bad")]
+    assert found["complete"].count() == 2 and found["incomplete"].count() == 2
+    assert found["chunks"].count() == 2 and found["availability"].count() == 2
+
+
 def test_numeric_only_keeps_ids(spark):
     df = spark.createDataFrame([("A", "x", "7", 1.0)], "NetSiteAbbrev string, note string, n string, v double")
     assert filters.numeric_only(df).columns == ["NetSiteAbbrev", "v"]
@@ -196,6 +217,27 @@ def test_nearest_ties_go_to_the_smaller_index(spark, falling):
         assert [r.altitude for r in got] == [1, 20, 30]
 
 
+@pytest.mark.parametrize("rows", [0, 1])
+def test_nearest_on_a_grid_without_or_with_one_latitude(spark, rows):
+    grid = grid_of(spark).where(F.col("lat_idx") < rows)
+    points = spark.createDataFrame([(1, 40.0, -84.99), (2, 30.0, -80.0), (3, None, -85.0)], "id int, latitude double, longitude double")
+    for options in ({}, {"max_axis": 0}):
+        got = spatial.nearest_grid_point(points, grid, **options).orderBy("id").collect()
+        assert [r.altitude for r in got] == ([100, 120, None] if rows else [None] * 3)
+
+
+def test_both_lookups_agree_next_to_midpoints(spark):
+    """Decimal steps have no exact midpoints; points a rounding away from them tell the rules apart."""
+    grid = spark.createDataFrame([(i, 0, 36.0 + i * 0.0373, -85.0, float(i)) for i in range(60)], "lat_idx int, lon_idx int, lat double, lon double, z double")
+    rows = []
+    for i in range(59):
+        middle = (36.0 + i * 0.0373 + 36.0 + (i + 1) * 0.0373) / 2
+        rows += [(3 * i + k, x, -85.0) for k, x in enumerate((math.nextafter(middle, 0), middle, math.nextafter(middle, 99)))]
+    points = spark.createDataFrame(rows, "id int, latitude double, longitude double")
+    a, b = (spatial.nearest_grid_point(points, grid, **o).orderBy("id").collect() for o in ({}, {"max_axis": 0}))
+    assert a == b
+
+
 def test_feature_build_columns(spark):
     sensors = [f for f in impute.SENSORS if not f.startswith("VR")]
     df = series(spark, *[[float(i % 7 + k) for i in range(30)] for k in range(len(sensors))], names=",".join(sensors))
