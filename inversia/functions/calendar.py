@@ -62,8 +62,3 @@ def model_time_columns(df: DataFrame, ts: str) -> dict[str, Column]:
         "month": F.month(col),
         "is_daytime": hour.between(6, 18).cast("int"),
     }
-
-
-def with_calendar(df: DataFrame, ts: str) -> DataFrame:
-    col = F.col(ts)
-    return df.withColumns({**calendar_parts(col), **season_columns(col), **cyclic_columns(col)})

@@ -27,11 +27,6 @@ def strength_code(strength: Column) -> Column:
     return code.when(strength.isNotNull(), float(len(STRENGTH_EDGES)))
 
 
-def strength_label(strength: Column) -> Column:
-    names = F.array(*[F.lit(n) for n in STRENGTH_CLASSES])
-    return F.get(names, strength_code(strength).cast("int"))
-
-
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 

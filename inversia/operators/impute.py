@@ -68,7 +68,7 @@ def linear_fill(
     filled = {c: _bounded_linear(c, limit) for c in plain}
     for c in round_:
         angle = F.degrees(F.atan2(_bounded_linear(f"_sin_{c}", limit), _bounded_linear(f"_cos_{c}", limit)))
-        filled[c] = F.pmod(angle, F.lit(360.0))
+        filled[c] = F.coalesce(F.col(c), F.pmod(angle, F.lit(360.0)))
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,11 @@ from inversia.plans.layout import settled
 from inversia.plans.series import SeriesSpec
 from inversia.session import shared_folder
 
+log = logging.getLogger(__name__)
+
+# Runs of up to so many rows are filled linearly, or by the forest.
 LINEAR_UP_TO, FOREST_UP_TO = 12, 48
+METHODS = ("auto", "linear", "ffill", "circular", "zero", "random_forest", "gradient_boosting")
 
 
 @dataclass(frozen=True)
@@ -95,8 +101,8 @@ def _with_fallback(attempt: Callable[[], DataFrame | None], otherwise: Callable[
     """The fitted fill, or the linear one if the model cannot be fitted on this data."""
     try:
         filled = attempt()
-    except (ValueError, ArithmeticError) as problem:
-        print(f"model fill not possible ({problem}); filling linearly")
+    except (ValueError, ArithmeticError, PySparkException) as problem:
+        log.warning("model fill not possible, filling linearly: %s", str(problem).splitlines()[0])
         filled = None
     return otherwise() if filled is None else filled
 
@@ -172,6 +178,8 @@ def fill_gaps(
     """Fill the variables in order; a model sees the fills of the variables before it and the raw
     values of those after it. All linear fills are one window pass; after each model fill the
     table is checkpointed to the shared folder, so lineage does not grow with the variables."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}: one of {', '.join(METHODS)}")
     wanted = existing(df, variables if variables is not None else sensors)
     df = df.withColumns({c: number(F.col(c)) for c in wanted}) if wanted else df
     spec = settled(df, spec)  # fills change values, never rows

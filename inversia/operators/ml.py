@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inversia.operators.modeling import contiguous_folds, score_columns, scores
+from inversia.operators.quantiles import exact_quantiles
 from inversia.plans.layout import plan_layout
 from inversia.plans.series import SeriesSpec
 from inversia.session import staged
@@ -95,6 +96,13 @@ def permutation_importance(
 # -- Shapley values --------------------------------------------------------------------------
 
 
+def _numbered(df: DataFrame, order: Column, keys: Sequence[str], name: str, rows_per_task: int) -> DataFrame:
+    """Rows with their place in the order, from 0, written once so that places stay."""
+    placed = df.withColumn("_o", order)
+    layout = plan_layout(placed, SeriesSpec((), "_o", tuple(keys), rows_per_chunk=rows_per_task))
+    return staged(layout.own(layout.spread(placed).withColumn(name, layout.position())), "numbered")
+
+
 def shapley_values(
     scorer: Scorer,
     rows: DataFrame,
@@ -103,46 +111,50 @@ def shapley_values(
     keys: Sequence[str],
     permutations: int = 20,
     seed: int = SEED,
+    order: Column | None = None,
+    partner: Callable[[Column], Column] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Sampled Shapley values, long: keys, feature, phi.
+    """Sampled Shapley values, long: keys, feature, phi, for every one of ``rows``.
 
-    For each row and draw, features are taken over from a random background row to the row itself
-    in random order; a feature's contribution is the change of the prediction when its turn
-    comes. Along a draw the contributions add up to f(row) - f(background row). A draw of d
-    features needs d + 1 scores. ``rows`` is the explained sample, ``background`` the rows the
-    draws come from; each draw takes its partner from a background sample of equal size."""
+    For each row and draw, features are taken over from a background row to the row itself in
+    random order; a feature's contribution is the change of the prediction when its turn comes.
+    Along a draw the contributions add up to f(row) - f(background row). A draw of d features
+    needs d + 1 scores.
+
+    Any row of ``background`` may be drawn: its rows are numbered in random order and a draw picks
+    one by a hash modulo their number. ``order`` and ``partner(draw)`` may replace both. Rows with
+    equal keys are explained apart. Explain fewer rows by giving fewer (``sample_rows``)."""
     d = len(features)
-    explained = rows.select(*keys, vector_to_array("features").alias("_x"))
+    explained = _numbered(
+        rows.select(*keys, vector_to_array("features").alias("_x")), F.xxhash64(*[F.col(k) for k in keys]), keys, "_row", rows_per_task
+    ).drop("_o")
+    by = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)) if order is None else order
+    pool = _numbered(background.select(*keys, vector_to_array("features").alias("_z")), by, keys, "_b", rows_per_task).select("_b", "_z")
+    count = pool.count()
+    pick = F.xxhash64("_row", "_draw", F.lit(seed)) if partner is None else partner(F.col("_draw"))
     draws = explained.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    # number a background sample 0..permutations*8-1 by hash; small by construction
-    size = permutations * 8
-    pool = (
-        background.select(vector_to_array("features").alias("_z"), F.xxhash64("features", *[F.col(k) for k in keys], F.lit(seed)).alias("_h"))
-        .orderBy("_h")
-        .limit(size)
-    )
-    numbered = pool.withColumn("_b", F.row_number().over(Window.orderBy("_h")) - 1)
-    count = numbered.count()
-    draws = draws.withColumn("_b", F.pmod(F.xxhash64(*keys, "_draw", F.lit(seed)), F.lit(count)).cast("int"))
-    paired = draws.join(F.broadcast(numbered.select("_b", "_z")), "_b")
+    # no background, no draws: the join below is empty
+    paired = draws.withColumn("_b", F.pmod(pick, F.lit(max(count, 1))).cast("bigint")).join(pool, "_b")
     # random feature order of the draw: sort feature numbers by hash
     numbers = F.sequence(F.lit(0), F.lit(d - 1))
-    hashed = F.transform(numbers, lambda j: F.struct(F.xxhash64(*[F.col(k) for k in keys], F.col("_draw"), j, F.lit(seed)).alias("h"), j.alias("j")))
+    hashed = F.transform(numbers, lambda j: F.struct(F.xxhash64("_row", "_draw", j, F.lit(seed)).alias("h"), j.alias("j")))
     paired = paired.withColumn("_order", F.transform(F.array_sort(hashed), lambda s: s["j"]))
     # after step s the first s features of the order are the row's own
     steps = paired.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))
     mixed = F.transform(
         "_x", lambda v, i: F.when(F.array_position("_order", i.cast("int")) <= F.col("_s"), v).otherwise(F.col("_z")[i])
     )
-    scored = scorer(steps.select(*keys, "_draw", "_s", "_order", array_to_vector(mixed).alias("features")))
-    path = scored.groupBy(*keys, "_draw").agg(
+    scored = scorer(steps.select(*keys, "_row", "_draw", "_s", "_order", array_to_vector(mixed).alias("features")))
+    path = scored.groupBy(*keys, "_row", "_draw").agg(
         F.array_sort(F.collect_list(F.struct("_s", "prediction"))).alias("_p"), F.first("_order").alias("_order")
     )
     change = F.transform(
         "_order", lambda j, s: F.struct(j.alias("j"), (F.col("_p")[s + 1]["prediction"] - F.col("_p")[s]["prediction"]).alias("phi"))
     )
     name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("j") + 1)
-    return path.select(*keys, F.inline(change)).groupBy(*keys, name.alias("feature")).agg(F.avg("phi").alias("phi"))
+    found = path.select(*keys, "_row", F.inline(change)).groupBy(*keys, "_row", name.alias("feature"))
+    return found.agg(F.avg("phi").alias("phi")).drop("_row")
 
 
 def shapley_importance(phi: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -155,11 +167,10 @@ def explain_row(phi: DataFrame, row: Column) -> DataFrame:
 
 
 def shapley_spread(phi: DataFrame) -> DataFrame:
-    """Quartiles and range of each feature's values (the explained sample is of fixed size)."""
-    q = F.percentile("phi", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return phi.groupBy("feature").agg(
-        F.min("phi").alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("phi").alias("high")
-    )
+    """Quartiles and range of each feature's values."""
+    quartiles = exact_quantiles(phi, ["phi"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature"]).drop("variable")
+    ends = phi.groupBy("feature").agg(F.min("phi").alias("low"), F.max("phi").alias("high"))
+    return ends.join(quartiles, "feature").select("feature", "low", "q1", "median", "q3", "high")
 
 
 # -- boosted variants and stacking -------------------------------------------------------------

@@ -155,8 +155,9 @@ def top_k(table: DataFrame, by: str, k: int, groups: Sequence[str] = (), tie: st
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all) without replacement: the n smallest hashes of the row key."""
-    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    """Exactly n rows (or all) without replacement: the n smallest MD5s of the row key as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.withColumn("_h", F.md5(text)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def significance_report(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:

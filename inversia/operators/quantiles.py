@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inversia.plans.joins import match
 from inversia.plans.layout import plan_layout
 from inversia.plans.series import ROWS_PER_CHUNK, SeriesSpec
+from inversia.session import staged
 
 
 def exact_quantiles(
@@ -26,7 +27,8 @@ def exact_quantiles(
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_v")) for c in columns])
     long = df.select(*by, F.inline(F.filter(cells, lambda x: x["_v"].isNotNull())))
     group = [*by, "variable"]
-    counts = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # written once: planned, summed and walked without going over the table again
+    counts = staged(long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), "counts")
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     layout = plan_layout(counts, SeriesSpec(tuple(group), "_v", rows_per_chunk=rows_per_chunk))
     walked = layout.own(layout.running(layout.spread(counts), _cum=F.col("_n")))

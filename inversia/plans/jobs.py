@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from inversia.functions.weather import (
     surface_columns,
 )
 from inversia.operators import filters, impute, impute_ml, ml, modeling, quality, spatial, windows
+from inversia.plans.joins import match
 from inversia.plans.layout import settled
 from inversia.plans.series import SeriesSpec
 from inversia.session import staged
@@ -37,6 +40,7 @@ CAPPED = (
     "potential_temp", "sat_vapor_pressure", "vapor_pressure", "virtual_temp_calc",
 )
 TEST_SHARE = 0.2
+SITE_EFFECT, POOLED, COMBINED = "site_mean", "all", "combined"
 
 
 def build_features(df: DataFrame, spec: SeriesSpec = STATION) -> DataFrame:
@@ -91,32 +95,71 @@ def build_features(df: DataFrame, spec: SeriesSpec = STATION) -> DataFrame:
 
 def save_features(features: DataFrame, folder: str, spec: SeriesSpec = STATION) -> None:
     """Feature table, event table and event summary."""
+    spec = settled(features, spec)
     strength = F.col("VT_inversion_90_05")
     sinks.write_table(features, f"{folder}/features")
     sinks.write_table(windows.inversion_events(features, spec, strength), f"{folder}/events")
     sinks.write_summary(windows.event_summary(features, spec, strength), f"{folder}/summary")
 
 
+def side_by_side(spark: SparkSession, tasks: dict[tuple, Callable[[], object]], workers: int) -> tuple[dict[tuple, object], list[tuple]]:
+    """Independent Spark jobs from a bounded pool of driver threads: what they return, and for those
+    that fail their key with the error. One failure doesn't stop the others."""
+    done, failed = {}, []
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        running = {key: pool.submit(inheritable_thread_target(spark)(task)) for key, task in tasks.items()}
+        for key, future in running.items():
+            try:
+                done[key] = future.result()
+            except Exception as problem:  # reported as a row
+                failed.append((*key, f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"))
+    return done, failed
+
+
 def fill_job(
     df: DataFrame,
     spec: SeriesSpec = STATION,
     method: str = "auto",
     models: impute_ml.FillModels = impute_ml.FillModels(),
-    pooled: bool = False,
+    sites: Sequence[str] | None = None,
     variables: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Filled table and fill report. By default each site is filled by its own models, one after
-    the other; ``pooled`` fits one model for all, for tables of many sites."""
-    if pooled or not spec.site or method in ("linear", "ffill"):
-        filled = impute_ml.fill_gaps(df, spec, method, variables, models)
+    workers: int = 4,
+    out: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Filled table, fill report, and (site, error) of sites that failed.
+
+    One model per variable for all sites; with ``sites`` those listed are filled by models of
+    their own, several at a time, and other or failing ones keep their gaps. ``out``: where the
+    table and the report are written."""
+    if sites is None:
+        filled, failed = impute_ml.fill_gaps(df, spec, method, variables, models), []
     else:
-        sites = [tuple(r) for r in df.select(*spec.site).distinct().collect()]
-        parts = []
-        for key in sites:
-            own = df.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(spec.site, key)]))
-            parts.append(impute_ml.fill_gaps(own, spec, method, variables, models))
-        filled = reduce(DataFrame.unionByName, parts)
-    return filled, quality.fill_report(df, filled, existing(df, variables or impute.SENSORS))
+        spark, site = df.sparkSession, spec.site[0]
+        table = staged(df, "fill")
+        tasks = {
+            (name,): partial(_filled_site, filters.site_rows(table, site, name), spec, method, variables, models) for name in dict.fromkeys(sites)
+        }
+        done, failed = side_by_side(spark, tasks, workers)
+        rest = table.where(F.coalesce(~F.col(site).isin([name for (name,) in done]), F.lit(True))) if done else table
+        filled = reduce(partial(DataFrame.unionByName, allowMissingColumns=False), done.values(), _typed_like(rest, done))
+        df = table
+    report = quality.fill_report(df, filled, existing(df, variables or impute.SENSORS))
+    if out is not None:
+        sinks.write_table(filled, f"{out}/filled")
+        sinks.write_summary(report, f"{out}/report")
+    return filled, report, df.sparkSession.createDataFrame(failed, "site string, error string")
+
+
+def _filled_site(rows: DataFrame, *arguments) -> DataFrame:
+    return staged(impute_ml.fill_gaps(rows, *arguments), "filled")
+
+
+def _typed_like(rest: DataFrame, done: dict[tuple, DataFrame]) -> DataFrame:
+    """Sites left alone, with the column types of the filled ones."""
+    if not done:
+        return rest
+    schema = next(iter(done.values())).schema
+    return rest.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def continuity_report(df: DataFrame, spec: SeriesSpec = STATION, expected_s: float = 1800, tolerance_s: float = 300) -> dict[str, DataFrame]:
@@ -145,12 +188,14 @@ def cleaning_job(raw: DataFrame, typed: DataFrame, spec: SeriesSpec, columns: Se
 
 
 def training_matrix(
-    features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool, fit_on: str = "train"
-) -> tuple[DataFrame, list[str]]:
+    features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool,
+    fit_on: str = "train", site_effect: bool = False,
+) -> tuple[DataFrame, list[str]]:
     """All rows with a known target, ``is_train``, and the columns that can be learned from.
 
     Null cells take the mean of the training rows (``fit_on="all"``: of all rows). A column
-    without a known value among those is left out; no row is."""
+    without a known value among those is left out; no row is. ``site_effect`` adds the site's mean
+    training target as a column, so that one model can serve all sites."""
     rows = features.where(F.col(target).isNotNull())
     if focus_inversion:
         rows = filters.inversion_rows(rows)
@@ -158,20 +203,51 @@ def training_matrix(
     split = modeling.chronological_split(rows.select(*wanted), spec, TEST_SHARE)
     fit = F.col("is_train") if fit_on == "train" else None
     matrix = modeling.model_matrix(split, columns, target, [*spec.keys, "is_train"], fit_rows=fit)
+    if site_effect:
+        means = matrix.where("is_train").groupBy(*spec.site).agg(F.avg(target).alias(SITE_EFFECT))
+        matrix = impute.mean_fill(match(matrix, means, spec.site, "left"), [SITE_EFFECT], matrix.where("is_train").select(F.col(target).alias(SITE_EFFECT)))
+        columns = [*columns, SITE_EFFECT]
     # after the fill a column is null where it had no mean to take
     used = modeling.known_columns(matrix if fit is None else matrix.where("is_train"), [c for c in columns if c in matrix.columns])
     return matrix.select(*dict.fromkeys([*spec.keys, "is_train", target, *used])), used
 
 
 def site_matrix(
-    features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool, fit_on: str = "train"
+    features: DataFrame, spec: SeriesSpec, columns: Sequence[str], target: str, focus_inversion: bool, fit_on: str = "train", site_effect: bool = False
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Train and test tables with ``features`` and ``label``, and the names behind ``features``."""
-    matrix, used = training_matrix(features, spec, columns, target, focus_inversion, fit_on)
+    matrix, used = training_matrix(features, spec, columns, target, focus_inversion, fit_on, site_effect)
     known = ml.assemble(matrix, used, target)
     return known.where("is_train"), known.where(~F.col("is_train")), used
 
 
+def _forecast_one(
+    rows: DataFrame, spec: SeriesSpec, target: str, label: str, name: str, columns: Sequence[str] | None, focus_inversion: bool,
+    sizes: tuple, pooled: bool, models_to: str | None,
+) -> tuple[DataFrame, list[tuple]]:
+    """Predictions of one site (or all together) and target, and each model's importance rows."""
+    candidates = rows if columns is None else rows.select(*columns)
+    chosen = filters.select_features(candidates, ids=(*filters.ID_COLUMNS, *spec.keys))
+    train, test, used = site_matrix(rows, spec, chosen, target, focus_inversion, site_effect=pooled)
+    table = [*spec.keys, "features", "label"]
+    # written once: many fits read it
+    train, test = staged(train.select(*table), "train"), staged(test.select(*table), "test")
+    if train.isEmpty():
+        raise ValueError(f"no training rows with a known {target}")
+    fitted, predictions = ml.train_all(train, test, spec, *sizes)
+    importance = [
+        (name, label, kind, feature, float(value))
+        for kind, model in fitted.items()
+        if hasattr(model, "featureImportances")
+        for feature, value in zip(used, model.featureImportances.toArray())
+    ]
+    if models_to is not None:
+        for kind, model in fitted.items():
+            sinks.save_model(model, f"{models_to}/{name}/{label}/{kind}")
+    shown = predictions.select(F.col(spec.site[0]).alias("site"), F.lit(label).alias("target"), "model", *spec.order, "label", "prediction")
+    return staged(shown, "predictions"), importance
+
+
 def forecast_job(
     features: DataFrame,
     spec: SeriesSpec = STATION,
@@ -183,32 +259,42 @@ def forecast_job(
     stack: bool = True,
     columns: Sequence[str] | None = None,
     sites: Sequence[str] | None = None,
+    workers: int = 4,
+    models_to: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every site and target: split, fit the boosted variants and their stack, score, pick the
-    best. Sites and targets are independent Spark jobs, started one after the other."""
-    site = spec.site[0]
-    features = staged(features, "features")
-    names = sites if sites is not None else [r[0] for r in features.select(site).distinct().orderBy(site).collect()]
-    parts = []
-    for name in names:
-        own = filters.site_rows(features, site, name)
-        candidates = own if columns is None else own.select(*columns)
-        chosen = filters.select_features(candidates, ids=(*filters.ID_COLUMNS, *spec.keys))
-        for label, target in (targets or FORECAST_TARGETS).items():
-            if target not in features.columns:
-                continue
-            train, test, _ = site_matrix(own, spec, chosen, target, focus_inversion)
-            train = train.persist()
-            try:
-                _, predictions = ml.train_all(train, test, spec, rounds, depth, folds, stack)
-                parts.append(
-                    predictions.select(F.lit(name).alias("site"), F.lit(label).alias("target"), "model", *spec.order, "label", "prediction")
-                )
-            finally:
-                train.unpersist()
-    predictions = staged(reduce(DataFrame.unionByName, parts), "predictions")
+    """Split, fit the boosted variants and their stack, score, pick the best, per site and target.
+
+    One set of models per target for all sites, with the site's mean as a feature; with ``sites``
+    each one listed gets models of its own, several sites at a time. ``importance`` has every
+    model's features, ``failures`` what could not be fitted. ``models_to``: folder for the models."""
+    spark, site = features.sparkSession, spec.site[0]
+    table = staged(features, "features")
+    wanted = {label: target for label, target in (targets or FORECAST_TARGETS).items() if target in table.columns}
+    groups = {POOLED: table} if sites is None else {name: filters.site_rows(table, site, name) for name in dict.fromkeys(sites)}
+    tasks = {
+        (name, label): partial(
+            _forecast_one, rows, spec, target, label, name, columns, focus_inversion, (rounds, depth, folds, stack), sites is None, models_to
+        )
+        for name, rows in groups.items()
+        for label, target in wanted.items()
+    }
+    done, failed = side_by_side(spark, tasks, workers)
+    importance = spark.createDataFrame([r for _, rows in done.values() for r in rows], "site string, target string, model string, feature string, importance double")
+    failures = spark.createDataFrame(failed, "site string, target string, error string")
+    if not done:
+        order = [f for f in table.schema.fields if f.name in spec.order]
+        kinds = ["site string", "target string", "model string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in order], "label double", "prediction double"]
+        predictions = spark.createDataFrame([], ", ".join(kinds))
+    else:
+        predictions = reduce(DataFrame.unionByName, [p for p, _ in done.values()])
     results = modeling.scores(predictions, ["site", "target", "model"])
-    return {"predictions": predictions, "results": results, "best": modeling.best_models(results)}
+    return {
+        "predictions": predictions,
+        "results": results,
+        "best": modeling.best_models(results),
+        "importance": importance,
+        "failures": failures,
+    }
 
 
 def explain_site(
@@ -219,10 +305,11 @@ def explain_site(
     trees: int = 100,
     depth: int = 10,
     repeats: int = 10,
-    max_samples: int = 1000,
+    max_samples: int | None = None,
     permutations: int = 20,
 ) -> dict[str, DataFrame]:
-    """Forest, its impurity, permutation and Shapley importance, their comparison and scores."""
+    """Forest, its impurity, permutation and Shapley importance, their comparison and scores.
+    All rows are explained, or a sample of ``max_samples``."""
     times = model_time_columns(df, spec.ts)
     rows = df.where(F.col(target).isNotNull()).withColumns(times)
     used = list(dict.fromkeys([*columns, *times]))
@@ -232,21 +319,26 @@ def explain_site(
     used = modeling.known_columns(split.where("is_train"), used)
     split = impute.mean_fill(split, used, split.where("is_train"))
     table = ml.assemble(split.select(*spec.keys, "is_train", target, *[c for c in used if c != target]), used, target)
-    table = table.select(*spec.keys, "is_train", "features", "label").persist()
+    # written once: the fit and three explanations read it
+    table = staged(table.select(*spec.keys, "is_train", "features", "label"), "explained")
     train, test = table.where("is_train"), table.where(~F.col("is_train"))
     model = ml.fit_forest(train.select("features", "label"), trees, depth)
     impurity = ml.importance_table(model, used, train)
     permuted = ml.permutation_importance(model.transform, test, used, spec.keys, repeats)
-    forest = impurity.join(permuted, "feature")
-    sample = modeling.sample_rows(table, spec.keys, max_samples)
-    phi = ml.shapley_values(model.transform, sample, table, used, spec.keys, permutations)
+    forest = staged(impurity.join(permuted, "feature"), "importance")
+    sample = table if max_samples is None else modeling.sample_rows(table, spec.keys, max_samples)
+    phi = staged(ml.shapley_values(model.transform, sample, table, used, spec.keys, permutations), "phi")
     shapley = ml.shapley_importance(phi)
+    comparison = staged(modeling.compare_methods(forest, shapley), "comparison")
     return {
-        "scores": model.transform(test).agg(*modeling.score_columns()),
+        "scores": staged(model.transform(test).agg(*modeling.score_columns()), "scores"),
         "forest": forest,
         "phi": phi,
         "shapley": shapley,
-        "comparison": modeling.compare_methods(forest, shapley),
+        "spread": ml.shapley_spread(phi),
+        "comparison": comparison,
+        "rank_correlation": modeling.rank_correlation(comparison, "rf_rank", "shap_rank"),
+        "rank_correlation_top15": modeling.rank_correlation(comparison.orderBy("avg_rank", "rf_rank").limit(15), "rf_rank", "shap_rank"),
     }
 
 
@@ -258,36 +350,40 @@ def significance_job(
     exclude_inputs: bool = False,
     pooled: bool = True,
     k: int = 10,
-    sites: Sequence[str] | None = None,
+    sites: Sequence[str] = (),
+    workers: int = 2,
     **sizes,
 ) -> dict[str, DataFrame]:
-    """Targets, profile, then per target every large enough site and all sites together: forest,
-    permutation and Shapley importance; top features of every method in one report."""
-    site = spec.site[0]
+    """Targets, profile, then per target all sites together and each of ``sites`` that has more than
+    ``more_than`` rows: forest, permutation and Shapley importance; the top features of every
+    method in one report, and beside it scores, comparison, spread, rank correlations, failures."""
+    spark, site = df.sparkSession, spec.site[0]
     table = staged(filters.difference_targets(df), "significance")
-    large = filters.large_sites(table, spec.site, more_than)
-    names = sites if sites is not None else [r[0] for r in large.select(site).distinct().orderBy(site).collect()]
+    asked = table.where(F.col(site).isin(list(sites))) if sites else table.limit(0)
+    names = [r[0] for r in filters.large_sites(asked, spec.site, more_than).select(site).distinct().orderBy(site).collect()]
     skip = {"TAIR", "VT20", "VT90", "TAIR_VT20", "VT90_VT20"} if exclude_inputs else set()
-    reports, comparisons = [], []
+    groups = {name: filters.site_rows(table, site, name) for name in names} | ({COMBINED: table} if pooled else {})
+    tasks = {}
     for target in targets:
         columns = [c for c in filters.all_but(table, target, (*filters.ID_COLUMNS, *spec.keys)) if c not in skip]
-        groups = [(n, filters.site_rows(table, site, n)) for n in names]
-        if pooled and len(names) != 1:
-            groups.append(("combined", table))
-        for name, rows in groups:
-            found = explain_site(rows, spec, target, columns, **sizes)
-            methods = {
-                "impurity": found["forest"].select(F.lit(name).alias("site"), "feature", F.col("importance").alias("score")),
-                "permutation": found["forest"].select(F.lit(name).alias("site"), "feature", F.col("perm_importance_mean").alias("score")),
-                "shapley": found["shapley"].select(F.lit(name).alias("site"), "feature", F.col("shap_importance").alias("score")),
-            }
-            reports.append(modeling.significance_report(methods, k).withColumn("target", F.lit(target)))
-            comparisons.append(found["comparison"].withColumns({"site": F.lit(name), "target": F.lit(target)}))
-    return {
-        "profile": quality.dataset_profile(table, site, spec.ts, list(targets)),
-        "report": reduce(DataFrame.unionByName, reports),
-        "comparison": reduce(DataFrame.unionByName, comparisons),
-    }
+        tasks |= {(name, target): partial(explain_site, rows, spec, target, columns, **sizes) for name, rows in groups.items()}
+    done, failed = side_by_side(spark, tasks, workers)
+    failures = spark.createDataFrame(failed, "site string, target string, error string")
+    out: dict[str, list[DataFrame]] = {}
+    for (name, target), found in done.items():
+        methods = {
+            m: found[t].select(F.lit(name).alias("site"), "feature", F.col(c).alias("score"))
+            for m, t, c in (("impurity", "forest", "importance"), ("permutation", "forest", "perm_importance_mean"), ("shapley", "shapley", "shap_importance"))
+        }
+        out.setdefault("report", []).append(modeling.significance_report(methods, k).withColumn("target", F.lit(target)))
+        explained = found["phi"].groupBy("feature").agg(F.count("*").alias("rows")).agg(F.max("rows").alias("explained_rows"))
+        out.setdefault("explained", []).append(explained.withColumns({"site": F.lit(name), "target": F.lit(target)}))
+        for part in ("scores", "comparison", "spread", "rank_correlation", "rank_correlation_top15"):
+            out.setdefault(part, []).append(found[part].withColumns({"site": F.lit(name), "target": F.lit(target)}))
+    if not done:
+        raise ValueError(f"nothing could be explained: {failed or 'no site is large enough'}")
+    profile = quality.dataset_profile(table, site, spec.ts, list(targets))
+    return {"profile": profile, "failures": failures, **{part: reduce(DataFrame.unionByName, tables) for part, tables in out.items()}}
 
 
 def convert_rasters(
@@ -311,7 +407,9 @@ def convert_rasters(
     cells = staged(raster.decode_rasters(files, region, every), "cells")
     good = cells.where(F.col("error").isNull()).drop("error")
     if grid is not None:
-        good = spatial.add_altitude(good, grid)
+        # files of one geometry share their cells: each place is looked up once
+        places = spatial.add_altitude(good.select("longitude", "latitude").distinct(), grid)
+        good = good.join(places, ["longitude", "latitude"], "left")
     points = filters.point_columns(good, SeriesSpec(("name",), "pixel")).select("*", F.year("timestamp").alias("year"))
     if out is not None:
         sinks.write_points(points.drop("year"), out)

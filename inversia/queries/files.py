@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from inversia.functions.coercion import number, with_parsed_time
+from inversia.plans import jobs
 from inversia.queries.views import SITE, TIME, Query, points, r, rounded, station, table, with_station
 from inversia.session import scratch_path
 from inversia.sources import manifest, sinks, stations
@@ -65,6 +66,29 @@ def _scanned(spark, folder):
     return back.select(SITE, F.col(TIME).cast("timestamp_ntz").alias(TIME), "TAIR", "RELH", "PRES")
 
 
+CLEANED = ("TAIR", "RELH")
+
+
+def _cleaning(part):
+    """A part of the cleaning job on the raw export."""
+
+    def run(spark, folder):
+        raw = stations.read_raw_stations(spark, f"{_raw_export(spark, folder)}/*")
+        found = jobs.cleaning_job(raw, stations.type_stations(raw), jobs.STATION, CLEANED)
+        if part == "log_summary":
+            return found[part]
+        return found["complete"].agg(F.lit("complete").alias("part"), F.count("*").alias("n")).unionByName(
+            found["incomplete"].agg(F.lit("incomplete").alias("part"), F.count("*").alias("n"))
+        ).unionByName(found["chunks"].agg(F.lit("chunk_rows").alias("part"), F.sum("n_rows").alias("n"))).unionByName(
+            found["availability"].select(F.concat(F.lit("available "), "variable").alias("part"), F.col("available").alias("n"))
+        )
+
+    return run
+
+
+UNITS = "(SELECT count(*) FROM events WHERE event_id % 100 = 0)"
+
+
 def _spine(spark, folder, step=3600):
     low, high = table(spark, folder, "events").agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz"), F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz")).first()
     return manifest.time_spine(spark, low, high, step)
@@ -141,6 +165,19 @@ QUERIES: dict[str, Query] = {
         _scanned,
         with_station(f"SELECT {SITE}, date_trunc('second', {TIME}) AS {TIME}, {r('TAIR', 'TAIR', 3)}, {r('RELH', 'RELH', 3)}, {r('PRES', 'PRES', 3)} FROM st"),
     ),
+    "cleaning_log": Query(
+        _cleaning("log_summary"),
+        with_station(" UNION ALL ".join(f"SELECT '{c}' AS \"Column\", count(*) - count({c}) + {UNITS} AS \"Count\" FROM st" for c in CLEANED)),
+    ),
+    "cleaning_tables": Query(
+        _cleaning("tables"),
+        with_station(
+            "SELECT 'complete' AS part, count(*) FILTER (TAIR IS NOT NULL AND RELH IS NOT NULL) AS n FROM st UNION ALL "
+            "SELECT 'incomplete', count(*) FILTER (TAIR IS NULL OR RELH IS NULL) FROM st UNION ALL "
+            "SELECT 'chunk_rows', count(*) FILTER (TAIR IS NOT NULL AND RELH IS NOT NULL) FROM st UNION ALL "
+            + " UNION ALL ".join(f"SELECT 'available {c}', count({c}) FROM st" for c in CLEANED)
+        ),
+    ),
     "union_sites": Query(
         lambda s, d: stations.union_sites(
             table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")),
@@ -155,6 +192,10 @@ QUERIES: dict[str, Query] = {
         lambda s, d: manifest.parse_names(_files(s, d), "name").select("o_orderkey", "product", "variable", "region", "resolution", "date"),
         f"WITH {FILES_SQL} SELECT o_orderkey, 'grid' AS product, CASE WHEN o_orderkey % 2 = 0 THEN 'tmean' ELSE 'ppt' END AS variable, 'us' AS region, '30s' AS resolution, d AS \"date\" FROM f WHERE name LIKE '%.bil'",
     ),
+    "parse_table_names": Query(
+        lambda s, d: manifest.parse_names(_files(s, d), "name", r"\.csv$").select("o_orderkey", "variable", "date"),
+        f"WITH {FILES_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'tmean' ELSE 'ppt' END AS variable, d AS \"date\" FROM f WHERE name LIKE '%.csv'",
+    ),
     "file_name_report": Query(
         lambda s, d: manifest.name_report(_files(s, d), "name"),
         f"WITH {FILES_SQL} SELECT count(*) FILTER (name LIKE '%.bil') AS matched, count(*) FILTER (name NOT LIKE '%.bil') AS skipped FROM f",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inversia.operators import impute, impute_ml
@@ -103,18 +106,78 @@ EVALUATION_SQL = with_station(
 SMALL = impute_ml.FillModels(trees=20, tree_depth=6, rounds=5)
 
 
-def _model_fill(fill):
+def _facts(before, after, variable, method):
+    """Known cells left as they were, cells filled, cells left empty."""
+    both = before.select("event_id", F.col(variable).alias("a")).join(after.select("event_id", F.col(variable).alias("b")), "event_id")
+    return both.agg(
+        F.lit(variable).alias("variable"),
+        F.lit(method).alias("method"),
+        F.count(F.when(F.col("a") == F.col("b"), 1)).alias("unchanged"),
+        F.count(F.when(F.col("a") != F.col("b"), 1)).alias("changed"),
+        F.count(F.when(F.col("a").isNull() & F.col("b").isNotNull(), 1)).alias("filled"),
+        F.count(F.when(F.col("a").isNull() & F.col("b").isNull(), 1)).alias("still_missing"),
+    )
+
+
+def _facts_sql(variable, method, left="0"):
+    return (
+        f"SELECT '{variable}' AS variable, {method} AS method, count({variable}) AS unchanged, 0 AS changed, "
+        f"cast(count(*) - count({variable}) - ({left}) AS bigint) AS filled, cast({left} AS bigint) AS still_missing FROM st"
+    )
+
+
+def _model_fill(fill, method):
     def run(spark, folder):
         st = _some(spark, folder, "TAIR", "DWPT", "PRES", "RELH", "WSPD")
-        return fill(st, SPEC, "TAIR", SMALL).select(SITE, TIME, "event_id", "TAIR")
+        return _facts(st, fill(st, SPEC, "TAIR", SMALL), "TAIR", method)
 
     return run
 
 
+AUTO = ("TAIR", "RELH", "WDIR", "VR05")
+
+
 def _auto(spark, folder):
-    st = _some(spark, folder, "TAIR", "DWPT", "RELH", "WDIR", "VR05")
-    filled, _ = jobs.fill_job(st, SPEC, "auto", SMALL, pooled=True)
-    return filled
+    """Method and outcome per variable when one model serves all sites."""
+    st = _some(spark, folder, "DWPT", *AUTO)
+    methods = impute_ml.choose_methods(st, SPEC, ["DWPT", *AUTO])
+    filled, _, _ = jobs.fill_job(st, SPEC, "auto", SMALL)
+    # directions are compared by presence: the circle turns them into numbers of their own
+    parts = [_facts(st, filled, v, methods.get(v)) for v in AUTO]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _longest(variable):
+    return (
+        f"(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT {SITE}, {variable}, count({variable}) OVER "
+        f"(PARTITION BY {SITE} ORDER BY {TIME}, event_id) AS g FROM st) WHERE {variable} IS NULL GROUP BY {SITE}, g))"
+    )
+
+
+def _auto_sql():
+    parts = []
+    for v in AUTO:
+        method = f"CASE WHEN {_longest(v)} = 0 THEN NULL WHEN {_longest(v)} <= 12 THEN 'linear' WHEN {_longest(v)} <= 48 THEN 'random_forest' ELSE 'gradient_boosting' END"
+        # the linear fill can do nothing for a site that never reports; runs of 12 are within its reach
+        left = f"CASE WHEN {_longest(v)} <= 12 THEN (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM st GROUP BY {SITE} HAVING count({v}) = 0)) ELSE 0 END"
+        parts.append(_facts_sql(v, method, left))
+    return with_station(" UNION ALL ".join(parts))
+
+
+def _auto_by_site(spark, folder):
+    """Two stations filled by their own models; a third name has no rows and changes nothing."""
+    place = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")
+    st = station(spark, folder, ["TAIR", "DWPT", "PRES"]).drop("event_type").withColumn(SITE, place)
+    filled, report, _ = jobs.fill_job(st, SPEC, "random_forest", SMALL, sites=["even", "nowhere"], variables=["TAIR"])
+    found = filled.groupBy(SITE).agg(F.count("*").alias("n"), F.count("TAIR").alias("known"))
+    return found.join(report.select(F.lit("even").alias(SITE), F.col("filled")), SITE, "left")
+
+
+AUTO_BY_SITE_SQL = with_station(
+    ", s AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS place, TAIR FROM st) "
+    f"SELECT place AS {SITE}, count(*) AS n, CASE WHEN place = 'even' THEN count(*) ELSE count(TAIR) END AS known, "
+    "CASE WHEN place = 'even' THEN count(*) - count(TAIR) END AS filled FROM s GROUP BY place"
+)
 
 
 QUERIES: dict[str, Query] = {
@@ -144,7 +207,18 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "fill_evaluation": Query(_evaluation, EVALUATION_SQL),
-    "forest_fill": Query(_model_fill(impute_ml.forest_fill)),
-    "boosted_fill": Query(_model_fill(impute_ml.boosted_fill)),
-    "auto_fill": Query(_auto),
+    "forest_fill": Query(_model_fill(impute_ml.forest_fill, "random_forest"), with_station(_facts_sql("TAIR", "'random_forest'"))),
+    "boosted_fill": Query(
+        _model_fill(impute_ml.boosted_fill, "gradient_boosting"),
+        # a series' first row lacks six lags of fourteen features, too many to be filled
+        with_station(
+            _facts_sql(
+                "TAIR",
+                "'gradient_boosting'",
+                f"(SELECT count(*) FROM (SELECT TAIR, row_number() OVER (PARTITION BY {SITE} ORDER BY {TIME}, event_id) AS n FROM st) WHERE n = 1 AND TAIR IS NULL)",
+            )
+        ),
+    ),
+    "auto_fill": Query(_auto, _auto_sql()),
+    "auto_fill_by_site": Query(_auto_by_site, AUTO_BY_SITE_SQL),
 }

@@ -189,6 +189,12 @@ def _keyed(spark, folder):
     )
 
 
+def _sample_json(spark, folder):
+    """The point sample as JSON records, read again."""
+    records = spatial.as_json(spatial.point_sample(_keyed(spark, folder), "tmean", 10))
+    return records.select(F.from_json("record", "id int, value double, altitude double").alias("r")).select("r.*")
+
+
 QUERIES: dict[str, Query] = {
     "raster_cells": Query(lambda s, d: _cells(s, d, every=2), _cells_sql("row * 15 + col", "(row * 15 + col) % 2 = 0")),
     "raster_region": Query(
@@ -240,6 +246,7 @@ QUERIES: dict[str, Query] = {
             f"SELECT cast(c_custkey + 1 AS int) AS id, {r('longitude', 'longitude')}, {r('latitude', 'latitude')}, c_acctbal AS value, b.z AS altitude, 0.0e0 AS dist FROM n WHERE c_custkey < 10",
         ),
     ),
+    "point_sample_json": Query(_sample_json, _brute(POINT_SQL, "SELECT cast(c_custkey + 1 AS int) AS id, c_acctbal AS value, b.z AS altitude FROM n WHERE c_custkey < 10")),
     "point_metadata": Query(
         lambda s, d: spatial.with_metadata(
             table(s, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inversia.operators import ml, modeling
 from inversia.plans import jobs
 from inversia.queries.views import HOT, LINE_KEYS, LINES, SITE, SPEC, TIME, Query, lines, r, rounded, station, table, with_station
+from inversia.session import staged
 
 KEYS_SQL = ", ".join(LINE_KEYS)
 ORDER_SQL = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -167,56 +168,139 @@ def _permutation_sql():
     )
 
 
-# -- fitted models: rows only ----------------------------------------------------------------------
+# -- Shapley values of the fixed predictor ---------------------------------------------------------
+DRAWS = 4
+BACKGROUND_ORDER = ROWS_ORDER.format(r=9)
+PARTNER = "l_orderkey * 613 + l_linenumber * 7919 + l_partkey + {draw} * 104729"
+ONE_ROW = "l_orderkey % 500 = 3 AND l_linenumber = 1"
+WEIGHTS = {"l_quantity": "1500.5e0", "l_discount": "20000.25e0", "l_tax": "-1000.75e0"}
+
+
 def _assembled(spark, folder):
     split = modeling.chronological_split(lines(spark, folder).select(*LINE_KEYS, *FEATURES, "l_extendedprice"), LINES)
     rows = ml.assemble(split, FEATURES, "l_extendedprice").select(*LINE_KEYS, "features", "label", "is_train")
     return rows.where("is_train"), rows.where(~F.col("is_train"))
 
 
-def _forest(spark, folder):
+def _shapley(spark, folder):
+    """Every test row explained against all training rows."""
     train, test = _assembled(spark, folder)
-    model = ml.fit_forest(train.select("features", "label"), trees=20, depth=6)
-    importance = ml.importance_table(model, FEATURES, train)
-    scored = model.transform(test).agg(*modeling.score_columns()).first()
-    return importance.withColumns({n: F.lit(scored[n]) for n in ("rmse", "mae", "r2")})
+    return ml.shapley_values(
+        fixed_scorer, test, train, FEATURES, LINE_KEYS, DRAWS, order=F.expr(BACKGROUND_ORDER), partner=lambda draw: F.expr(PARTNER.format(draw="_draw"))
+    )
 
 
-def _shapley(spark, folder):
-    _, test = _assembled(spark, folder)
-    sample = modeling.sample_rows(test, LINE_KEYS, 200)
-    return ml.shapley_values(fixed_scorer, sample, test, FEATURES, LINE_KEYS, permutations=10)
+PHI_SQL = (
+    f"WITH s AS (SELECT {KEYS_SQL}, {', '.join(FEATURES)}, row_number() OVER ({ORDER_SQL}) - 1 < floor(count(*) OVER (PARTITION BY l_returnflag) * 0.8e0) AS is_train "
+    f"FROM lineitem), b AS (SELECT row_number() OVER (ORDER BY {BACKGROUND_ORDER}, {KEYS_SQL}) - 1 AS b, {', '.join(f'{f} AS z_{f}' for f in FEATURES)} FROM s WHERE is_train), "
+    f"t AS (SELECT *, row_number() OVER () AS id FROM s WHERE NOT is_train), d AS (SELECT unnest(range({DRAWS})) AS draw), "
+    f"p AS (SELECT t.*, ({PARTNER.format(draw='draw')}) % (SELECT count(*) FROM b) AS b FROM t, d), "
+    "phi AS ("
+    + " UNION ALL ".join(
+        f"SELECT {KEYS_SQL}, '{f}' AS feature, avg({w} * ({f} - z_{f})) AS phi FROM p JOIN b USING (b) GROUP BY id, {KEYS_SQL}" for f, w in WEIGHTS.items()
+    )
+    + ") "
+)
 
 
-def _null_times(spark, folder):
-    """Long series in which every seventh event has lost its time."""
-    events = table(spark, folder, "events")
-    return events.select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias(TIME))
+# -- fitted models: what can be told of them without fitting -----------------------------------------
+TEST_ROWS = "sum(n - floor(n * 0.8e0)) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)"
+
+
+def _forest(spark, folder):
+    train, test = _assembled(spark, folder)
+    model = ml.fit_forest(train.select("features", "label"), trees=20, depth=6)
+    importance = ml.importance_table(model, FEATURES, train)
+    total = importance.agg(F.round(F.sum("importance"), 6)).first()[0]
+    scored = model.transform(test).agg(F.count("prediction").alias("n"), *modeling.score_columns()).first()
+    return importance.select(
+        "feature",
+        F.col("importance").between(0, 1).alias("in_range"),
+        F.lit(total).alias("total"),
+        F.lit(scored["n"]).cast("bigint").alias("scored_rows"),
+        F.lit(scored["rmse"] >= scored["mae"]).alias("consistent"),
+    )
 
 
 def _boosted(spark, folder):
+    """Rows that each variant and their stack predict."""
     train, test = _assembled(spark, folder)
-    _, predictions = ml.train_all(train.select(*LINE_KEYS, "features", "label").persist(), test, LINES, rounds=2, depth=3, folds=3)
-    return ml.evaluate(predictions)
+    train = staged(train.select(*LINE_KEYS, "features", "label"), "boosted")
+    _, predictions = ml.train_all(train, test, LINES, rounds=2, depth=3, folds=3)
+    counted = predictions.groupBy("model").agg(F.count("prediction").alias("scored_rows"))
+    return counted.join(ml.evaluate(predictions).select("model", (F.col("rmse") >= F.col("mae")).alias("consistent")), "model")
 
 
-def _forecast(spark, folder):
-    """Forecast for two stations that share all events between them, two rounds deep."""
+def _two_sites(spark, folder, sensors):
+    """Two stations that share all events between them."""
     place = F.when(F.col("event_type").isin("click", "view"), "north").otherwise("south")
-    st = station(spark, folder, ["TAIR", "PRES", "VT05", "VT20", "VT90"]).withColumn(SITE, place).drop("event_type")
-    features = jobs.build_features(st, SPEC).checkpoint()
-    columns = ["TAIR", "PRES", "VT05", "VT20", "VT90", "hour_sin", "VT20_lag_1", "VT90_rolling_mean_3"]
-    found = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, rounds=2, depth=2, folds=2, columns=columns)
-    return found["results"]
-
-
-def _significance(spark, folder):
-    """One pooled run: importance of the sensors for the surface difference."""
-    st = station(spark, folder, ["TAIR", "PRES", "WSPD", "VT20", "VT90"]).drop("event_type")
-    found = jobs.significance_job(
-        st, SPEC, ["TAIR_VT20"], more_than=10**9, exclude_inputs=True, k=5, sites=[], trees=10, depth=5, repeats=2, max_samples=50, permutations=4
+    return station(spark, folder, sensors).withColumn(SITE, place).drop("event_type")
+
+
+def _forecast(sites):
+    def run(spark, folder):
+        st = _two_sites(spark, folder, ["TAIR", "PRES", "VT05", "VT20", "VT90"])
+        features = staged(jobs.build_features(st, SPEC), "features")
+        columns = ["TAIR", "PRES", "VT05", "VT20", "VT90", "hour_sin", "VT20_lag_1", "VT90_rolling_mean_3"]
+        asked = None if sites is None else [*sites, "nowhere"]
+        found = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, rounds=2, depth=2, folds=2, columns=columns, sites=asked)
+        counted = found["predictions"].groupBy("site", "target", "model").agg(F.count("prediction").alias("n"))
+        best = found["best"].groupBy("site", "target").agg(F.count("model").alias("best"))
+        importance = found["importance"].groupBy("site", "target", "model").agg(F.round(F.sum("importance"), 6).alias("importance"))
+        if sites is None:  # one set of models for all sites
+            counted = counted.join(importance.drop("site"), ["target", "model"], "left")
+        else:
+            counted = counted.join(importance, ["site", "target", "model"], "left")
+        failed = found["failures"].select("site", "target", F.lit("none").alias("model"))
+        return counted.join(best, ["site", "target"]).unionByName(failed, allowMissingColumns=True)
+
+    return run
+
+
+def _forecast_sql(failed):
+    counts = with_station(
+        ", s AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS site FROM st), "
+        f"t AS (SELECT *, lead(VT20) OVER (PARTITION BY site ORDER BY {TIME}, event_id) AS y FROM s), "
+        "c AS (SELECT site, count(*) - floor(count(*) * 0.8e0) AS n FROM t WHERE y IS NOT NULL AND VT90 - VT05 > 0 GROUP BY site), "
+        "m AS (SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model) "
+        "SELECT site, 'VT20' AS target, model, cast(n AS bigint) AS n, CASE WHEN model <> 'stacked' THEN 1.0e0 END AS importance, 1 AS best FROM c, m"
     )
-    return found["report"]
+    return counts + (" UNION ALL SELECT 'nowhere', 'VT20', 'none', NULL, NULL, NULL" if failed else "")
+
+
+def _significance(sites, pooled):
+    def run(spark, folder):
+        """Importance of the sensors and the time for the surface difference; all rows explained."""
+        st = _two_sites(spark, folder, ["TAIR", "PRES", "WSPD", "VT20", "VT90"])
+        found = jobs.significance_job(
+            st, SPEC, ["TAIR_VT20"], exclude_inputs=True, pooled=pooled, k=5, sites=sites, trees=5, depth=4, repeats=2, permutations=2
+        )
+        ranks = found["report"].groupBy("site", "target", "method").agg(
+            F.count("*").alias("reported"), F.max("rank").alias("last_rank"), F.countDistinct("feature").alias("features")
+        )
+        compared = found["comparison"].groupBy("site", "target").agg(F.count("*").alias("compared"))
+        return ranks.join(found["explained"], ["site", "target"]).join(compared, ["site", "target"])
+
+    return run
+
+
+def _significance_sql(groups):
+    parts = []
+    for name, condition in groups.items():
+        parts.append(
+            f"SELECT '{name}' AS site, count(*) AS n FROM s, (SELECT avg(d) AS a, stddev_samp(d) AS b FROM s WHERE {condition}) WHERE {condition} AND abs(d - a) / b < 3"
+        )
+    return with_station(
+        ", s AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS place, TAIR - VT20 AS d FROM st WHERE TAIR IS NOT NULL), "
+        f"n AS ({' UNION ALL '.join(parts)}) SELECT site, 'TAIR_VT20' AS target, method, 5 AS reported, 5 AS last_rank, 5 AS features, n AS explained_rows, 7 AS compared "
+        "FROM n, (SELECT unnest(['impurity', 'permutation', 'shapley']) AS method)"
+    )
+
+
+def _null_times(spark, folder):
+    """Long series in which every seventh event has lost its time."""
+    events = table(spark, folder, "events")
+    return events.select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias(TIME))
 
 
 QUERIES: dict[str, Query] = {
@@ -275,12 +359,35 @@ QUERIES: dict[str, Query] = {
     ),
     "significance_report": Query(_report, REPORT_SQL),
     "permutation_importance": Query(_permutation, _permutation_sql()),
-    "sample_rows": Query(lambda s, d: modeling.sample_rows(lines(s, d), LINE_KEYS, 1000).select(*LINE_KEYS)),
-    "forest_importance": Query(_forest),
-    "shapley_values": Query(_shapley),
-    "shapley_importance": Query(lambda s, d: ml.shapley_importance(_shapley(s, d))),
-    "shapley_spread": Query(lambda s, d: ml.shapley_spread(_shapley(s, d))),
-    "boosted_and_stacked": Query(_boosted),
-    "forecast": Query(_forecast),
-    "significance": Query(_significance),
+    "sample_rows": Query(
+        lambda s, d: modeling.sample_rows(lines(s, d), LINE_KEYS, 1000).select(*LINE_KEYS),
+        f"SELECT {KEYS_SQL} FROM lineitem ORDER BY md5(concat_ws('|', '42', {', '.join(f'cast({k} AS varchar)' for k in LINE_KEYS)})), {KEYS_SQL} LIMIT 1000",
+    ),
+    "forest_importance": Query(
+        _forest,
+        f"SELECT unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature, true AS in_range, 1.0e0 AS total, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS consistent",
+    ),
+    "shapley_values": Query(lambda s, d: rounded(_shapley(s, d)), PHI_SQL + f"SELECT {KEYS_SQL}, feature, {r('phi', 'phi')} FROM phi"),
+    "shapley_importance": Query(
+        lambda s, d: rounded(ml.shapley_importance(_shapley(s, d))), PHI_SQL + f"SELECT feature, {r('avg(abs(phi))', 'shap_importance')} FROM phi GROUP BY feature"
+    ),
+    "shapley_spread": Query(
+        lambda s, d: rounded(ml.shapley_spread(_shapley(s, d))),
+        PHI_SQL
+        + f"SELECT feature, {r('min(phi)', 'low')}, {r('quantile_cont(phi, 0.25)', 'q1')}, {r('median(phi)', 'median')}, {r('quantile_cont(phi, 0.75)', 'q3')}, {r('max(phi)', 'high')} "
+        "FROM phi GROUP BY feature",
+    ),
+    "explain_row": Query(
+        lambda s, d: rounded(ml.explain_row(_shapley(s, d), F.expr(ONE_ROW))), PHI_SQL + f"SELECT {KEYS_SQL}, feature, {r('phi', 'phi')} FROM phi WHERE {ONE_ROW}"
+    ),
+    "boosted_and_stacked": Query(
+        _boosted,
+        f"SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS consistent",
+    ),
+    "forecast": Query(_forecast(None), _forecast_sql(False)),
+    "forecast_by_site": Query(_forecast(["north", "south"]), _forecast_sql(True)),
+    "significance": Query(_significance((), True), _significance_sql({"combined": "true"})),
+    "significance_by_site": Query(
+        _significance(["north", "south", "nowhere"], False), _significance_sql({"north": "place = 'north'", "south": "place = 'south'"})
+    ),
 }

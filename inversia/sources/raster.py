@@ -2,8 +2,8 @@
 
 The table of files holds names and headers only. Each file becomes a few *blocks* of raster rows;
 a block is one small record, and the task that gets it reads just its byte range, cut to the
-region's rows and columns. One large file is so read by many tasks, and pixels outside the
-region are never read."""
+region's rows. One large file is so read by many tasks; blocks without a row of the region are no
+tasks, and of the rows read only the region's columns are kept."""
 
 from __future__ import annotations
 
@@ -183,6 +183,14 @@ def decode_rasters(
         "path", "name", "variable", "date", "first_row", "n_rows", "nrows", "ncols", "nbits", "pixeltype", "byteorder",
         "ulxmap", "ulymap", "xdim", "ydim", "nodata", "error",
     )
+    if region:
+        # blocks without a row whose centre lies in the region are not read; errors stay
+        south, north = region["lat"]
+        top = F.col("ulymap") - F.col("first_row") * F.col("ydim")
+        bottom = F.col("ulymap") - (F.least(F.col("first_row") + F.col("n_rows"), F.col("nrows")) - 1) * F.col("ydim")
+        slack = F.col("ydim") * 1e-6
+        inside = (top >= F.lit(south) - slack) & (bottom <= F.lit(north) + slack)
+        blocks = blocks.where(F.col("error").isNotNull() | inside)
     # block records are tiny, so their number and not their size must set the parallelism
     tasks = max(1, min(MAX_BLOCK_TASKS, blocks.count()))
     cells = blocks.repartition(tasks).mapInArrow(_reader(region, every, keep_nodata), CELL_SCHEMA)
@@ -217,10 +225,3 @@ def read_monthly_normals(spark: SparkSession, path: str, pattern: str = r"(\d{2}
     return cells.select(
         F.regexp_extract("name", pattern, 1).cast("int").alias("month"), "pixel", "longitude", "latitude", "value"
     )
-
-
-def raster_columns(cells: DataFrame, variable: str) -> DataFrame:
-    """The flat form of one variable: longitude, latitude, <variable>, timestamp."""
-    return cells.where(F.col("variable") == variable).select(
-        "longitude", "latitude", F.col("value").alias(variable), "timestamp"
-    )

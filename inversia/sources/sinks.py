@@ -24,4 +24,11 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    model.write().save(path)
+    """A fitted Spark model in its own folder; a stacked one as the folders of its parts."""
+    parts = getattr(model, "bases", None)
+    if parts is None:
+        model.write().save(path)
+        return
+    for name, base in parts.items():
+        base.write().save(f"{path}/{name}")
+    model.top.write().save(f"{path}/top")

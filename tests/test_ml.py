@@ -76,7 +76,8 @@ def test_policy(spark):
 
 def test_auto_fill_sees_earlier_fills_only(spark):
     df = weather_table(spark, hole=20).withColumn("DWPT", F.when(~F.col("id").isin(20, 21), F.col("DWPT")))
-    filled, report = jobs.fill_job(df, SPEC, "auto", SMALL, variables=SENSORS)
+    filled, report, failures = jobs.fill_job(df, SPEC, "auto", SMALL, variables=SENSORS)
+    assert failures.count() == 0
     assert filled.columns == df.columns
     assert filled.where(" or ".join(f"{c} is null" for c in SENSORS)).count() == 0
     rows = {r.variable: r for r in report.collect()}
@@ -136,15 +137,55 @@ def test_stacked_model(spark):
     assert importance[0].feature == "DWPT" and sum(r.importance for r in importance) == pytest.approx(1)
 
 
-def test_forecast_job(spark):
-    df = weather_table(spark, rows=120, hole=0, sites=("A", "B")).withColumns(
-        {"VT05": F.lit(0.0), "VT20": F.col("DWPT"), "VT90": F.col("DWPT") + 1}
+def two_sites(spark, rows=120):
+    return weather_table(spark, rows=rows, hole=0, sites=("A", "B")).withColumns({"VT05": F.lit(0.0), "VT20": F.col("DWPT"), "VT90": F.col("DWPT") + 1})
+
+
+FORECAST = {"rounds": 2, "depth": 2, "stack": False, "columns": ["VT20", "VT20_lag_1", "PRES"]}
+
+
+def test_forecast_job(spark, tmp_path):
+    features = jobs.build_features(two_sites(spark), SPEC)
+    pooled = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, **FORECAST)
+    apart = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, sites=["A", "B"], models_to=f"{tmp_path}/models", **FORECAST)
+    for found in (pooled, apart):
+        results = found["results"].collect()
+        assert len(results) == 6 and {r.site for r in results} == {"A", "B"}
+        assert found["best"].count() == 2 and found["failures"].count() == 0
+    assert {(r.site, r.feature) for r in pooled["importance"].collect()} == {("all", f) for f in ("VT20", "VT20_lag_1", "PRES", "site_mean")}
+    assert {r.site for r in apart["importance"].collect()} == {"A", "B"}
+    from pyspark.ml.regression import GBTRegressionModel
+
+    again = GBTRegressionModel.load(f"{tmp_path}/models/A/VT20/gbt_full")
+    assert again.getNumTrees == 2
+
+
+def test_a_site_that_cannot_be_fitted_is_reported(spark):
+    """B has lost its target, C does not exist; A is forecast all the same."""
+    features = jobs.build_features(two_sites(spark), SPEC).withColumn("VT20_target_1h", F.when(F.col("site") == "A", F.col("VT20_target_1h")))
+    found = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, sites=["A", "B", "C"], **FORECAST)
+    assert {r.site for r in found["results"].collect()} == {"A"}
+    assert {(r.site, r.target) for r in found["failures"].collect()} == {("B", "VT20"), ("C", "VT20")}
+    none = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, sites=["B"], **FORECAST)
+    assert none["results"].count() == 0 and none["failures"].count() == 1 and none["importance"].count() == 0
+
+
+def test_training_keeps_rows_and_drops_unknown_columns(spark):
+    features = two_sites(spark).withColumns(
+        {"PRES": F.when(F.col("site") == "A", F.col("PRES")), "SRAD": F.lit(None).cast("double"), "VT_inversion_90_20": F.lit(1.0)}
     )
-    features = jobs.build_features(df, SPEC)
-    found = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, rounds=2, depth=2, stack=False, columns=["VT20", "VT20_lag_1", "PRES"])
-    results = found["results"].collect()
-    assert len(results) == 6 and {r.site for r in results} == {"A", "B"}
-    assert found["best"].count() == 2
+    matrix, used = jobs.training_matrix(features, SPEC, ["PRES", "DWPT", "SRAD"], "VT20", False)
+    assert used == ["PRES", "DWPT"] and matrix.count() == 240
+    assert matrix.where("PRES is null").count() == 0
+
+
+def test_explained_rows_include_sites_without_a_sensor(spark):
+    df = two_sites(spark, 110).withColumns({"PRES": F.when(F.col("site") == "A", F.col("PRES")), "VT90": F.col("DWPT") + F.col("id") % 5})
+    found = jobs.significance_job(
+        df, SPEC, ["TAIR_VT20"], exclude_inputs=True, k=3, sites=["A", "B", "C"], more_than=100, trees=3, depth=3, repeats=1, permutations=1
+    )
+    assert {(r.site, r.explained_rows) for r in found["explained"].collect()} == {("A", 110), ("B", 110), ("combined", 220)}
+    assert found["failures"].count() == 0 and found["rank_correlation"].count() == 3 and found["scores"].count() == 3
 
 
 def test_significance_job(spark):
@@ -155,7 +196,44 @@ def test_significance_job(spark):
     report = found["report"].collect()
     assert {(r.method, r.site) for r in report} == {("impurity", "A"), ("permutation", "A"), ("shapley", "A")}
     assert len(report) == 9 and found["comparison"].count() == 7
-    assert found["profile"].first().sites == 2
+    assert found["profile"].first().sites == 2 and found["explained"].first().explained_rows == 20
+
+
+def test_site_fills_leave_other_sites(spark):
+    df = weather_table(spark, sites=("A", "B"))
+    filled, _, failures = jobs.fill_job(df, SPEC, "random_forest", SMALL, sites=["B", "nowhere"], variables=["TAIR"])
+    left = {r.site: r.n for r in filled.groupBy("site").agg(F.count(F.when(F.col("TAIR").isNull(), 1)).alias("n")).collect()}
+    assert left == {"A": 20, "B": 0} and filled.columns == df.columns and failures.count() == 0
+
+
+def test_unknown_method_is_refused(spark):
+    with pytest.raises(ValueError, match="unknown method"):
+        impute_ml.fill_gaps(series(spark, [1, None], names="TAIR"), SPEC, "magic")
+
+
+def test_spark_errors_fall_back_to_the_linear_fill(spark):
+    df = series(spark, [1.0, None, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0], names="TAIR,DWPT")
+    broken = impute_ml.FillModels(trees=0)
+    assert values(impute_ml.forest_fill(df, SPEC, "TAIR", broken), "TAIR") == [1, 2, 3, 4]
+
+
+def test_shapley_values_of_repeated_keys_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, 5.0)], "id int, a double").withColumn("y", F.lit(0.0))
+    zero = spark.createDataFrame([(9, 0.0)], "id int, a double").withColumn("y", F.lit(0.0))
+    phi = ml.shapley_values(linear_scorer([2]), ml.assemble(rows, ["a"], "y"), ml.assemble(zero, ["a"], "y"), ["a"], ["id"], 3)
+    assert sorted(r.phi for r in phi.collect()) == [2.0, 10.0]
+
+
+def test_shapley_draws_come_from_the_whole_background(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(40)], "id int, a double").withColumn("y", F.lit(0.0))
+    table = ml.assemble(rows, ["a"], "y")
+    seen = set()
+    for per in (100, 7):
+        phi = ml.shapley_values(linear_scorer([1]), table, table, ["a"], ["id"], 1, rows_per_task=per).collect()
+        assert len(phi) == 40
+        seen.add(tuple(sorted((r.id, r.phi) for r in phi)))
+    partners = {i - round(p) for i, p in next(iter(seen))}
+    assert len(seen) == 1 and len(partners) > 15
 
 
 def test_keys_without_site():

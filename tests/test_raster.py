@@ -42,7 +42,6 @@ def test_decode(spark, tmp_path, dtype):
     assert got[0] == (0, -85.0, 37.2, 1) and got[-1] == (11, -84.7, 37.0, 12)
     row = df.select("timestamp", "variable").first()
     assert row.timestamp == dt.datetime(2021, 1, 2) and row.variable == "tmean"
-    assert raster.raster_columns(df, "tmean").columns == ["longitude", "latitude", "tmean", "timestamp"]
 
 
 def test_subsample_counts_cells_before_dropping_empty_ones(spark, tmp_path):
