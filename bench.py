@@ -9,7 +9,7 @@ import os
 import time
 
 from inversia.queries import REGISTRY
-from inversia.session import build_session
+from inversia.session import build_session, clear_run
 
 HEADLINE = (
     "inversion_events",
@@ -45,6 +45,7 @@ def main() -> None:
             start = time.perf_counter()
             REGISTRY[name].run(spark, folder).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+    clear_run(spark)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "inversia", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session with the settings the operators are designed for (UTC, ANSI, AQE)."""
+def build_session(
+    app: str = "inversia", cores: str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """Local session with the settings the operators are designed for (UTC, ANSI, AQE).
+
+    ``checkpoint_dir``: the folder for intermediate tables, by default a new temporary one, which
+    is right for one machine only."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="inversia-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,7 +38,7 @@ def build_session(app: str = "inversia", cores: str = "*", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a bare local test) a temporary folder is made and set.
+    A plain local session that names none gets a temporary folder; any other must name it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -39,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="inversia-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,9 +54,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/inversia-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is overwritten."""
-    return f"{shared_folder(spark).rstrip('/')}/inversia-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run folder; nothing is overwritten."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Remove the run folder. For whoever owns the application, once no table of it is read again:
+    results that operators return still read their intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from inversia.session import build_session
+from inversia.session import build_session, clear_run
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     session = build_session("inversia-tests", cores="8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_run(session)
     session.stop()

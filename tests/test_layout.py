@@ -180,6 +180,16 @@ def test_planning_reads_the_table_once(spark):
     assert count_scans(spark, lambda counted: plan_layout(counted(df), CUT)) == rows * (1 + levels)
 
 
+def test_a_median_reads_the_table_once(spark):
+    df = hot_table(spark).cache()
+    rows = df.count()
+
+    def median(counted):
+        exact_quantiles(counted(df), ["v", "u"], {"m": 0.5}).collect()
+
+    assert count_scans(spark, median) == rows
+
+
 def test_settled_layout_is_reused(table):
     spec = settled(table, CUT)
     assert plan_layout(table, spec) is spec.layout and spec == CUT

@@ -138,6 +138,15 @@ def test_raw_exports_of_two_layouts(spark, tmp_path):
     assert found["chunks"].count() == 2 and found["availability"].count() == 2
 
 
+def test_run_folder_is_cleared_by_its_owner(spark):
+    import os
+
+    from inversia.session import run_folder, staged
+
+    table = staged(spark.range(3), "three")
+    assert table.count() == 3 and any(n.startswith("three-") for n in os.listdir(run_folder(spark).removeprefix("file:")))
+
+
 def test_numeric_only_keeps_ids(spark):
     df = spark.createDataFrame([("A", "x", "7", 1.0)], "NetSiteAbbrev string, note string, n string, v double")
     assert filters.numeric_only(df).columns == ["NetSiteAbbrev", "v"]
