@@ -9,7 +9,8 @@ from inversia.llm.workspace import Workspace
 
 
 def connected_components(links: DataFrame, space: Workspace) -> DataFrame:
-    """``node``, ``label`` (the smallest node it reaches) for every node of ``links`` (a, b: longs).
+    """``node``, ``label`` (the smallest node it reaches) for every node of ``links`` (a, b: numbers or
+    texts).
 
     Alternating large and small stars: each round links every node's neighbours to the smallest one,
     until the table stands still as one star per component. A round never has more links than

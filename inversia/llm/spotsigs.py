@@ -9,6 +9,7 @@ by Jaccard likeness, which is never more than the smaller set's share of the lar
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inversia.llm.workspace import Workspace
+from inversia.llm.components import connected_components
+from inversia.llm.workspace import Workspace, per_batch
 
 # Common words by language: fixed values.
 COMMON_WORDS = {
@@ -162,6 +164,69 @@ def meet_ends(ends: DataFrame) -> DataFrame:
     ).where("part = 'last'").drop("part")
 
 
+def with_signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``fingerprint``, ``found`` (the set of signatures as longs) of every row."""
+    narrow = df.select(df[key].alias("key"), df[text].alias("text"))
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [signatures(t or "") for t in batch.column(1).to_pylist()]
+            sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(f) for f in found], pa.string()), sets], ["key", "fingerprint", "found"])
+
+        return work
+
+    return per_batch(narrow, make, f"key {narrow.schema['key'].dataType.simpleString()}, fingerprint string, found array<long>")
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``key``, ``fingerprint``, ``class_id`` of every row: the smallest key among the texts that links
+    of likeness ``threshold`` or more reach. Texts without words are one class; classes of null
+    keys only have a null id.
+
+    Sets are partitioned by length, in classes of a factor 1 / threshold, so that a set meets only
+    its own class and the next smaller one. There it meets the sets that share one of its rarest
+    signatures: of two sets that are alike enough, the first n - ceil(threshold * n) + 1 in the
+    order of rarity have one in common. The pairs are compared by Jaccard with the length bound.
+    Equal sets are one node throughout."""
+    space = Workspace(df.sparkSession, "near-copies")
+    rows = space.keep(with_signatures(df, key, text), "signatures")
+    sets = space.keep(rows.groupBy("fingerprint").agg(F.min("key").alias("least"), F.first("found").alias("found")), "sets")
+    each = sets.where(F.size("found") > 0).select("fingerprint", F.size("found").alias("n"), F.explode("found").alias("signature"))
+    frequency = each.groupBy("signature").agg(F.count("*").alias("texts")).where("texts > 1")
+    # a signature of one text leads to no pair, but it counts as the rarest of its set
+    ranked = each.join(frequency, "signature", "left").groupBy("fingerprint", "n").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), F.col("signature")))).alias("by_rarity")
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold) if threshold < 1 else math.inf) + 1e-9).cast("int")
+    heads = ranked.select("fingerprint", "n", part.alias("part"), F.explode(F.slice("by_rarity", F.lit(1), prefix.cast("int"))).alias("s"))
+    heads = space.keep(heads.where("s.texts > 1").select("fingerprint", "n", "part", F.col("s.signature").alias("signature")), "heads")
+    small = heads.alias("a")
+    large = heads.withColumn("part", F.explode(F.array("part", F.col("part") - 1))).alias("b")
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
+    met = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.part") == F.col("b.part")) & ordered & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9)
+    pairs = small.join(large, met).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b")).distinct()
+    own = sets.select("fingerprint", "found")
+    both = pairs.join(own.withColumnsRenamed({"fingerprint": "a", "found": "found_a"}), "a").join(
+        own.withColumnsRenamed({"fingerprint": "b", "found": "found_b"}), "b"
+    )
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "b")]
+            found = [[np.array(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("found_a", "found_b")]
+            near = [likeness(x, y, threshold) >= threshold - 1e-12 for x, y in zip(*found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()).filter(pa.array(near, pa.bool_())) for c in columns], ["a", "b"])
+
+    links = both.select("a", "b", "found_a", "found_b").mapInArrow(alike, "a string, b string")
+    labels = space.keep(connected_components(links, space), "labels")
+    labelled = sets.join(labels, sets["fingerprint"] == labels["node"], "left").select("fingerprint", F.coalesce("label", "fingerprint").alias("label"), "least")
+    classes = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
+    named = labelled.join(classes, "label").select("fingerprint", "class_id")
+    return rows.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "class_id")
+
+
 def _arrow_schema(kind: str) -> pa.Schema:
     keys = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
     if kind not in keys:

@@ -61,3 +61,31 @@ def test_likeness_is_pruned_only_below_the_bound():
     assert spotsigs.likeness(a, b) == 0.5 and spotsigs.likeness(a, b, 0.5) == 0.5 and spotsigs.likeness(a, b, 0.6) == 0.0
     empty_ = np.empty(0, np.uint64)
     assert spotsigs.likeness(empty_, empty_) == 1.0 and spotsigs.likeness(a, empty_) == 0.0
+
+
+@pytest.mark.parametrize("make", [messy, documents, empty])
+@pytest.mark.parametrize("threshold", [0.8, 0.4])
+def test_near_copies(spark, make, threshold):
+    df = make(spark)
+    rows = df.select("doc_id", "text").collect()
+    sets = {r.text: frozenset(spotsigs.signatures(r.text or "").tolist()) for r in rows}
+    nodes = sorted(set(sets.values()), key=sorted)
+    label = {n: n for n in nodes}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if a and b and len(a & b) >= threshold * len(a | b):
+                label[root(a)] = root(b)
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            c = root(sets[r.text])
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    want = sorted(((r.doc_id, least.get(root(sets[r.text]))) for r in rows), key=repr)
+    got = spotsigs.near_copies(df, threshold=threshold).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=repr) == want
