@@ -6,7 +6,7 @@ strings; these steps bring equal strings together, and to the sorter only text t
 1. Anchors: the ANCHOR-byte piece of least hash in each string of WIDTH bytes. Equal strings have
    equal anchors at equal places. Neighbouring strings share their anchor, so a document is a row of
    stretches, each with its anchor, and only a hash of the anchor and one of the stretch move.
-2. Stretches meet by anchor. Of those that are equal altogether, the earliest keeps its strings as
+2. Stretches meet by anchor, equal ones combined before they are sent. Of those that are equal altogether, the earliest keeps its strings as
    far as its own class goes and all strings of the others are repeats. An anchor with one class of
    stretches is done.
 3. Where one anchor has several classes, their earliest stretches are sent as text. Each task sorts
@@ -43,6 +43,9 @@ LAST = (1 << 63) - 1
 # a stretch's place in one long: anchor position, string starts before the anchor, and how many
 # of the STARTS starts nearest to it are left out
 _FIELD = 7
+SHAPE, SIGN = (1 << 2 * _FIELD) - 1, np.int64(-(2**63))
+#: Stretches told apart in one block before they are shuffled.
+COMBINED = 1 << 17
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def _many_texts(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, stretch (hash), place, key, tie."""
+    """anchor, stretch (hash), place, key, tie; told apart in blocks first, see ``_combined``."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts: list[tuple] = []
@@ -109,19 +112,33 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 own = [digest(view[i : j + WIDTH]) for i, j in zip(first.tolist(), last.tolist())]
                 parts.append((h, np.array(own, np.uint64).view(np.int64), _pack(at, first, last), np.full(len(h), key), np.full(len(h), tie)))
                 rows += len(h)
-            if rows >= 1 << 17:
-                yield _columns(parts)
+            if rows >= COMBINED:
+                yield _combined(parts)
                 parts, rows = [], 0
         if parts:
-            yield _columns(parts)
+            yield _combined(parts)
 
 
 NAMES = ["anchor", "stretch", "place", "key", "tie"]
 SCHEMA = "anchor long, stretch long, place long, key long, tie long"
 
 
-def _columns(parts: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], NAMES)
+def _combined(parts: list[tuple]) -> pa.RecordBatch:
+    """Rows of one block. Of a class only the earliest is still to be judged, so a stretch that
+    comes often goes to its anchor's task once per block. The others are repeats: their place
+    is marked by its sign, and instead of the anchor they get a number that spreads them."""
+    anchor, stretch, place, key, tie = (np.concatenate(c) for c in zip(*parts))
+    shape = place & SHAPE
+    mixed = anchor ^ (stretch * np.int64(0x1E3779B97F4A7C15)) ^ shape
+    order = np.lexsort((place, tie, key, mixed))
+    anchor, stretch, place, key, tie, shape = (c[order] for c in (anchor, stretch, place, key, tie, shape))
+    same = np.zeros(len(order), bool)
+    same[1:] = (anchor[1:] == anchor[:-1]) & (stretch[1:] == stretch[:-1]) & (shape[1:] == shape[:-1])
+    again = same.copy()  # the same place of the same document, from an equal row
+    again[1:] &= (place[1:] == place[:-1]) & (key[1:] == key[:-1]) & (tie[1:] == tie[:-1])
+    spread = _row_hash(anchor=anchor, place=place, key=key, tie=tie).view(np.int64)
+    anchor, place = np.where(same, spread, anchor), np.where(same, place | SIGN, place)
+    return pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in (anchor, stretch, place, key, tie)], NAMES)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +146,23 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``open`` false: all its strings are repeats. True: the earliest of its class, where the anchor
     has several classes. Groups are read as a stream; only the last row is kept back."""
-    mask = (1 << 2 * _FIELD) - 1
     held: np.ndarray | None = None  # the last first-of-class row, not yet told
     held_open, last_row = False, None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([batch.column(i).to_numpy() for i in range(5)])
+        marked = rows[2] < 0  # repeats already
+        if marked.any():
+            known = rows[:, marked]
+            known[2] &= ~SIGN
+            yield _told(known, np.zeros(known.shape[1], bool))
+            rows = rows[:, ~marked]
+            if not rows.shape[1]:
+                continue
         before = np.concatenate([rows[:, :1] if last_row is None else last_row, rows[:, :-1]], axis=1)
         anchor_new = rows[0] != before[0]
-        class_new = anchor_new | (rows[1] != before[1]) | ((rows[2] ^ before[2]) & mask != 0)
+        class_new = anchor_new | (rows[1] != before[1]) | ((rows[2] ^ before[2]) & SHAPE != 0)
         if last_row is None:
             anchor_new[0] = class_new[0] = True
         same_row = ~class_new & (rows[2] == before[2]) & (rows[3] == before[3]) & (rows[4] == before[4])
@@ -167,7 +191,7 @@ def _told(rows: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows] + [pa.array(flag)], [*NAMES, "open"])
 
 
-def _row_hash(rows: dict[str, np.ndarray] | None = None, **columns: np.ndarray) -> np.ndarray:
+def _row_hash(**columns: np.ndarray) -> np.ndarray:
     """One number for a stretch of a document; equal numbers only send a stretch too many."""
     c = {k: np.asarray(v).astype(np.int64).view(np.uint64) for k, v in columns.items()}
     h = c["anchor"] ^ (c["place"] * np.uint64(0x9E3779B97F4A7C15)) ^ (c["key"] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c["tie"] * np.uint64(0x165667B19E3779F9))
@@ -318,7 +342,7 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 def find_repeats(docs: DataFrame, space: Workspace) -> DataFrame:
     """``key``, ``tie``, ``first``, ``last``: starts of repeated strings, from ``keyed`` rows."""
     source = docs.select("key", "tie", "text")
-    order = ["anchor", "stretch", F.col("place").bitwiseAND((1 << 2 * _FIELD) - 1), "key", "tie", "place"]
+    order = ["anchor", "stretch", F.col("place").bitwiseAND(SHAPE), "key", "tie", "place"]
     rows = source.mapInArrow(_stretch_rows, SCHEMA).repartition("anchor").sortWithinPartitions(*order)
     judged = space.keep(rows.mapInArrow(_judge, f"{SCHEMA}, open boolean"), "judged")
     plain = judged.where(~F.col("open"))
