@@ -313,12 +313,19 @@ def plan_layout(df: DataFrame, spec: SeriesSpec) -> SeriesLayout:
     site = list(spec.site)
     numbers = order_numbers(df, spec)
     order = [f"_extent{i}" for i in range(len(numbers))]
-    keyed = df.select(*spec.keys, *[n.alias(o) for n, o in zip(numbers, order)])
-    extent = [F.count(F.lit(1)).alias("_n")] + [
-        x for o in order for x in (F.min(o).alias(f"_l{o}"), F.max(o).alias(f"_h{o}"), F.count(o).alias(f"_c{o}"))
-    ]
+
+    def measured(levels: list[Level], known: int) -> DataFrame:
+        """Rows and extents of the first ``known`` order columns, per site or per cell of the last level."""
+        keyed = df.select(*spec.keys, *[n.alias(o) for n, o in zip(numbers[:known], order)])
+        path = [f"_p{d}" for d in range(len(levels))]
+        if levels:
+            keyed = _locate(keyed, spec, levels).where(F.col(path[-1]).isNotNull())
+        extent = [x for o in order[:known] for x in (F.min(o).alias(f"_l{o}"), F.max(o).alias(f"_h{o}"), F.count(o).alias(f"_c{o}"))]
+        return keyed.groupBy(*site, *path).agg(F.count(F.lit(1)).alias("_n"), *extent)
+
+    known = 1  # tie-breaks are looked at only where equal times call for them
     # one row per site, kept so that the table itself is read once for both questions
-    sizes = keyed.groupBy(*site).agg(*extent).persist()
+    sizes = measured([], known).persist()
     try:
         total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
         layout = SeriesLayout(spec, rows=max(spec.rows_per_chunk, (total or 0) // MAX_CHUNKS))
@@ -330,8 +337,8 @@ def plan_layout(df: DataFrame, spec: SeriesSpec) -> SeriesLayout:
         sizes.unpersist()
 
     def grid(row) -> tuple[int, float, int | None, float] | None:
-        """Equal cells along the first order column in which the rows differ."""
-        for k, o in enumerate(order):
+        """Equal cells along the first known order column in which the rows differ."""
+        for k, o in enumerate(order[:known]):
             low, high, some = row[f"_l{o}"], row[f"_h{o}"], row[f"_c{o}"]
             if low is None:
                 continue
@@ -341,19 +348,21 @@ def plan_layout(df: DataFrame, spec: SeriesSpec) -> SeriesLayout:
                 return k, float(low), exact, max(float(high - low) / cells, float(np.finfo(float).tiny))
         return None
 
+    if known < len(order) and any(grid(row) is None for row in hot):
+        known = len(order)
+        hot = measured([], known).where(F.col("_n") > layout.rows).collect()
     level: Level = {tuple(row[c] for c in site): grid(row) for row in hot}
     level = {key: g for key, g in level.items() if g}
     before = {tuple(row[c] for c in site): row["_n"] for row in hot}
     done: dict[tuple, dict[tuple[int, ...], int]] = {}
     while level:  # until every cell is small enough or holds equal rows only
-        depth = len(layout.levels)
         layout.levels.append(level)
-        path = [f"_p{d}" for d in range(depth + 1)]
-        counted = (
-            _locate(keyed, spec, layout.levels).where(F.col(f"_p{depth}").isNotNull()).groupBy(*site, *path).agg(*extent).collect()
-        )
-        parents, done, level = before, {}, {}
-        before = {}
+        path = [f"_p{d}" for d in range(len(layout.levels))]
+        counted = measured(layout.levels, known).collect()
+        if known < len(order) and any(row["_n"] > layout.rows and grid(row) is None for row in counted):
+            known = len(order)
+            counted = measured(layout.levels, known).collect()
+        parents, before, done, level = before, {}, {}, {}
         for row in counted:
             key, cell = tuple(row[c] for c in site), tuple(row[p] for p in path)
             done.setdefault(key, {})[cell] = row["_n"]
