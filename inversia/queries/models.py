@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inversia.operators import ml, modeling
 from inversia.plans import jobs
 from inversia.queries.views import HOT, LINE_KEYS, LINES, SITE, SPEC, TIME, Query, lines, r, rounded, station, table, with_station
-from inversia.session import staged
+from inversia.session import scratch_path, staged
 
 KEYS_SQL = ", ".join(LINE_KEYS)
 ORDER_SQL = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -237,6 +237,24 @@ def _two_sites(spark, folder, sensors):
     return station(spark, folder, sensors).withColumn(SITE, place).drop("event_type")
 
 
+def _feature_sinks(spark, folder):
+    """Feature, event and summary tables as written, counted after reading."""
+    st = _two_sites(spark, folder, ["TAIR", "PRES", "VT05", "VT20", "VT90"])
+    path = scratch_path(spark, "features")
+    jobs.save_features(jobs.build_features(st, SPEC), path, SPEC)
+    features = spark.read.parquet(f"{path}/features").groupBy(SITE).agg(F.count("*").alias("feature_rows"))
+    events = spark.read.parquet(f"{path}/events").groupBy(SITE).agg(F.count("*").alias("event_rows"))
+    summary = spark.read.schema(f"{SITE} string, steps bigint, events bigint").json(f"{path}/summary")
+    return features.join(events, SITE).join(summary, SITE)
+
+
+SINKS_SQL = with_station(
+    ", s AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS site, VT90 - VT05 AS s FROM st), "
+    f"f AS (SELECT site, s > 0 AND coalesce(lag(s) OVER (PARTITION BY site ORDER BY {TIME}, event_id), -1) <= 0 AS first FROM s) "
+    f"SELECT site AS {SITE}, count(*) AS feature_rows, count(*) FILTER (first) AS event_rows, count(*) AS steps, count(*) FILTER (first) AS events FROM f GROUP BY site"
+)
+
+
 def _forecast(sites):
     def run(spark, folder):
         st = _two_sites(spark, folder, ["TAIR", "PRES", "VT05", "VT20", "VT90"])
@@ -384,6 +402,7 @@ QUERIES: dict[str, Query] = {
         _boosted,
         f"SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS consistent",
     ),
+    "feature_sinks": Query(_feature_sinks, SINKS_SQL),
     "forecast": Query(_forecast(None), _forecast_sql(False)),
     "forecast_by_site": Query(_forecast(["north", "south"]), _forecast_sql(True)),
     "significance": Query(_significance((), True), _significance_sql({"combined": "true"})),

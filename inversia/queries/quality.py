@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inversia.operators import filters, impute, quality
+from inversia.plans import jobs
 from inversia.plans.series import SeriesSpec
 from inversia.queries.views import HOT, SITE, SPEC, TIME, Query, r, rounded, station, table, with_station
 
@@ -171,7 +172,22 @@ FILL_REPORT_SQL = with_station(
     )
 )
 
+def _continuity(spark, folder):
+    """Periods, gaps and completeness of the continuity report, counted per site."""
+    found = jobs.continuity_report(station(spark, folder, ["TAIR"]), SPEC, **GAP)
+    periods = found["periods"].groupBy(SITE).agg(F.count("*").alias("periods"), F.sum("record_count").alias("records"))
+    gaps = found["gaps"].groupBy(SITE).agg(F.count("*").alias("gaps"))
+    complete = found["completeness"].select(SITE, F.col("periods").alias("reported_periods"))
+    return periods.join(gaps, SITE, "left").join(complete, SITE).withColumn("gaps", F.coalesce("gaps", F.lit(0)))
+
+
+CONTINUITY_SQL = with_station(
+    f", {_steps_sql(SITE)} SELECT {SITE}, count(*) AS periods, cast(sum(record_count) AS bigint) AS records, count(*) - 1 AS gaps, count(*) AS reported_periods "
+    f"FROM p GROUP BY {SITE}"
+)
+
 QUERIES: dict[str, Query] = {
+    "continuity": Query(_continuity, CONTINUITY_SQL),
     "missing_map": Query(
         lambda s, d: quality.missing_map(station(s, d), [SITE, TIME, "event_id"], VARS),
         with_station(f"SELECT {SITE}, {TIME}, event_id, " + ", ".join(f"({c} IS NULL)::int AS {c}" for c in VARS) + " FROM st"),
