@@ -93,7 +93,8 @@ def find_leaks(
         pairs = probes.join(_small(own), "h").select("key", "t1", "t2", "item", "item_text")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:  # no items: nothing leaks
-        found = texts.join(sketch.select("item", F.col("t1").alias("item_text")), F.lit(False)).select("key", "t1", "t2", "item", "item_text")
+        none = F.lit(None).cast(sketch.schema["item"].dataType).alias("item")
+        found = texts.limit(0).select("key", "t1", "t2", none, F.lit(None).cast("long").alias("item_text"))
     pairs = space.keep(found.distinct(), "pairs")
     # verified on the words of the texts that were found, by the shingles' own text
     same = F.col("d.key").eqNullSafe(F.col("p.key")) & (F.col("d.t1") == F.col("p.t1")) & (F.col("d.t2") == F.col("p.t2"))
