@@ -90,4 +90,40 @@ JOIN ni ON ni.item_id IS NOT DISTINCT FROM si.item_id AND ni.text = si.text
 GROUP BY sd.doc_id, sd.text, si.item_id, si.text, n HAVING count(*) / n >= 0.8 - 1e-12
 """
 
-ORACLES: dict[str, str] = {"op10_decontamination": LEAKS_SQL}
+# CRC-32 byte by byte from its table, which is made from the polynomial (a fixed value)
+SHARDS_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), b AS (
+  SELECT doc_id, source, text, octet_length(encode(coalesce(text, ''))) + 1 AS size, t,
+    list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)) AS bytes,
+    ('0x' || substr(md5('shards-1:' || coalesce(cast(doc_id AS varchar), '')), 1, 15))::bigint AS h
+  FROM documents, crc
+), r AS (
+  SELECT *, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+    (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text) - 0.5e0) / count(*) OVER (PARTITION BY source) AS f
+  FROM b
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY f, h, source NULLS FIRST, doc_id) - 1 AS position, count(*) OVER () AS total FROM r
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, cast(position * 16 // total AS int) AS shard,
+  position - ((position * 16 // total) * total + 15) // 16 AS slot, cast(NULL AS int) AS grown_shard
+FROM p
+"""
+
+CUT_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+w AS (SELECT doc_id, p, substr(t, cast(2 * p + 1 AS bigint), 200) AS s FROM (SELECT doc_id, t, unnest(range(length(t) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span
+  FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+c AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(t, cast(2 * before + 1 AS bigint), cast(2 * (a - before) AS bigint)), '' ORDER BY a) AS head, max(b) AS last
+  FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, length(t) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(t, cast(2 * coalesce(last, 0) + 1 AS bigint)))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_sharding": SHARDS_SQL, "op5_substrings": CUT_SQL, "op10_decontamination": LEAKS_SQL}

@@ -64,8 +64,9 @@ def test_joins_that_are_not_broadcast_agree(spark, monkeypatch):
     assert set(map(tuple, decontaminate.find_leaks(df, table).collect())) == a
 
 
-def test_sql(spark):
-    assert difference(queries.op10_decontamination(spark, FOLDER), connect(FOLDER), queries.LEAKS_SQL) is None
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_sql(spark, name):
+    assert difference(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.ORACLES[name]) is None
 
 
 def test_rows_without_leaks_stay(spark):
