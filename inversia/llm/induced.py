@@ -81,14 +81,13 @@ class SuffixSorter:
     def __init__(self, text: np.ndarray, cap: int, memory: int = MEMORY):
         self.text, self.cap, self.memory, self.n = text, cap, memory, len(text)
         self._padded = np.concatenate([text, np.zeros(cap + 16, np.uint8)])
-        differs = np.ones(self.n, bool)
-        differs[:-1] = text[1:] != text[:-1]
-        place = np.where(differs, np.arange(self.n), self.n)
-        following = np.minimum.accumulate(place[::-1])[::-1]  # where the run of equal bytes ends
-        less = np.zeros(self.n, bool)
-        less[:-1] = text[:-1] < text[1:]  # nothing is less than the end of the text
-        self.is_s = less[following]
-        del place, following
+        self.is_s = np.zeros(self.n, bool)  # the last byte is followed by the end, the least of all
+        for end in range(self.n - 1, 0, -BATCH):
+            start = max(0, end - BATCH)
+            here, right = text[start:end], text[start + 1 : end + 1]
+            place = np.where(here != right, np.arange(end - start), end - start)
+            following = np.minimum.accumulate(place[::-1])[::-1]  # where the run of equal bytes ends
+            self.is_s[start:end] = np.append(here < right, self.is_s[end])[following]
         self.lms = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1
 
     def descending(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:

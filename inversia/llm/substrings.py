@@ -13,7 +13,9 @@ strings; these steps bring equal strings together, and to the sorter only text t
    the suffixes of what it gets, its shard, by external induced sorting, which carries the length of
    the prefix that neighbours in the order share: runs of WIDTH or more are equal strings, and all
    but the earliest of a run are repeats.
-4. Repeats are gathered by document and cut out of its text.
+4. An anchor with more than MOST_CLASSES classes would make a shard that grows with the table. Its
+   stretches are taken apart into single strings, which meet by their own hash as in step 2.
+5. Repeats are gathered by document and cut out of its text.
 
 Document order: by key (null last), then by a hash of the text; rows equal in both are judged as
 one document. Texts are handled as UTF-8 bytes; a null text is empty."""
@@ -37,8 +39,8 @@ STARTS = WIDTH - ANCHOR + 1
 BLOCK = 1 << 20
 #: Bits of the filter that picks stretches to send: a bound on what is broadcast (16 MB).
 FILTER_BITS = 27
-#: Text of a shard as planned; it may be larger where many stretches share an anchor.
-SHARD_BYTES = 4 << 20
+#: Text of a shard as planned, and classes of an anchor that may be in one.
+SHARD_BYTES, MOST_CLASSES = 4 << 20, 20_000
 LAST = (1 << 63) - 1
 # a stretch's place in one long: anchor position, string starts before the anchor, and how many
 # of the STARTS starts nearest to it are left out
@@ -205,12 +207,19 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(FILTER_BITS)) & mask).astype(np.int64)
 
 
-def _filter_of(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of the rows, 2**FILTER_BITS bits however many they are."""
+def _anchor_hash(anchor: np.ndarray) -> np.ndarray:
+    zero = np.zeros(len(anchor), np.int64)
+    return _row_hash(anchor=anchor, place=zero, key=zero, tie=zero)
+
+
+def _filter_of(rows: DataFrame, whole: bool) -> np.ndarray:
+    """A Bloom filter of the rows' stretches (``whole``) or anchors, 2**FILTER_BITS bits however
+    many there are."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.concatenate(_bits(_row_hash(**{n: batch.column(n).to_numpy() for n in ("anchor", "place", "key", "tie")})))
+            columns = {n: batch.column(n).to_numpy() for n in ("anchor", "place", "key", "tie")}
+            both = np.concatenate(_bits(_row_hash(**columns) if whole else _anchor_hash(columns["anchor"])))
             word, place = np.unique(both >> 6, return_inverse=True)
             bits = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(bits, place, np.uint64(1) << (both & 63).astype(np.uint64))
@@ -222,39 +231,72 @@ def _filter_of(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Stretches that the filter lets pass, with their text."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for x in _bits(hashes):
+        found &= (words[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found
+
+
+def _open_stretches(batch: pa.RecordBatch, wanted: np.ndarray, many: np.ndarray | None, of_many: bool) -> Iterator[tuple]:
+    """(text, key, tie, anchor, first, last) of the wanted stretches, of anchors with many classes or
+    of the others. A filter lets a few too many pass, which changes no result."""
+    for key, tie, text in _many_texts(batch):
+        for h, at, first, last in stretches(text):
+            n = len(h)
+            chosen = _passes(wanted, _row_hash(anchor=h, place=_pack(at, first, last), key=np.full(n, key), tie=np.full(n, tie)))
+            if many is not None:
+                chosen &= _passes(many, _anchor_hash(h)) == of_many
+            for i in np.flatnonzero(chosen).tolist():
+                yield text, key, tie, int(h[i]), int(first[i]), int(last[i])
+
+
+def _texts_of(docs: DataFrame, wanted: np.ndarray, many: np.ndarray | None) -> DataFrame:
+    """The wanted stretches with their text, but for anchors with many classes."""
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
         for batch in batches:
-            parts: list[list] = [[], [], [], [], []]
-            size = 0
-            for key, tie, text in _many_texts(batch):
-                for h, at, first, last in stretches(text):
-                    place = _pack(at, first, last)
-                    hashes = _row_hash(anchor=h, place=place, key=np.full(len(h), key), tie=np.full(len(h), tie))
-                    a, b = _bits(hashes)
-                    bit = lambda x: (words[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1)
-                    chosen = np.flatnonzero(bit(a) & bit(b))
-                    for i in chosen.tolist():
-                        piece = text[int(first[i]) : int(last[i]) + WIDTH]
-                        for part, value in zip(parts, (int(h[i]), key, tie, int(first[i]), piece)):
-                            part.append(value)
-                        size += len(piece)
+            parts, size = [], 0
+            for text, key, tie, anchor, first, last in _open_stretches(batch, *sent.value, False):
+                parts.append((anchor, key, tie, first, text[first : last + WIDTH]))
+                size += last - first + WIDTH
                 if size >= 8 << 20:
                     yield _pieces(parts)
-                    parts, size = [[], [], [], [], []], 0
-            if parts[0]:
+                    parts, size = [], 0
+            if parts:
                 yield _pieces(parts)
 
     return docs.mapInArrow(run, "anchor long, key long, tie long, first long, piece binary")
 
 
-def _pieces(parts: list[list]) -> pa.RecordBatch:
+def _strings_of(docs: DataFrame, wanted: np.ndarray, many: np.ndarray) -> DataFrame:
+    """Every string of the wanted stretches whose anchors have many classes, as a stretch of its own
+    under its own hash."""
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, many))
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, rows = [], 0
+            for text, key, tie, _, first, last in _open_stretches(batch, *sent.value, True):
+                start = np.arange(first, last + 1)
+                own = np.array([digest(text[i : i + WIDTH]) for i in start.tolist()], np.uint64).view(np.int64)
+                n = len(start)
+                parts.append((own, np.zeros(n, np.int64), _pack(start, start, start), np.full(n, key), np.full(n, tie)))
+                rows += n
+                if rows >= COMBINED:
+                    yield _combined(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield _combined(parts)
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds)], ["anchor", "key", "tie", "first", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "key", "tie", "first", "piece"])
 
 
 def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,36 +381,46 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(df[key].alias("id"), F.coalesce(df[key].cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(plain).alias("tie"), plain.alias("text"))
 
 
-def find_repeats(docs: DataFrame, space: Workspace) -> DataFrame:
-    """``key``, ``tie``, ``first``, ``last``: starts of repeated strings, from ``keyed`` rows."""
-    source = docs.select("key", "tie", "text")
+RANGES = "key long, tie long, first long, last long"
+
+
+def _judged(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Ranges of strings that are repeats, and rows that the anchor alone doesn't settle."""
     order = ["anchor", "stretch", F.col("place").bitwiseAND(SHAPE), "key", "tie", "place"]
-    rows = source.mapInArrow(_stretch_rows, SCHEMA).repartition("anchor").sortWithinPartitions(*order)
-    judged = space.keep(rows.mapInArrow(_judge, f"{SCHEMA}, open boolean"), "judged")
-    plain = judged.where(~F.col("open"))
+    told = rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_judge, f"{SCHEMA}, open boolean")
+    judged = space.keep(told, "judged")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, first, last = _unpack(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(first), pa.array(last)], ["key", "tie", "first", "last"])
 
-    ranges = "key long, tie long, first long, last long"
-    plain = plain.select("place", "key", "tie").mapInArrow(unpack, ranges)
-    unsure = judged.where("open")
-    n = unsure.count()
-    if not n:
-        return plain
-    texts = _texts_of(source, _filter_of(unsure))
-    shards = max(1, n * (WIDTH + STARTS // 2) // SHARD_BYTES)
-    sorted_ = texts.repartition(shards, "anchor").mapInArrow(_sort_shard, ranges)
-    return plain.unionByName(sorted_)
+    return judged.where(~F.col("open")).select("place", "key", "tie").mapInArrow(unpack, RANGES), judged.where("open")
 
 
-def cut(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, space: Workspace, most: int = MOST_CLASSES) -> DataFrame:
+    """``key``, ``tie``, ``first``, ``last``: starts of repeated strings, from ``keyed`` rows."""
+    source = docs.select("key", "tie", "text")
+    found, unsure = _judged(source.mapInArrow(_stretch_rows, SCHEMA), space)
+    classes = unsure.groupBy("anchor").agg(F.count("*").alias("n"))
+    total, widest = classes.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return found
+    wanted, many = _filter_of(unsure, whole=True), None
+    if widest > most:
+        large = classes.where(F.col("n") > most).select("anchor", *[F.lit(0).cast("long").alias(c) for c in ("place", "key", "tie")])
+        many = _filter_of(large, whole=False)
+        found = found.unionByName(_judged(_strings_of(source, wanted, many), space)[0])
+    shards = max(1, total * (WIDTH + STARTS // 2) // SHARD_BYTES)
+    texts = _texts_of(source, wanted, many).repartition(shards, "anchor")
+    return found.unionByName(texts.mapInArrow(_sort_shard, RANGES))
+
+
+def cut(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_CLASSES) -> DataFrame:
     """``id``, ``kept`` (the remaining bytes), ``n_bytes``, ``spans`` (begin, end) of every row."""
     space = Workspace(df.sparkSession, "substrings")
     docs = keyed(df, key, text)
-    found = find_repeats(docs, space).groupBy("key", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    found = find_repeats(docs, space, most).groupBy("key", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     joined = docs.join(found, ["key", "tie"], "left").select("id", "text", "found.first", "found.last")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -394,9 +446,9 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return per_batch(joined, make, f"id {kind}, kept binary, n_bytes long, spans array<struct<begin: long, end: long>>")
 
 
-def digest_cut(df: DataFrame) -> DataFrame:
+def digest_cut(df: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    rows = cut(df.select("doc_id", "text"))
+    rows = cut(df.select("doc_id", "text"), most=most)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["begin"])
     return rows.select(
         F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")

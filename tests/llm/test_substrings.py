@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inversia.llm import substrings
+from inversia.llm import induced, substrings
 from inversia.llm.induced import SuffixSorter
 from tests.llm.messy import documents, empty, messy, sentence
 
@@ -51,7 +51,7 @@ def plain(rows):
     return out
 
 
-def check(df):
+def check(df, **options):
     docs = [(r.id, r.key, r.tie, r.text.encode()) for r in substrings.keyed(df, "doc_id", "text").collect()]
     masks = plain({((k, t), d) for _, k, t, d in docs})
     want = []
@@ -60,7 +60,7 @@ def check(df):
         spans = int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
         kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
         want.append((own, len(data), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    got = sorted(map(tuple, substrings.digest_cut(df).collect()), key=repr)
+    got = sorted(map(tuple, substrings.digest_cut(df, **options).collect()), key=repr)
     assert got == sorted(want, key=repr)
     return got
 
@@ -70,7 +70,15 @@ def test_messy_rows(spark):
 
 
 def test_whole_table(spark):
-    assert sum(r[2] for r in check(documents(spark))) > 0
+    got = check(documents(spark))
+    assert sum(r[2] for r in got) > 0 and check(documents(spark), most=2) == got
+
+
+def test_types_are_told_across_blocks(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(induced, "BATCH", 4)
+    for _ in range(200):
+        check_order(bytes(rng.choice(b"aab") for _ in range(rng.randrange(1, 40))), 100)
 
 
 def test_crafted_overlaps(spark):
@@ -79,7 +87,15 @@ def test_crafted_overlaps(spark):
     texts = [a, b + a[:150] + c, a[20:250] + b[:99], a[:100], a[:99], "x" * 400, "x" * 150, "ab" * 120, c + c, b[30:] + a[100:210] + b[:200], "é" * 90, "é" * 120]
     texts += [rng.choice([a, b, c])[i : i + rng.randrange(90, 300)] for i in range(0, 200, 5)]
     df = spark.createDataFrame([(i * 7 % 101, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    check(df)
+    assert check(df) == check(df, most=1) == check(df, most=3)
+
+
+def test_many_contexts_of_one_passage(spark):
+    """One anchor with a class per document: taken apart into strings, with the same result."""
+    rng = random.Random(11)
+    passage = sentence(rng, 60)
+    df = spark.createDataFrame([(i, f"{rng.random()} {passage} {rng.random()}" * (1 + i % 2)) for i in range(60)], "doc_id long, text string").repartition(5)
+    assert check(df) == check(df, most=10)
 
 
 def test_blocks_of_a_long_text_agree(monkeypatch):
