@@ -7,9 +7,10 @@ them in one pass; nothing is collected."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,6 +28,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 SEED = 42
 # Tasks of a shuffled column hold about so many rows; the order goes on from task to task.
 ROWS_PER_TASK = 100_000
+PLANNED_AT_ONCE = 4
 
 
 def assemble(matrix: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -71,16 +73,20 @@ def permutation_importance(
     # the scored rows, written once for all repeats
     rows = staged(test.select(*keys, "label", vector_to_array("features").alias("_x")), "permuted")
     base = scorer(rows.select("label", array_to_vector("_x").alias("features"))).agg(score_columns()[2]).first()["r2"]
-    shuffled = []
-    for r in range(repeats):
+
+    def shuffled(r: int) -> DataFrame:
         drawn = rows.withColumn("_o", order(r))
         spec = SeriesSpec((), "_o", tuple(keys), rows_per_chunk=rows_per_task)
         layout = plan_layout(drawn, spec)
         first = drawn.orderBy(*spec.order).select("_x").first()
         wrapped = F.array(*[F.lit(v) for v in (first["_x"] if first else [])]).cast("array<double>")
         placed = layout.spread(drawn, lookahead=1).withColumn("_y", F.coalesce(F.lead("_x").over(layout.window), wrapped))
-        shuffled.append(layout.own(placed).select("label", "_x", "_y", F.lit(r).alias("repeat")))
-    stacked = reduce(DataFrame.unionByName, shuffled)
+        return layout.own(placed).select("label", "_x", "_y", F.lit(r).alias("repeat"))
+
+    # the cuts of the repeats are planned at the same time
+    with ThreadPoolExecutor(max_workers=PLANNED_AT_ONCE) as pool:
+        parts = list(pool.map(inheritable_thread_target(test.sparkSession)(shuffled), range(repeats)))
+    stacked = reduce(DataFrame.unionByName, parts)
     changed = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_y")[F.col("_j")]).otherwise(v))
     altered = stacked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select(
         "label", "repeat", "_j", array_to_vector(changed).alias("features")
