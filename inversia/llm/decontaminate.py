@@ -69,7 +69,7 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return shingles.withColumn("place", smallest).where(F.col("place") <= needed).select("item", "t1", "width", "h")
 
 
-def _small(table: DataFrame) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
     """Marked for broadcast if its size was checked, else left to the planner."""
     return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
@@ -90,7 +90,7 @@ def find_leaks(
     for width in widths:
         probes = _at(texts, width).select("key", "t1", "t2", _hash(width).alias("h"))
         own = sketch.where(F.col("width") == width).select("item", F.col("t1").alias("item_text"), "h")
-        pairs = probes.join(_small(own), "h").select("key", "t1", "t2", "item", "item_text")
+        pairs = probes.join(small(own), "h").select("key", "t1", "t2", "item", "item_text")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:  # no items: nothing leaks
         none = F.lit(None).cast(sketch.schema["item"].dataType).alias("item")
@@ -104,7 +104,7 @@ def find_leaks(
     for width in widths:
         s = F.concat_ws(" ", *[_word(i) for i in range(width)])
         own = shingles.where(F.col("width") == width).select("item", F.col("t1").alias("item_text"), "n", "s")
-        shared = _at(opened, width).select("key", "t1", "t2", s.alias("s")).join(_small(own), "s").select("key", "t1", "t2", "item", "item_text", "n", "s")
+        shared = _at(opened, width).select("key", "t1", "t2", s.alias("s")).join(small(own), "s").select("key", "t1", "t2", "item", "item_text", "n", "s")
         counted = shared if counted is None else counted.unionByName(shared)
     columns = ["key", "t1", "t2", "item", "item_text"]
     if counted is None:

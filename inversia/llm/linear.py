@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_TASKS = 4
+#: Rows whose features a pass of ``fit_presence`` opens at once.
+AT_ONCE = 256
 
 
 def bounded(rows: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
@@ -38,5 +43,75 @@ def fit_logistic(rows: DataFrame, l2: float, weight: str | None = None, iteratio
     return fitted.coefficients.toArray(), float(fitted.intercept)
 
 
+def fit_presence(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int = 25) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a logistic model from ``label``, ``weight`` and ``i``, the sorted
+    indices of the features that are present, each of which has the value ``scale[i]``.
+
+    L-BFGS steps on the mean loss; each is one pass over the (bounded) rows, whose tasks send sums.
+    (Spark's own fit scales every feature by its deviation, so that in so many steps rare features,
+    most of them noise, take the place of frequent ones.)"""
+    size, spark = len(scale), rows.sparkSession
+    rows = rows.select("label", "weight", "i").coalesce(FIT_TASKS)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = spark.sparkContext.broadcast((scale * w[:-1], float(w[-1])))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (own, intercept), gradient = sent.value, np.zeros(size + 1)
+            total, weights = 0.0, 0.0
+            for batch in batches:
+                for at in range(0, len(batch), AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    y, weight = part.column("label").to_numpy(), part.column("weight").to_numpy()
+                    lengths, i = part.column("i").value_lengths().to_numpy(), part.column("i").flatten().to_numpy()
+                    row = np.repeat(np.arange(len(y)), lengths)
+                    z = np.bincount(row, own[i], len(y)) + intercept
+                    error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+                    gradient[:-1] += np.bincount(i, error[row], size)
+                    gradient[-1] += error.sum()
+                    total += float(weight @ (np.logaddexp(0.0, z) - y * z))
+                    weights += float(weight.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights]), pa.array([gradient.tobytes()])], ["loss", "weights", "gradient"])
+
+        found = rows.mapInArrow(sums, "loss double, weights double, gradient binary").collect()
+        sent.destroy()
+        n = sum(r["weights"] for r in found)
+        gradient = sum(np.frombuffer(r["gradient"]) for r in found) / n
+        gradient[:-1] = gradient[:-1] * scale + l2 * w[:-1]
+        return sum(r["loss"] for r in found) / n + l2 / 2 * float(w[:-1] @ w[:-1]), gradient
+
+    w = lbfgs(loss, np.zeros(size + 1), iterations)
+    return w[:-1], float(w[-1])
+
+
+def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, iterations: int, tol: float = 1e-6, pairs: int = 10) -> np.ndarray:
+    """Where the loss (value and gradient) is least, by limited-memory BFGS with halved steps."""
+    value, gradient = loss(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        step, taken = gradient.copy(), []
+        for s, y in reversed(moves):
+            taken.append((s @ step) / (s @ y))
+            step -= taken[-1] * y
+        step *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, float(np.linalg.norm(gradient)))
+        for (s, y), a in zip(moves, reversed(taken)):
+            step += s * (a - (y @ step) / (s @ y))
+        length, slope = 1.0, float(gradient @ step)
+        following = loss(w - step)
+        while following[0] > value - 1e-4 * length * slope and length > 1e-6:
+            length /= 2
+            following = loss(w - length * step)
+        if following[0] >= value:
+            break
+        move, change = -length * step, following[1] - gradient
+        if move @ change > 1e-12:
+            moves = [*moves, (move, change)][-pairs:]
+        w, gain = w + move, value - following[0]
+        value, gradient = following
+        if gain < tol * max(abs(value), 1e-3):
+            break
+    return w
+
+
 def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(x, -500.0, 500.0))))

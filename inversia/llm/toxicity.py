@@ -13,15 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inversia.llm.linear import as_vector, bounded, fit_logistic, sigmoid
+from inversia.llm.decontaminate import small
+from inversia.llm.linear import fit_presence, sigmoid
 from inversia.llm.ngrams import Presence
 from inversia.llm.workspace import Workspace, held_out, per_batch
 
 LENGTHS, BITS = (4, 5), 18
 SMOOTHING, L2 = 1.0, 1e-3
-#: Only features that a likelihood-ratio test ties to the label this strongly are fitted.
-LEAST_G = 20.0
-#: About so many labelled rows are fitted on; more are thinned by a hash of the key.
+#: About so many labelled rows are fitted on; ratios are counted on all.
 MOST_TRAINING = 12_000
 
 
@@ -36,11 +35,14 @@ class ToxicityModel:
         return lambda text: sigmoid(self.intercept + float(self.weights[present(text or "")].sum()))
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Fit on rows with a text and a 0/1 label; others are left out.
+def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", most: int = MOST_TRAINING) -> ToxicityModel:
+    """Learn from rows with a text and a 0/1 label; others are left out.
 
-    No rows, or one class only: a model that calls every text that class (clean if none)."""
-    rows = labelled.select(labelled[text].alias("text"), labelled[label].cast("double").alias("label"))
+    The ratios are counted on all rows, the logistic model is fitted on about ``most`` of them, on
+    every n-gram they hold. No rows, or one class only: a model that calls every text that class
+    (clean if none)."""
+    key = F.xxhash64(*[labelled[c] for c in labelled.columns if c != text])
+    rows = labelled.select(labelled[text].alias("text"), labelled[label].cast("double").alias("label"), key.alias("key"))
     rows = rows.where("text is not null and label in (0.0, 1.0)")
 
     space = Workspace(labelled.sparkSession, "toxicity")
@@ -50,28 +52,28 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic")
         # log-odds of 6 for the only class seen
         return ToxicityModel(np.zeros(1 << BITS), 6.0 if sizes.get(1.0) else -6.0)
     counts = presence_counts(texts)
-    ratios = np.where(g_test(counts, sizes[0.0], sizes[1.0]) >= LEAST_G, log_ratios(counts), 0.0)
-    kept = np.flatnonzero(ratios)
-    if not len(kept):
-        return ToxicityModel(np.zeros(1 << BITS), float(np.log(sizes[1.0] / sizes[0.0])))
-    sent = labelled.sparkSession.sparkContext.broadcast((kept, ratios[kept]))
+    ratios = np.where(counts.any(0), log_ratios(counts, (sizes[0.0], sizes[1.0])), 0.0)
 
-    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Presence(LENGTHS, BITS)
-        own, values = sent.value
         for batch in batches:
-            found = [np.flatnonzero(np.isin(own, present(t), assume_unique=True)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array([values[x] for x in found], pa.list_(pa.float64()))],
-                ["label", "i", "v"],
-            )
+            found = pa.array([present(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), found], ["label", "weight", "i"])
+
+    training = space.keep(fitted_rows(texts, sizes, most).mapInArrow(features, "label double, weight double, i array<int>"), "features")
+    coefficients, intercept = fit_presence(training, ratios, L2)
+    space.drop(texts, training)
+    return ToxicityModel(coefficients * ratios, intercept)
+
 
-    training = texts.mapInArrow(scaled, "label double, i array<int>, v array<double>")
-    coefficients, intercept = fit_logistic(training.select("label", as_vector("i", "v", len(kept)).alias("features")), L2)
-    space.drop(texts)
-    weights = np.zeros(1 << BITS)
-    weights[kept] = coefficients * ratios[kept]
-    return ToxicityModel(weights, intercept)
+def fitted_rows(texts: DataFrame, sizes: dict[float, int], most: int) -> DataFrame:
+    """``text``, ``label``, ``weight`` of about ``most`` rows, chosen by a hash of the row.
+
+    A class of at most half as many is taken whole; a class that is thinned weighs as much as all its rows."""
+    shares = {c: min(1.0, max(most / 2, most - sizes[1.0 - c]) / n) for c, n in sizes.items()}
+    share = F.when(F.col("label") == 1.0, F.lit(shares[1.0])).otherwise(F.lit(shares[0.0]))
+    place = F.pmod(F.xxhash64(F.lit(7), "key", "text"), F.lit(1 << 52)) / float(1 << 52)
+    return texts.where(place < share).select("text", "label", (1.0 / share).alias("weight"))
 
 
 def presence_counts(texts: DataFrame) -> np.ndarray:
@@ -92,10 +94,11 @@ def presence_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Log of the smoothed share of each feature in toxic texts over that in clean ones."""
+def log_ratios(counts: np.ndarray, sizes: tuple[int, int] | None = None) -> np.ndarray:
+    """Log of the smoothed share of each feature in toxic texts over that in clean ones: of the
+    ``sizes`` texts of each class if given, else of all the features found there."""
     shares = counts + SMOOTHING
-    shares /= shares.sum(1, keepdims=True)
+    shares /= shares.sum(1, keepdims=True) if sizes is None else np.array(sizes, float)[:, None] + 2 * SMOOTHING
     return np.log(shares[1] / shares[0])
 
 
@@ -110,16 +113,12 @@ def g_test(counts: np.ndarray, clean: int, toxic: int) -> np.ndarray:
     return 2 * total
 
 
-def training_rows(
-    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TRAINING
-) -> DataFrame:
-    """``text`` and label of about ``most`` labelled rows outside the held-out fold (null keys: none).
-
-    The labels are thinned before the join, so the side that is broadcast has that many rows."""
+def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """Key, ``text`` and label of all labelled rows outside the held-out fold (null keys: none)."""
     known = labels.select(labels[key].alias("doc_id"), labels[label].alias("label"))
-    known = bounded(known.where(known["label"].isNotNull() & known["doc_id"].isNotNull() & ~held_out(known["doc_id"])), "doc_id", most)
+    known = small(known.where(known["label"].isNotNull() & known["doc_id"].isNotNull() & ~held_out(known["doc_id"])))
     texts = df.select(df[key].alias("doc_id"), df[text].alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("text", F.col("label").alias(label))
+    return texts.join(known, "doc_id").select("doc_id", "text", F.col("label").alias(label))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

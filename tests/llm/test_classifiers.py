@@ -138,3 +138,28 @@ def test_platt_recovers_a_slope():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * x - 1)))).astype(float)
     slope, offset = quality.platt(x, y)
     assert abs(slope - 0.5) < 0.08 and abs(offset + 1) < 0.15
+
+
+def test_toxicity_learns_from_few_rows(spark):
+    # 58 clean and 10 toxic rows to learn from: no n-gram stands out by any fixed test
+    df, labels = (read_table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(toxicity.training_rows(df, labels))
+    learned = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect() if not held_out_id(r.doc_id)}
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, model).collect() if r.doc_id in learned}
+    assert sum(learned.values()) >= 10 and got == learned
+
+
+def test_toxicity_counts_rare_terms(spark):
+    # 2 of 2,400 rows hold the term: far fewer than any cut by strength leaves
+    rows = [(i, f"plain words of row {i % 30} and more", 0) for i in range(2_000)]
+    rows += [(i, "you are a loser, plain words", 1) for i in range(2_000, 2_398)] + [(i, "zzqxjv", 1) for i in (2_398, 2_399)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    score = model.scorer()
+    assert score("plain words and zzqxjv") > score("plain words and more") and score("zzqxjv") > 0.5
+
+
+def test_toxicity_fits_on_a_bounded_share_of_each_class(spark):
+    texts = spark.createDataFrame([(f"t{i}", float(i < 300), i) for i in range(20_000)], "text string, label double, key long")
+    rows = toxicity.fitted_rows(texts, {0.0: 19_700, 1.0: 300}, 2_000).groupBy("label").agg({"*": "count", "weight": "sum"}).collect()
+    got = {r["label"]: (r["count(1)"], r["sum(weight)"]) for r in rows}
+    assert got[1.0] == (300, 300.0) and abs(got[0.0][0] - 1_700) < 200 and abs(got[0.0][1] / 19_700 - 1) < 0.12

@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from inversia.llm import toxicity
+from inversia.llm.workspace import held_out_id
 from tests.llm.messy import FOLDER, empty, messy
 from tests.llm.test_decontaminate import plain as plain_leaks
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -55,3 +56,11 @@ def test_odd_and_empty_documents(spark, tmp_path):
             stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{k}-{i}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_toxic_documents_are_removed(spark):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1")
+    toxic = {r.doc_id for r in labels.collect() if not held_out_id(r.doc_id)}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.remove_toxic(spark, docs, FOLDER).collect()}
+    assert toxic and not toxic & kept
