@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inversia.llm.decontaminate import small
 from inversia.llm.linear import as_vector, bounded, fit_logistic, sigmoid
 from inversia.llm.ngrams import hashed
 from inversia.llm.workspace import Workspace, held_out, per_batch
@@ -25,8 +26,8 @@ from inversia.llm.workspace import Workspace, held_out, per_batch
 LENGTHS, BITS = (1, 2, 3), 12
 METADATA_BITS = 10
 ROUNDS, PER_ROUND, CONFIDENT = 2, 400, 0.9
-#: About so many labelled rows are fitted on, and so many unlabelled ones may get pseudo-labels.
-MOST_TRAINING, MOST_POOL = 8_000, 8_000
+#: About so many labelled rows are fitted on; any unlabelled row may get a pseudo-label.
+MOST_TRAINING = 8_000
 TEXT_L2, METADATA_L2 = 1e-4, 1e-3
 SCALE = 20.0
 
@@ -118,13 +119,23 @@ def _scored(rows: DataFrame, views: dict[str, View]) -> DataFrame:
     return rows.mapInArrow(score, "row long, label double, part int, text double, metadata double")
 
 
-def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
-    """Co-train on ``labelled`` (doc_id, text, source, lang, n_chars, label) and ``unlabelled`` rows.
+def _scored_pool(pool: DataFrame, views: dict[str, View]) -> DataFrame:
+    """``row`` and the log-odds of both views of every row, from its text and metadata, in one pass."""
+    sent = pool.sparkSession.sparkContext.broadcast(views)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, metadata = sent.value["text"], sent.value["metadata"]
+        for batch in batches:
+            a = [text.log_odds(*text_features(t)) for t in batch.column("text").to_pylist()]
+            facts = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+            b = [metadata.log_odds(*metadata_features(*x)) for x in facts]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["row", "text", "metadata"])
+
+    return pool.select("row", "text", "source", "lang", "n_chars").mapInArrow(score, "row long, text double, metadata double")
+
 
-    Both are bounded by the caller (``training_rows``). One class only, or no rows: constant views.
-    One labelled row in four is kept from the fits and calibrates the views."""
-    spark = labelled.sparkSession
-    space = Workspace(spark, "quality")
+def _featurised(rows: DataFrame) -> DataFrame:
+    """Features of both views beside ``row``, ``label`` and ``part``."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,47 +157,66 @@ def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
             )
 
     columns = ["row", "text", "source", "lang", "n_chars", "label", "part"]
+    schema = "row long, label double, part int, text_i array<int>, text_v array<double>, metadata_i array<int>, metadata_v array<double>"
+    return rows.select(columns).mapInArrow(featurise, schema)
+
+
+def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
+    """Co-train on ``labelled`` (doc_id, text, source, lang, n_chars, label) and ``unlabelled`` rows.
+
+    Labelled rows are bounded by the caller (``training_rows``). Each round scores all unlabelled
+    rows in one pass; only those that get a pseudo-label are opened for the fits. One class only, or
+    no rows: constant views. One labelled row in four is kept from the fits and calibrates the views."""
+    space = Workspace(labelled.sparkSession, "quality")
+
     # part 0: fitted on; 1: calibrates; 2: the pool
     part = F.when(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(4)) == 0, 1).otherwise(0)
     row = F.xxhash64(F.lit(13), "doc_id", "text")
-    both = labelled.withColumns({"part": part, "row": row}).select(columns).unionByName(
-        unlabelled.withColumns({"part": F.lit(2), "row": row, "label": F.lit(None).cast("double")}).select(columns)
-    )
-    schema = "row long, label double, part int, text_i array<int>, text_v array<double>, metadata_i array<int>, metadata_v array<double>"
-    rows = space.keep(both.mapInArrow(featurise, schema), "features")
-    known, check, pool = (rows.where(F.col("part") == k) for k in (0, 1, 2))
+    rows = space.keep(_featurised(labelled.withColumns({"part": part, "row": row})), "features")
+    known, check = (rows.where(F.col("part") == k) for k in (0, 1))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         odds = 6.0 if sizes.get(1.0) else -6.0 if sizes else 0.0
         space.drop(rows)
         return QualityModel(*(View(np.zeros(VIEWS[v]), odds) for v in ("text", "metadata")))
     share = sizes[1.0] / (sizes[0.0] + sizes[1.0])
+    pool = space.keep(unlabelled.select(row.alias("row"), "text", "source", "lang", "n_chars"), "pool")
     given: dict[str, dict[int, float]] = {"text": {}, "metadata": {}}  # bounded: 2 * PER_ROUND rows a round
     views: dict[str, View] = {}
-    rounds = []
+    rounds, added = [], []
     for n in range(ROUNDS + 1):
         for view in VIEWS:
-            views[view] = _fitted(_with_pseudo_labels(known, pool, given[view]), view)
+            views[view] = _fitted(_with_pseudo_labels(known, added[-1] if added else None, given[view]), view)
         if n == ROUNDS:
             break
-        scores = space.keep(_scored(pool, views), "scores")
+        # repeated rows are one row
+        each = _scored_pool(pool, views).groupBy("row").agg(F.max("text").alias("text"), F.max("metadata").alias("metadata"))
+        scores = space.keep(each, "scores")
         for view, other in (("text", "metadata"), ("metadata", "text")):
             chosen = _most_confident(scores, view, given[other], share)
             given[other] |= chosen
             rounds.append({"round": n, "from": view, "rows": len(chosen), "positive": sum(chosen.values())})
         space.drop(scores)
+        added.append(space.keep(_chosen(pool, set(given["text"]) | set(given["metadata"])), "chosen"))
     found = _scored(check, views).where("label is not null").toPandas()
     for view, model in views.items():
         model.slope, model.offset = platt(found[view].to_numpy(), found["label"].to_numpy())
-    space.drop(rows)
+    space.drop(rows, pool, *added)
     return QualityModel(views["text"], views["metadata"], rounds)
 
 
-def _with_pseudo_labels(known: DataFrame, pool: DataFrame, given: dict[int, float]) -> DataFrame:
-    if not given:
+def _chosen(pool: DataFrame, rows: set[int]) -> DataFrame:
+    """The features of the few rows that got a pseudo-label from either view."""
+    table = pool.sparkSession.createDataFrame([(r,) for r in sorted(rows)], "row long")
+    few = pool.join(F.broadcast(table), "row").groupBy("row").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("one"))
+    return _featurised(few.select("row", "one.*", F.lit(None).cast("double").alias("label"), F.lit(2).alias("part")))
+
+
+def _with_pseudo_labels(known: DataFrame, chosen: DataFrame | None, given: dict[int, float]) -> DataFrame:
+    if chosen is None or not given:
         return known
     table = known.sparkSession.createDataFrame(list(given.items()), "row long, given double")
-    added = pool.drop("label").join(F.broadcast(table), "row").withColumnRenamed("given", "label")
+    added = chosen.drop("label").join(F.broadcast(table), "row").withColumnRenamed("given", "label")
     return known.unionByName(added.select(known.columns))
 
 
@@ -226,17 +256,16 @@ def platt(log_odds: np.ndarray, labels: np.ndarray, steps: int = 30) -> tuple[fl
 
 
 def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> tuple[DataFrame, DataFrame]:
-    """Labelled and unlabelled rows outside the held-out fold, about MOST_TRAINING and MOST_POOL.
+    """About MOST_TRAINING labelled and all unlabelled rows outside the held-out fold.
 
-    The keys are thinned before any join, so the sides that are broadcast are bounded."""
+    The labelled keys are thinned before the join, so the side that is broadcast is bounded."""
     docs = df.select(*[df[c].alias(n) for c, n in ((key, "doc_id"), ("text", "text"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars"))])
     docs = docs.withColumn("n_chars", F.col("n_chars").cast("long")).where(F.col("doc_id").isNotNull())
     own = labels.select(labels[key].alias("doc_id"), labels[label].cast("double").alias("label"))
     own = own.where("doc_id is not null and label in (0.0, 1.0)")
     known = bounded(own.where(~held_out(F.col("doc_id"))), "doc_id", MOST_TRAINING)
-    ids = docs.select("doc_id").where(~held_out(F.col("doc_id"))).join(own.select("doc_id"), "doc_id", "left_anti")
-    pool = bounded(ids, "doc_id", MOST_POOL)
-    return docs.join(F.broadcast(known), "doc_id"), docs.join(F.broadcast(pool.distinct()), "doc_id")
+    pool = docs.where(~held_out(F.col("doc_id"))).join(small(own.select("doc_id")), "doc_id", "left_anti")
+    return docs.join(F.broadcast(known), "doc_id"), pool
 
 
 def score_quality(df: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:

@@ -163,3 +163,21 @@ def test_toxicity_fits_on_a_bounded_share_of_each_class(spark):
     rows = toxicity.fitted_rows(texts, {0.0: 19_700, 1.0: 300}, 2_000).groupBy("label").agg({"*": "count", "weight": "sum"}).collect()
     got = {r["label"]: (r["count(1)"], r["sum(weight)"]) for r in rows}
     assert got[1.0] == (300, 300.0) and abs(got[0.0][0] - 1_700) < 200 and abs(got[0.0][1] / 19_700 - 1) < 0.12
+
+
+def test_quality_pool_is_every_unlabelled_row(spark):
+    n = 12_000
+    docs = spark.range(n).selectExpr("id as doc_id", "'a text' as text", "'s' as source", "'en' as lang", "6 as n_chars")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(i, None) for i in range(100, 150)], "doc_id long, quality int")
+    pool = {r.doc_id for r in quality.training_rows(docs, labels)[1].select("doc_id").collect()}
+    assert pool == {i for i in range(100, n) if not held_out_id(i)}
+
+
+def test_quality_pseudo_labels_count_repeated_rows_once(spark):
+    rows = [(i, f"good {i} prose here" if i % 2 else "xx xx xx", "s1" if i % 2 else "s2", "en", 20, float(i % 2)) for i in range(200)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, label double")
+    unlabelled = known.drop("label").withColumn("doc_id", F.col("doc_id") + 1_000)
+    model = quality.fit_quality(known, unlabelled.union(unlabelled).union(unlabelled))
+    once = quality.fit_quality(known, unlabelled)
+    assert model.rounds == once.rounds and sum(r["rows"] for r in model.rounds) > 0
+    assert np.allclose(model.text.weights, once.text.weights, atol=1e-3)
