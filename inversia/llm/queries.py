@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inversia.llm import decontaminate, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity
+from inversia.llm import decontaminate, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity, urlrules
 from inversia.llm.workspace import read_table
 
 
@@ -62,11 +62,17 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urlrules.judge_urls(read_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_mixing, op3_spotsigs, op4_sharding, op5_substrings,
         op6_language, op7_tokens, op8_toxicity, op9_quality, op10_decontamination,
+        op12_url_filters,
     )
 }
 
@@ -126,4 +132,24 @@ SELECT d.doc_id, length(t) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS bigin
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_sharding": SHARDS_SQL, "op5_substrings": CUT_SQL, "op10_decontamination": LEAKS_SQL}
+RULES_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), n AS (SELECT row_number() OVER () AS row, * FROM u),
+b AS (
+  SELECT n.row, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM n JOIN r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.row
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM n LEFT JOIN b ON n.row = b.row
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_sharding": SHARDS_SQL,
+    "op5_substrings": CUT_SQL,
+    "op10_decontamination": LEAKS_SQL,
+    "op12_url_filters": RULES_SQL,
+}
