@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inversia.llm import decontaminate, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity, urlrules
+from inversia.llm import decontaminate, filteraudit, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity, urlrules
 from inversia.llm.workspace import read_table
 
 
@@ -67,12 +67,17 @@ def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge_urls(read_table(spark, folder, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes, per source, under every order of them."""
+    return filteraudit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_mixing, op3_spotsigs, op4_sharding, op5_substrings,
         op6_language, op7_tokens, op8_toxicity, op9_quality, op10_decontamination,
-        op12_url_filters,
+        op12_url_filters, op13_filter_audit,
     )
 }
 
@@ -147,9 +152,45 @@ b AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM n LEFT JOIN b ON n.row = b.row
 """
 
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d
+), c AS (
+  SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (
+  SELECT x1.k || x2.k || x3.k || x4.k || x5.k AS filter_order FROM x x1, x x2, x x3, x x4, x x5
+  WHERE len(list_distinct([x1.k, x2.k, x3.k, x4.k, x5.k])) = 5
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS k, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::int AS before
+  FROM (SELECT filter_order, cast(unnest(range(1, 6)) AS int) AS step FROM o)
+), p AS (
+  SELECT part, filter_order, step, k, cast(sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS bigint) AS kept,
+    cast(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS bigint) AS removed,
+    cast(sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS bigint) AS redundant,
+    cast(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS bigint) AS unique_fails,
+    cast(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 AND good = 1 THEN n ELSE 0 END) AS bigint) AS good_lost,
+    cast(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 AND toxic = 1 THEN n ELSE 0 END) AS bigint) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) OVER (PARTITION BY part, k) AS bigint) AS shapley FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op4_sharding": SHARDS_SQL,
     "op5_substrings": CUT_SQL,
     "op10_decontamination": LEAKS_SQL,
     "op12_url_filters": RULES_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
