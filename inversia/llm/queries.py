@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inversia.llm import decontaminate, filteraudit, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity, urlrules
+from inversia.llm import convtrie, decontaminate, filteraudit, language, mixing, quality, shards, simhash, spotsigs, substrings, tokens, toxicity, urlrules
 from inversia.llm.workspace import read_table
 
 
@@ -62,6 +62,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return convtrie.prefix_trie(read_table(spark, folder, "conversations"))
+
+
 def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return urlrules.judge_urls(read_table(spark, folder, "pages"))
@@ -77,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash, op2_mixing, op3_spotsigs, op4_sharding, op5_substrings,
         op6_language, op7_tokens, op8_toxicity, op9_quality, op10_decontamination,
-        op12_url_filters, op13_filter_audit,
+        op11_prefix_trie, op12_url_filters, op13_filter_audit,
     )
 }
 
@@ -187,10 +192,43 @@ o AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) OVER (PARTITION BY part, k) AS bigint) AS shapley FROM p
 """
 
+TRIE_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS rank
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(cast(conv_id AS varchar))), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc
+), r AS (
+  SELECT c.conv_id, 0 AS own, rank, role, text FROM c JOIN o ON o.conv_id = c.base AND rank < h
+  UNION ALL SELECT c.conv_id, 1, rank, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND rank >= h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path, length(text) AS chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), a AS (SELECT conv_id, depth, path, chars FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS total FROM a),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars, coalesce(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE depth = total), '') AS ends
+  FROM e GROUP BY path, depth
+), k AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k ON n.path = k.path),
+s AS (
+  SELECT substr(path, 1, cast(32 * up AS bigint)) AS path, cast(sum((n - 1) * chars) AS bigint) AS saved, count(*) FILTER (WHERE children = 0) AS leaves
+  FROM (SELECT path, n, chars, children, unnest(range(depth + 1)) AS up FROM m) GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.children AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.path = m.path LEFT JOIN n u ON m.depth > 0 AND u.depth = m.depth - 1 AND u.path = substr(m.path, 1, 32 * (m.depth - 1))
+"""
+
 ORACLES: dict[str, str] = {
     "op4_sharding": SHARDS_SQL,
     "op5_substrings": CUT_SQL,
     "op10_decontamination": LEAKS_SQL,
+    "op11_prefix_trie": TRIE_SQL,
     "op12_url_filters": RULES_SQL,
     "op13_filter_audit": AUDIT_SQL,
 }
