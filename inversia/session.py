@@ -77,4 +77,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     nothing. Used where a job goes over an expensive table several times."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Remove what ``staged`` wrote for this very table, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
