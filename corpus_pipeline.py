@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inversia.llm import decontaminate, mixing, shards, simhash, toxicity
+from inversia.llm import decontaminate, mixing, nearcopies, shards, toxicity
 from inversia.llm.workspace import Workspace, read_table
 
 
@@ -23,9 +23,10 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id, null ids last. Texts without words
-    are one group, with the few whose fingerprint is almost zero."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies: the smallest id, null ids last. SimHash finds
+    copies and light edits, a second search all other pairs; every link is confirmed to be of
+    likeness 0.8 or more over five-word shingles. Texts without words are one group."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def remove_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
