@@ -7,9 +7,9 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
-from inversia.operators import spatial
+from inversia.operators import density, nearest, spatial
 from inversia.operators.filters import REGION
-from inversia.plans import jobs
+from inversia.plans import jobs, resume
 from inversia.queries.views import COLUMN_SQL, GRID_SQL, POINT_SQL, ROW_SQL, Query, grid, points, r, rounded, table
 from inversia.session import scratch_path
 from inversia.sources import raster, sinks
@@ -104,6 +104,21 @@ CONVERTED_SQL = (
 )
 
 
+def _resumed(spark, folder):
+    """Files that arrive in two parts, converted by two runs, the second one after a run that broke."""
+    source, target = scratch_path(spark, "arriving"), scratch_path(spark, "converted")
+    cells, odd = _daily_cells(spark, folder), F.substring("name", -2, 2).cast("int") % 2 == 1
+    write_rasters(cells.where(odd), 24, 15, source)
+    resume.convert_new_rasters(spark, source, target, grid(spark, folder), every=3)
+    write_rasters(cells.where(~odd), 24, 15, source)
+    # what a broken run leaves: points that no manifest names
+    broken = resume.read_points(spark, target).limit(50).withColumn("altitude", F.lit(-1.0))
+    broken.write.partitionBy("variable", "year").parquet(f"{target}/{resume.POINTS}/run=00000002-broken")
+    again = resume.convert_new_rasters(spark, source, target, grid(spark, folder), every=3)
+    first = resume.committed(spark, target).join(again["converted"].select("path"), "path", "left_anti").count()
+    return resume.read_points(spark, target).withColumn("converted_before", F.lit(first))
+
+
 def _normals(spark, folder):
     """Twelve month files of order counts by year and weekday; two cells in three are empty."""
     orders = table(spark, folder, "orders")
@@ -195,7 +210,75 @@ def _sample_json(spark, folder):
     return records.select(F.from_json("record", "id int, value double, altitude double").alias("r")).select("r.*")
 
 
+# -- scattered terrain: half of it in one small square ------------------------------------------------
+SCATTER_LAT = "CASE WHEN p_partkey % 2 = 0 THEN 37.5e0 + sqrt((p_partkey * 7.7e0) % 11.0e0) * 0.0001e0 ELSE 36.0e0 + sqrt((p_partkey * 31.3e0) % 12.0e0) END"
+SCATTER_LON = "CASE WHEN p_partkey % 2 = 0 THEN -85.0e0 + sqrt((p_partkey * 5.3e0) % 13.0e0) * 0.0001e0 ELSE -90.5e0 + sqrt((p_partkey * 77.1e0) % 85.0e0) END"
+SCATTER_SQL = f"SELECT p_partkey AS idx, {SCATTER_LAT} AS lat, {SCATTER_LON} AS lon, p_retailprice AS z FROM part"
+# every third cell has lost its altitude, and every fifth is absent
+HOLED_SQL = f"SELECT lat_idx, lon_idx, lat, lon, CASE WHEN (lat_idx + 2 * lon_idx) % 3 <> 0 THEN z END AS z FROM ({GRID_SQL}) WHERE (lat_idx + lon_idx) % 5 <> 0"
+
+
+def _scattered(spark, folder):
+    part = table(spark, folder, "part")
+    return part.select(F.col("p_partkey").alias("idx"), F.expr(SCATTER_LAT).alias("lat"), F.expr(SCATTER_LON).alias("lon"), F.col("p_retailprice").alias("z"))
+
+
+def _holed(spark, folder):
+    cells = grid(spark, folder).where("(lat_idx + lon_idx) % 5 <> 0")
+    return cells.withColumn("z", F.expr("CASE WHEN (lat_idx + 2 * lon_idx) % 3 <> 0 THEN z END"))
+
+
+def _near_sql(k):
+    d = "(longitude - lon) * (longitude - lon) + (latitude - lat) * (latitude - lat)"
+    return (
+        f"WITH p AS ({POINT_SQL}), g AS ({SCATTER_SQL}), n AS (SELECT c_custkey, idx, z, {d} AS d, row_number() OVER (PARTITION BY c_custkey ORDER BY {d}, idx) AS rank FROM p, g) "
+        f"SELECT c_custkey, cast(rank AS int) AS rank, idx AS target_idx, z AS altitude, {r('sqrt(d)', 'distance', 9)} FROM n WHERE rank <= {k}"
+    )
+
+
+def _near(k):
+    def run(spark, folder):
+        found = nearest.nearest_points(points(spark, folder), _scattered(spark, folder), k, most=16)
+        return found.select("c_custkey", "rank", "target_idx", "altitude", F.round("distance", 9).alias("distance"))
+
+    return run
+
+
+HOLES_SQL = (
+    f"WITH p AS ({POINT_SQL}), g AS ({HOLED_SQL}), a AS (SELECT lat, min(lat_idx) AS i FROM g GROUP BY lat), o AS (SELECT lon, min(lon_idx) AS i FROM g GROUP BY lon), "
+    "c AS (SELECT c_custkey, latitude, longitude, arg_min(a.i, (abs(latitude - lat), a.i)) AS lat_idx FROM p, a GROUP BY ALL), "
+    "e AS (SELECT c.*, arg_min(o.i, (abs(longitude - lon), o.i)) AS lon_idx FROM c, o GROUP BY ALL), "
+    "f AS (SELECT e.c_custkey, latitude, longitude, g.z, g.lat, g.lon FROM e LEFT JOIN g USING (lat_idx, lon_idx)), "
+    "h AS (SELECT c_custkey, arg_min(struct_pack(z := g.z, lat := g.lat, lon := g.lon), ((longitude - g.lon) * (longitude - g.lon) + (latitude - g.lat) * (latitude - g.lat), lat_idx, lon_idx)) AS b "
+    "FROM f, g WHERE f.z IS NULL AND g.z IS NOT NULL GROUP BY c_custkey) "
+    f"SELECT c_custkey, coalesce(f.z, b.z) AS altitude, {r('CASE WHEN f.z IS NULL THEN b.lat ELSE f.lat END', 'grid_lat')}, {r('CASE WHEN f.z IS NULL THEN b.lon ELSE f.lon END', 'grid_lon')} FROM f LEFT JOIN h USING (c_custkey)"
+)
+
+# -- kernel density -------------------------------------------------------------------------------------
+CELL = 0.25
+DENSITY_SQL = (
+    f"WITH p AS ({POINT_SQL}), c AS (SELECT cast(floor(longitude / {CELL}e0) AS bigint) AS i, cast(floor(latitude / {CELL}e0) AS bigint) AS j, sum(c_acctbal) AS w, sum(c_acctbal * c_acctbal) AS s "
+    "FROM p WHERE c_acctbal > 0 GROUP BY ALL), "
+    f"m AS (SELECT sum(w) AS t, sum(s) / (sum(w) * sum(w)) AS share, sum(w * i * {CELL}e0) / sum(w) AS mx, sum(w * j * {CELL}e0) / sum(w) AS my FROM c), "
+    f"b AS (SELECT t, pow(1 / share, -1 / 6e0) * sqrt(sum(w * (i * {CELL}e0 - mx) * (i * {CELL}e0 - mx)) / t / (1 - share)) AS bx, "
+    f"pow(1 / share, -1 / 6e0) * sqrt(sum(w * (j * {CELL}e0 - my) * (j * {CELL}e0 - my)) / t / (1 - share)) AS bw FROM c, m GROUP BY t, share), "
+    f"k AS (SELECT *, cast(ceil(bx / {CELL}e0 * sqrt(2 * ln(1e9))) AS bigint) AS rx, cast(ceil(bw / {CELL}e0 * sqrt(2 * ln(1e9))) AS bigint) AS ry FROM b), "
+    "x AS (SELECT DISTINCT i + d AS x FROM c, (SELECT unnest(range(-rx, rx + 1)) AS d FROM k)), y AS (SELECT DISTINCT j + d AS y FROM c, (SELECT unnest(range(-ry, ry + 1)) AS d FROM k)), "
+    # a cell is reached if a cell of points is near along both axes
+    "q AS (SELECT x, y FROM x, y), "
+    f"e AS (SELECT x, y, sum(w * exp(-((x - i) * {CELL}e0 / bx) * ((x - i) * {CELL}e0 / bx) / 2 - ((y - j) * {CELL}e0 / bw) * ((y - j) * {CELL}e0 / bw) / 2)) / (2 * pi() * bx * bw * t) AS v, "
+    "bool_or(abs(x - i) <= rx AND abs(y - j) <= ry) AS reached FROM q, c, k GROUP BY x, y, bx, bw, t) "
+    f"SELECT x AS lon_cell, y AS lat_cell, {r('v', 'density')} FROM e WHERE reached AND v > 1e-3"
+)
+
+
 QUERIES: dict[str, Query] = {
+    "nearest_point": Query(_near(1), _near_sql(1)),
+    "nearest_points_k": Query(_near(5), _near_sql(5)),
+    "nearest_known_cell": Query(
+        lambda s, d: rounded(nearest.nearest_known_cell(points(s, d), _holed(s, d)).select("c_custkey", "altitude", "grid_lat", "grid_lon")), HOLES_SQL
+    ),
+    "kernel_density": Query(lambda s, d: rounded(density.kernel_density(points(s, d).where("c_acctbal > 0"), "c_acctbal", CELL).where("density > 1e-3")), DENSITY_SQL),
     "raster_cells": Query(lambda s, d: _cells(s, d, every=2), _cells_sql("row * 15 + col", "(row * 15 + col) % 2 = 0")),
     "raster_region": Query(
         lambda s, d: _cells(s, d, region=REGION, every=3),
@@ -208,6 +291,13 @@ QUERIES: dict[str, Query] = {
         + f"SELECT row_number() OVER (PARTITION BY day ORDER BY pixel) AS key, {r('altitude', 'altitude')}, 0.0e0 AS dist, 0.0e0 AS hr, {r('lat', 'latitude')}, {r('lon', 'longitude')}, "
         'cast(v AS double) AS value, t AS "timestamp", cast(year(t) AS int) AS year FROM p JOIN z ON p.row = z.row AND p.col = z.col',
     ),
+    "raster_conversion_resumed": Query(
+        lambda s, d: rounded(_resumed(s, d).select("key", "altitude", "latitude", "longitude", F.col("value").cast("double").alias("value"), "timestamp", "year", "converted_before")),
+        CONVERTED_SQL
+        + f"SELECT row_number() OVER (PARTITION BY day ORDER BY pixel) AS key, {r('altitude', 'altitude')}, {r('lat', 'latitude')}, {r('lon', 'longitude')}, "
+        'cast(v AS double) AS value, t AS "timestamp", cast(year(t) AS int) AS year, (SELECT count(DISTINCT day) FROM c WHERE cast(right(day, 2) AS int) % 2 = 1) AS converted_before '
+        "FROM p JOIN z ON p.row = z.row AND p.col = z.col",
+    ),
     "raster_run_report": Query(
         lambda s, d: _converted(s, d, "report"),
         CONVERTED_SQL
