@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from inversia.llm.workspace import Workspace, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A table of sketches or shingles is broadcast up to so many rows; beyond, the join shuffles.
-MOST_BROADCAST = 500_000
+#: A table of sketches, shingles or keys is broadcast up to so many bytes; beyond, the join shuffles.
+MOST_BROADCAST, ROW_BYTES = 32 << 20, 32
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,8 +70,11 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size was checked, else left to the planner."""
-    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+    """Marked for broadcast if its size in bytes was checked, else left to the planner."""
+    lengths = [F.octet_length(F.col(f.name).cast("string")) for f in table.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    width = sum((F.coalesce(x, F.lit(0)) for x in lengths), F.lit(ROW_BYTES + 16 * len(table.columns)))
+    size = table.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= MOST_BROADCAST else table
 
 
 def find_leaks(

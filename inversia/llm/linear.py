@@ -6,52 +6,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_TASKS = 4
-#: Rows whose features a pass of ``fit_presence`` opens at once.
+#: Rows whose features a pass of ``fit_sparse`` opens at once.
 AT_ONCE = 256
 
 
-def bounded(rows: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
-    """About ``most`` rows, or all if there are fewer: those whose hashed key is small enough."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < 1_000_000 * most // n)
+def bounded(rows: DataFrame, row: str, most: int) -> DataFrame:
+    """About ``most`` of the different values of ``row``, a hash, or all if there are fewer."""
+    different = rows.select(row).distinct()
+    n = different.count()
+    if n <= most:
+        return rows
+    place = F.pmod(F.xxhash64(F.lit(7), row), F.lit(1 << 52)) / float(1 << 52)
+    return rows.where(place < most / n)
 
 
-def as_vector(indices: str, values: str, size: int) -> Column:
-    """A sparse vector from sorted indices and their values (for the bounded training rows only)."""
-
-    @F.udf(VectorUDT())
-    def make(i, v):
-        return SparseVector(size, i, v)
-
-    return make(indices, values)
-
-
-def fit_logistic(rows: DataFrame, l2: float, weight: str | None = None, iterations: int = 25) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept from columns ``features`` and ``label``; ``l2`` on unscaled features."""
-    model = LogisticRegression(
-        regParam=l2, elasticNetParam=0.0, maxIter=iterations, standardization=False, family="binomial", tol=1e-5
-    )
-    if weight:
-        model = model.setWeightCol(weight)
-    fitted = model.fit(rows.coalesce(FIT_TASKS))  # bounded rows: more tasks only add to each step
-    return fitted.coefficients.toArray(), float(fitted.intercept)
-
-
-def fit_presence(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int = 25) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a logistic model from ``label``, ``weight`` and ``i``, the sorted
-    indices of the features that are present, each of which has the value ``scale[i]``.
+def fit_sparse(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int = 25) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a logistic model from ``label``, ``weight`` and ``i``, the
+    indices of the features that are present, each of which has the value ``scale[i]``, times its
+    entry in ``v`` if there is such a column.
 
     L-BFGS steps on the mean loss; each is one pass over the (bounded) rows, whose tasks send sums.
     (Spark's own fit scales every feature by its deviation, so that in so many steps rare features,
     most of them noise, take the place of frequent ones.)"""
     size, spark = len(scale), rows.sparkSession
-    rows = rows.select("label", "weight", "i").coalesce(FIT_TASKS)
+    valued = "v" in rows.columns
+    rows = rows.select("label", "weight", "i", *(["v"] if valued else [])).coalesce(FIT_TASKS)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast((scale * w[:-1], float(w[-1])))
@@ -65,9 +48,10 @@ def fit_presence(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int
                     y, weight = part.column("label").to_numpy(), part.column("weight").to_numpy()
                     lengths, i = part.column("i").value_lengths().to_numpy(), part.column("i").flatten().to_numpy()
                     row = np.repeat(np.arange(len(y)), lengths)
-                    z = np.bincount(row, own[i], len(y)) + intercept
+                    v = part.column("v").flatten().to_numpy() if valued else 1.0
+                    z = np.bincount(row, own[i] * v, len(y)) + intercept
                     error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-                    gradient[:-1] += np.bincount(i, error[row], size)
+                    gradient[:-1] += np.bincount(i, error[row] * v, size)
                     gradient[-1] += error.sum()
                     total += float(weight @ (np.logaddexp(0.0, z) - y * z))
                     weights += float(weight.sum())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inversia.llm.decontaminate import small
-from inversia.llm.linear import as_vector, bounded, fit_logistic, sigmoid
+from inversia.llm.linear import bounded, fit_sparse, sigmoid
 from inversia.llm.ngrams import hashed
 from inversia.llm.workspace import Workspace, held_out, per_batch
 
@@ -97,8 +97,8 @@ L2 = {"text": TEXT_L2, "metadata": METADATA_L2}
 
 
 def _fitted(rows: DataFrame, view: str) -> View:
-    vectors = rows.select("label", as_vector(f"{view}_i", f"{view}_v", VIEWS[view]).alias("features"))
-    return View(*fit_logistic(vectors, L2[view]))
+    sparse = rows.select("label", F.lit(1.0).alias("weight"), F.col(f"{view}_i").alias("i"), F.col(f"{view}_v").alias("v"))
+    return View(*fit_sparse(sparse, np.ones(VIEWS[view]), L2[view]))
 
 
 def _scored(rows: DataFrame, views: dict[str, View]) -> DataFrame:
@@ -161,9 +161,12 @@ def _featurised(rows: DataFrame) -> DataFrame:
     return rows.select(columns).mapInArrow(featurise, schema)
 
 
-def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
+def fit_quality(labelled: DataFrame, unlabelled: DataFrame, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> QualityModel:
     """Co-train on ``labelled`` (doc_id, text, source, lang, n_chars, label) and ``unlabelled`` rows.
 
+    In each of ``rounds`` each view gives the other about ``per_round`` pseudo-labels, those it is
+    surest of; equally sure rows come by a hash of the row.
+
     Labelled rows are bounded by the caller (``training_rows``). Each round scores all unlabelled
     rows in one pass; only those that get a pseudo-label are opened for the fits. One class only, or
     no rows: constant views. One labelled row in four is kept from the fits and calibrates the views."""
@@ -171,7 +174,7 @@ def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
 
     # part 0: fitted on; 1: calibrates; 2: the pool
     part = F.when(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(4)) == 0, 1).otherwise(0)
-    row = F.xxhash64(F.lit(13), "doc_id", "text")
+    row = _row()
     rows = space.keep(_featurised(labelled.withColumns({"part": part, "row": row})), "features")
     known, check = (rows.where(F.col("part") == k) for k in (0, 1))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -181,28 +184,28 @@ def fit_quality(labelled: DataFrame, unlabelled: DataFrame) -> QualityModel:
         return QualityModel(*(View(np.zeros(VIEWS[v]), odds) for v in ("text", "metadata")))
     share = sizes[1.0] / (sizes[0.0] + sizes[1.0])
     pool = space.keep(unlabelled.select(row.alias("row"), "text", "source", "lang", "n_chars"), "pool")
-    given: dict[str, dict[int, float]] = {"text": {}, "metadata": {}}  # bounded: 2 * PER_ROUND rows a round
+    given: dict[str, dict[int, float]] = {"text": {}, "metadata": {}}  # bounded: 2 * per_round rows a round
     views: dict[str, View] = {}
-    rounds, added = [], []
-    for n in range(ROUNDS + 1):
+    told, added = [], []
+    for n in range(rounds + 1):
         for view in VIEWS:
             views[view] = _fitted(_with_pseudo_labels(known, added[-1] if added else None, given[view]), view)
-        if n == ROUNDS:
+        if n == rounds:
             break
         # repeated rows are one row
         each = _scored_pool(pool, views).groupBy("row").agg(F.max("text").alias("text"), F.max("metadata").alias("metadata"))
         scores = space.keep(each, "scores")
         for view, other in (("text", "metadata"), ("metadata", "text")):
-            chosen = _most_confident(scores, view, given[other], share)
+            chosen = _most_confident(scores, view, given[other], share, per_round)
             given[other] |= chosen
-            rounds.append({"round": n, "from": view, "rows": len(chosen), "positive": sum(chosen.values())})
+            told.append({"round": n, "from": view, "rows": len(chosen), "positive": sum(chosen.values())})
         space.drop(scores)
         added.append(space.keep(_chosen(pool, set(given["text"]) | set(given["metadata"])), "chosen"))
     found = _scored(check, views).where("label is not null").toPandas()
     for view, model in views.items():
         model.slope, model.offset = platt(found[view].to_numpy(), found["label"].to_numpy())
     space.drop(rows, pool, *added)
-    return QualityModel(views["text"], views["metadata"], rounds)
+    return QualityModel(views["text"], views["metadata"], told)
 
 
 def _chosen(pool: DataFrame, rows: set[int]) -> DataFrame:
@@ -220,11 +223,11 @@ def _with_pseudo_labels(known: DataFrame, chosen: DataFrame | None, given: dict[
     return known.unionByName(added.select(known.columns))
 
 
-def _most_confident(scores: DataFrame, view: str, taken: dict[int, float], share: float) -> dict[int, float]:
-    """Up to PER_ROUND rows that ``view`` is surest of, classes in the labelled rows' proportion."""
+def _most_confident(scores: DataFrame, view: str, taken: dict[int, float], share: float, per_round: int) -> dict[int, float]:
+    """Up to ``per_round`` rows that ``view`` is surest of, classes in the labelled rows' proportion."""
     least = math.log(CONFIDENT / (1 - CONFIDENT))
     out: dict[int, float] = {}
-    for label, order, n in ((1.0, F.desc(view), round(PER_ROUND * share)), (0.0, F.asc(view), round(PER_ROUND * (1 - share)))):
+    for label, order, n in ((1.0, F.desc(view), round(per_round * share)), (0.0, F.asc(view), round(per_round * (1 - share)))):
         sure = scores.where(F.col(view) >= least if label else F.col(view) <= -least)
         best = sure.orderBy(order, "row").limit(n + len(taken)).select("row").collect()
         out |= {r["row"]: label for r in [r for r in best if r["row"] not in taken][:n]}
@@ -255,17 +258,27 @@ def platt(log_odds: np.ndarray, labels: np.ndarray, steps: int = 30) -> tuple[fl
     return (float(max(w[0], 0.0)), float(w[1]))
 
 
-def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> tuple[DataFrame, DataFrame]:
-    """About MOST_TRAINING labelled and all unlabelled rows outside the held-out fold.
+def _row():
+    return F.xxhash64(F.lit(13), "doc_id", "text")
+
+
+def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = MOST_TRAINING) -> tuple[DataFrame, DataFrame]:
+    """About ``most`` different labelled rows and all unlabelled rows outside the held-out fold.
 
-    The labelled keys are thinned before the join, so the side that is broadcast is bounded."""
+    What bounds the labelled rows is a hash of the row, not of the key, so a key of very many rows
+    counts as what it has; repeated rows come once for each label. Rows are chosen by hashes before
+    any text moves. Rows without a key have no label and are in the pool."""
     docs = df.select(*[df[c].alias(n) for c, n in ((key, "doc_id"), ("text", "text"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars"))])
-    docs = docs.withColumn("n_chars", F.col("n_chars").cast("long")).where(F.col("doc_id").isNotNull())
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast("long")).where(~held_out(F.col("doc_id")))
     own = labels.select(labels[key].alias("doc_id"), labels[label].cast("double").alias("label"))
-    own = own.where("doc_id is not null and label in (0.0, 1.0)")
-    known = bounded(own.where(~held_out(F.col("doc_id"))), "doc_id", MOST_TRAINING)
-    pool = docs.where(~held_out(F.col("doc_id"))).join(small(own.select("doc_id")), "doc_id", "left_anti")
-    return docs.join(F.broadcast(known), "doc_id"), pool
+    own = small(own.where("doc_id is not null and label in (0.0, 1.0)").distinct())
+    rows = docs.where("doc_id is not null").select("doc_id", _row().alias("row")).distinct().join(own, "doc_id")
+    space = Workspace(df.sparkSession, "labelled")
+    chosen = space.keep(bounded(space.keep(rows, "rows"), "row", most).select("row", "label"), "chosen")
+    met = docs.withColumn("row", _row()).join(F.broadcast(chosen), "row")  # of about `most` hashes
+    known = met.groupBy("row", "label").agg(F.min(F.struct("doc_id", "text", "source", "lang", "n_chars")).alias("one")).select("one.*", "label")
+    keyed = docs.where("doc_id is not null").join(own, "doc_id", "left_anti")
+    return known, keyed.unionByName(docs.where("doc_id is null"))
 
 
 def score_quality(df: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:

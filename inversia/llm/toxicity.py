@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inversia.llm.decontaminate import small
-from inversia.llm.linear import fit_presence, sigmoid
+from inversia.llm.linear import fit_sparse, sigmoid
 from inversia.llm.ngrams import Presence
 from inversia.llm.workspace import Workspace, held_out, per_batch
 
@@ -61,7 +61,7 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), found], ["label", "weight", "i"])
 
     training = space.keep(fitted_rows(texts, sizes, most).mapInArrow(features, "label double, weight double, i array<int>"), "features")
-    coefficients, intercept = fit_presence(training, ratios, L2)
+    coefficients, intercept = fit_sparse(training, ratios, L2)
     space.drop(texts, training)
     return ToxicityModel(coefficients * ratios, intercept)
 
@@ -102,17 +102,6 @@ def log_ratios(counts: np.ndarray, sizes: tuple[int, int] | None = None) -> np.n
     return np.log(shares[1] / shares[0])
 
 
-def g_test(counts: np.ndarray, clean: int, toxic: int) -> np.ndarray:
-    """Likelihood-ratio statistic of presence against label."""
-    groups = np.array([[clean], [toxic]], float)
-    present = counts.sum(0) / groups.sum()
-    total = np.zeros(counts.shape[1])
-    for seen, expected in ((counts, groups * present), (groups - counts, groups * (1 - present))):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            total += np.nansum(np.where(seen > 0, seen * np.log(seen / expected), 0.0), 0)
-    return 2 * total
-
-
 def training_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Key, ``text`` and label of all labelled rows outside the held-out fold (null keys: none)."""
     known = labels.select(labels[key].alias("doc_id"), labels[label].alias("label"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inversia.llm import language, ngrams, quality, toxicity
+from inversia.llm import language, linear, ngrams, quality, toxicity
 from inversia.llm.workspace import held_out, held_out_id, read_table
 from tests.llm.messy import empty, messy
 
@@ -102,12 +102,99 @@ def test_toxicity_without_or_with_one_class(spark):
     assert {r.predicted for r in toxicity.score_toxicity(odd, model).collect()} == {0}
 
 
-def test_g_test_and_ratios():
+def plain_buckets(text, lengths, bits):
+    """The bucket of each n-gram, one by one, in whole numbers."""
+    mask = (1 << 64) - 1
+    points = [32 if ord(c) < 128 and not "a" <= c <= "z" else ord(c) for c in text.lower()]
+    out = []
+    for n in lengths:
+        for i in range(len(points) - n + 1):
+            h = 0
+            for p in points[i : i + n]:
+                h = (h * 0x100000001B3 + p + 1) & mask
+            out.append((((h + n) & mask) * 0x9E3779B97F4A7C15 & mask) >> (64 - bits))
+    return out
+
+
+def test_naive_bayes_by_hand(spark):
+    rows = [("abc de", "x"), ("abc f", "x"), ("de fé", "y"), ("zz", "z"), ("", "z"), (None, "x"), ("q", None)]
+    bits, smoothing = 12, language.SMOOTHING
+    models = language.fit_language(spark.createDataFrame(rows, "text string, lang string"), bits=bits)
+    known = [(t, c) for t, c in rows if t is not None and c is not None]
+    for probe in ("abc", "de zz", "é"):
+        logs = {}
+        for c in "xyz":
+            counts = np.zeros(1 << bits)
+            for t, own in known:
+                for k in plain_buckets(t, (1, 2, 3), bits) if own == c else ():
+                    counts[k] += 1
+            p = np.log((counts + smoothing) / (counts + smoothing).sum())
+            logs[c] = np.log(sum(own == c for _, own in known) / len(known)) + sum(p[k] for k in plain_buckets(probe, (1, 2, 3), bits))
+        got = dict(zip(models[0].languages, models[0].scores([probe])[0]))
+        assert got.keys() == logs.keys() and all(abs(got[c] - logs[c]) < 1e-4 for c in logs)
+
+
+def test_language_in_several_matrices(spark):
+    """600 languages, each with a letter pair of its own: none is left out, and the cut into matrices doesn't show."""
+    rows = []
+    for i in range(600):
+        word = chr(0x4E00 + i) * 2 + chr(0x6000 + i)
+        rows += [(f"l{i:03d}", f"{word} {word}"), (f"l{i:03d}", word)]
+    df = spark.createDataFrame([(n, t, c) for n, (c, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    one, three = (language.fit_language(df, at_once=k, bits=14) for k in (600, 250))
+    assert [len(m.languages) for m in three] == [250, 250, 100]
+    a, b = ({r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.predict_language(df, m).collect()} for m in (one, three))
+    assert a == b
+    want = dict(enumerate(c for c, _ in rows))
+    assert np.mean([a[i][0] == want[i] for i in want]) > 0.98 and {x for x, _ in a.values()} >= {f"l{i:03d}" for i in range(500, 590)} - {want[i] for i in want if a[i][0] != want[i]}
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language.fit_language(spark.createDataFrame([("a", c) for c in "pqrs"], "text string, lang string"))
+
+
+def test_log_ratios():
     counts = np.array([[0.0, 50.0, 100.0], [10.0, 5.0, 10.0]])
-    g = toxicity.g_test(counts, 100, 10)
-    assert g[0] > 20 and g[1] < 1e-9 and g[2] < 1e-9
     ratios = toxicity.log_ratios(counts)
-    assert ratios[0] > 2 and abs(ratios[1]) < 1.5
+    for j in range(3):
+        shares = [(counts[k][j] + 1) / sum(counts[k] + 1) for k in (0, 1)]
+        assert abs(ratios[j] - np.log(shares[1] / shares[0])) < 1e-12
+    sized = toxicity.log_ratios(counts.copy(), (100, 10))
+    assert abs(sized[1] - np.log((6 / 12) / (51 / 102))) < 1e-12
+
+
+def test_sparse_fit_against_a_plain_solver(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(120):
+        i = np.sort(rng.choice(6, 3, replace=False))
+        v = rng.normal(size=3)
+        rows.append((float(rng.random() < 1 / (1 + np.exp(-(v.sum() + (0 in i))))), float(rng.integers(1, 4)), i.tolist(), v.tolist()))
+    table = spark.createDataFrame(rows, "label double, weight double, i array<int>, v array<double>")
+    scale, l2 = np.array([1.0, 2.0, 0.5, 1.0, 3.0, 1.0]), 0.05
+    for valued in (True, False):
+        weights, intercept = linear.fit_sparse(table if valued else table.drop("v"), scale, l2, iterations=200)
+        x = np.zeros((len(rows), 6))
+        for r, (_, _, i, v) in enumerate(rows):
+            x[r, i] = scale[i] * (v if valued else 1.0)
+        y, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        p = 1 / (1 + np.exp(-(x @ weights + intercept)))
+        # at the least loss its gradient is zero
+        assert np.abs((w * (p - y)) @ x / w.sum() + l2 * weights).max() < 1e-4 and abs((w * (p - y)).sum() / w.sum()) < 1e-4
+
+
+def test_quality_bounds_rows_of_a_hot_key(spark):
+    rows = [(7 if i % 2 else i, f"text number {i}", "s", "en", 12) for i in range(6_000)] + [(None, f"no id {i}", "s", "en", 9) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6_000)] + [(7, 1)] * 3, "doc_id long, quality int")
+    known, pool = quality.training_rows(docs, labels, most=1_000)
+    n = known.count()
+    assert 850 < n < 1_150 and known.where("doc_id = 7").count() > 350
+    assert pool.count() == 50 and pool.where("doc_id is null").count() == 50
+    again, _ = quality.training_rows(docs, labels, most=10**9)
+    assert again.count() == sum(not held_out_id(r[0]) for r in rows[:6_000])
 
 
 def test_quality_on_held_out_rows(tables):
