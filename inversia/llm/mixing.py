@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inversia.llm.shards import shuffle_key
+from inversia.llm.shards import RUN, shuffle_key
 from inversia.llm.workspace import Workspace, word_count
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mixing-1"
@@ -161,7 +161,8 @@ def whole_copies(classes: DataFrame, tilts: DataFrame, space: Workspace, most: i
 
 
 def measured(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED) -> DataFrame:
-    """The rows as ``place_copies`` wants them: ``row`` (a struct), source, size, hash and ties."""
+    """The rows as ``place_copies`` wants them: ``row`` (a struct), source, size, hash, ties, and how
+    many equal rows each stands for."""
     return df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"),
         df[source].cast("string").alias("source"),
@@ -169,49 +170,61 @@ def measured(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
         shuffle_key(df[key], seed).alias("h"),
         df[key].alias("key"),
         F.crc32(F.coalesce(df[text], F.lit(""))).alias("crc"),
+        F.lit(1).cast("long").alias("times"),
     )
 
 
 def place_copies(rows: DataFrame, space: Workspace, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``row``, ``size``, ``source_size``, ``target``, ``copies`` of every measured row.
+    """``row``, ``size``, ``source_size``, ``target``, ``copies`` of every measured row, and the number
+    of rows (``times``) of that row that it holds for.
 
     ``size`` is the number of words of the text (null: 0). Null is a source of its own, the last.
     Equal rows may get different copies, in sum the same on every run. No rows: no rows."""
-    classes = space.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
+    classes = space.keep(rows.groupBy("source", "size").agg(F.sum("times").alias("n")), "classes")
     sums = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = space.keep(targets(sums, weights, most), "targets")
     tilts = balance(classes, goals, space, most)
     decided = whole_copies(classes, tilts, space, most)
-    rows = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
-    parts = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("m"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("h", "crc"), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy("source", "size", "salt").agg(F.sum("times").alias("m"))
     parts = parts.withColumn("before", F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt")) - F.col("m"))
     parts = parts.alias("p").join(decided.alias("d"), F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.size") == F.col("d.size")))
     parts = parts.join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(
         "p.source", "p.size", "salt", "before", "n", "copies", "g.source_size", "g.target"
     )
-    inside = Window.partitionBy("source", "size", "salt").orderBy("h", "key", "crc")
-    ranked = rows.withColumn("rank", F.row_number().over(inside)).alias("r")
+    inside = Window.partitionBy("source", "size", "salt").orderBy("h", "key", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("upto", F.sum("times").over(inside)).alias("r")
     same = F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.salt") == F.col("q.salt"))
-    placed = ranked.join(parts.alias("q"), same).withColumn("place", F.col("rank") + F.col("before"))
-    odd = F.when(F.col("place") <= F.expr("copies % n"), 1).otherwise(0)
-    return placed.select("row", "r.size", "source_size", "target", (F.expr("copies div n") + odd).cast("int").alias("copies"))
+    placed = ranked.join(parts.alias("q"), same)
+    # of the rows that a row stands for, so many get one copy more than the others
+    more = F.least(F.col("times"), F.greatest(F.lit(0).cast("long"), F.expr("copies % n - (upto - times + before)")))
+    each = F.array(F.struct(more.alias("times"), F.expr("cast(copies div n + 1 AS int)").alias("copies")), F.struct((F.col("times") - more).alias("times"), F.expr("cast(copies div n AS int)").alias("copies")))
+    split = placed.select("row", "r.size", "source_size", "target", F.explode(F.filter(each, lambda x: x["times"] > 0)).alias("e"))
+    return split.select("row", "size", "source_size", "target", F.col("e.times").alias("times"), F.col("e.copies").alias("copies"))
 
 
 def mix_documents(df: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, **columns: str) -> DataFrame:
     """The mixture: every row as many times as it has copies, with the input's columns."""
     mixed = place_copies(measured(df, **columns), Workspace(df.sparkSession, "mixing"), weights, most).where("copies > 0")
-    repeated = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # whole rows stand for themselves
     return repeated.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def digest_mix(df: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row; ``taken`` counts repeats.
 
-    What decides is a few numbers a row, written once so that texts are read once."""
+    What decides is a few numbers a row, written once so that texts are read once; rows equal in them
+    are one row and a count, and come back in runs."""
     space = Workspace(df.sparkSession, "mixing")
     rows = measured(df.select("doc_id", "source", "text"))
-    narrow = space.keep(rows.withColumn("row", F.struct(F.col("row.doc_id").alias("doc_id"))), "sizes")
+    narrow = rows.withColumn("row", F.struct(F.col("row.doc_id").alias("doc_id")))
+    equal = [c for c in narrow.columns if c != "times"]
+    narrow = space.keep(narrow.groupBy(*equal).agg(F.sum("times").alias("times")), "sizes")
     mixed = place_copies(narrow, space)
-    return mixed.select(
+    runs = mixed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {RUN}"))))
+    few, many = runs.where(F.col("times") <= RUN), runs.where(F.col("times") > RUN).repartition("run")
+    left = F.least(F.lit(RUN).cast("long"), F.col("times") - F.col("run") * RUN)
+    whole = few.unionByName(many).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return whole.select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )

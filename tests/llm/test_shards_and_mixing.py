@@ -135,3 +135,64 @@ def test_words(spark):
     for i, t in enumerate(texts):
         want = [x.decode() for x in (t or "").encode().split()]
         assert got[i] == (want, len(want))
+
+
+def hot_rows(spark, n=3_000):
+    """Half the rows lack an id, a sixth are one row, the rest differ; two sources."""
+    rows = []
+    for i in range(n):
+        key, text = (None, f"text {i % 900}") if i % 2 else (7, "one and the same") if i % 3 == 0 else (i, f"words {i} " * (1 + i % 4))
+        rows.append((key, text, "s" if i % 5 else "t"))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+
+
+@pytest.mark.parametrize("crowded,run", [(50, 16), (10_000, 4096)])
+def test_hot_ids_are_cut_with_the_same_result(spark, monkeypatch, crowded, run):
+    monkeypatch.setattr(shards, "CROWDED", crowded)
+    monkeypatch.setattr(shards, "RUN", run)
+    df = hot_rows(spark)
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shards.digest_shards(df).collect())
+    by_text = plain_crc_order(df)
+    assert got.keys() == by_text.keys() and got == by_text
+
+
+def plain_crc_order(df):
+    """As ``plain_shards``, with the CRC-32 of the digest's stand-in for the text, which orders equal ids."""
+    import hashlib
+
+    by = defaultdict(list)
+    for r in df.collect():
+        h = int(hashlib.md5(f"{shards.SEED}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:15], 16)
+        crc, size = zlib.crc32(r.text.encode()), len(r.text.encode()) + 1
+        stand_in = f"{crc}:{size}"
+        by[r.source].append((h, r.doc_id is not None, r.doc_id or 0, zlib.crc32(stand_in.encode()), len(stand_in), crc, size))
+    order = sorted(((i + 0.5) / len(own), x[0], source, x[1:]) for source, own in by.items() for i, x in enumerate(sorted(own)))
+    out = Counter()
+    for at, (_, _, _, x) in enumerate(order):
+        shard = at * 16 // len(order)
+        out[x[1] if x[0] else None, x[5], x[4], shard, at - (shard * len(order) + 15) // 16] += 1
+    return out
+
+
+def test_no_ranking_group_holds_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(shards, "CROWDED", 50)
+    df = hot_rows(spark)
+    blank = F.coalesce("text", F.lit(""))
+    rows = df.select("source", shards.shuffle_key(F.col("doc_id"), shards.SEED).alias("h"), F.crc32(blank).alias("crc"), F.lit(1).cast("long").alias("m"))
+    rows = rows.groupBy("source", "h", "crc").agg(F.sum("m").alias("m")).withColumn("bin", F.floor(F.col("h") / F.lit((1 << 60) // shards.BINS)).cast("int"))
+    groups = shards._cells(rows).groupBy(*shards.CELL).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
+    assert groups < 0.02 * df.count()
+
+
+def test_mix_of_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    df = hot_rows(spark)
+    got = mixing.digest_mix(df).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r.doc_id, len(r.text.split())) for r in df.collect())
+    goals = plain_targets(source_sizes(df))
+    for source, size in source_sizes(df).items():
+        taken = sum(r.taken for r in got if r.source_size == size)
+        assert abs(taken - goals[source]) <= 0.01 * goals[source] + 20
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    again = mixing.digest_mix(df.repartition(3)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
