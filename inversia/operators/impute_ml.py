@@ -30,7 +30,7 @@ from inversia.operators.quantiles import quantile_table
 from inversia.operators.windows import add_lags
 from inversia.plans.layout import settled
 from inversia.plans.series import SeriesSpec
-from inversia.session import shared_folder
+from inversia.session import dropped, staged
 
 log = logging.getLogger(__name__)
 
@@ -177,7 +177,8 @@ def fill_gaps(
 ) -> DataFrame:
     """Fill the variables in order; a model sees the fills of the variables before it and the raw
     values of those after it. All linear fills are one window pass; after each model fill the
-    table is checkpointed to the shared folder, so lineage does not grow with the variables."""
+    table is written to the shared folder in the place of the one before, so that lineage does not
+    grow with the variables."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}: one of {', '.join(METHODS)}")
     wanted = existing(df, variables if variables is not None else sensors)
@@ -201,7 +202,6 @@ def fill_gaps(
     if not by_model:
         return linear_fill(out, spec, simple) if simple else out
     # done[v]: filled values of v, kept beside the raw ones until the models have run
-    shared_folder(df.sparkSession)
     direct = {v: m for v, m in plan.items() if v not in by_model}
     held = out.withColumns({f"_raw_{v}": F.col(v) for v in direct})
     for m, cols in {m: [v for v in direct if direct[v] == m] for m in set(direct.values())}.items():
@@ -218,7 +218,9 @@ def fill_gaps(
         later = set(wanted[wanted.index(v) + 1 :])
         view = held.withColumns({c: F.col(f"_raw_{c}") if c in later else F.col(f"_done_{c}") for c in direct}) if direct else held
         fill = forest_fill if plan[v] == "random_forest" else boosted_fill
-        held = fill(view, spec, v, models, sensors).checkpoint()
+        before, held = held, staged(fill(view, spec, v, models, sensors), "filled")
+        if v != by_model[0]:
+            dropped(before)  # one table is kept, however many variables
     if direct:
         held = held.withColumns({c: F.col(f"_done_{c}") for c in direct})
     return held.select(*df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inversia.functions import calendar, weather
-from inversia.operators import filters, windows
+from inversia.operators import dummies, filters, live_events, windows
 from inversia.plans import jobs
 from inversia.queries.views import (
     HOT,
@@ -23,7 +23,9 @@ from inversia.queries.views import (
     with_station,
 )
 from inversia.plans.series import SeriesSpec
+from inversia.session import staged
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 KEYS = (SITE, TIME, "event_id")
 KEYS_SQL = ", ".join(KEYS)
 STRENGTH = "VT90 - VT05"
@@ -179,6 +181,36 @@ def _events(spec, threshold=0.0):
     return lambda s, d: rounded(windows.inversion_events(station(s, d), spec, F.col("VT90") - F.col("VT05"), threshold))
 
 
+ARRIVALS, LATENESS = 5, 7_200
+
+
+def _arriving(spark, folder):
+    """Rows in five arrivals by time, each row up to two hours late."""
+    st = station(spark, folder, ["VT05", "VT90"]).drop("event_type")
+    # a row's delay decides with which arrival it comes
+    seen = (F.unix_micros(F.col(TIME).cast("timestamp")) / 1e6 + F.col("event_id") % 7200).alias("seen")
+    st = staged(st.select("*", seen), "arriving")
+    low, high = st.agg(F.min("seen"), F.max("seen")).first()
+    width = (high - low) / ARRIVALS
+    parts = [st.where((F.col("seen") >= low + i * width) & ((F.col("seen") < low + (i + 1) * width) | F.lit(i == ARRIVALS - 1))) for i in range(ARRIVALS)]
+    return rounded(live_events.events_of_arrivals(spark, parts, SPEC, F.col("VT90") - F.col("VT05"), 0.0, LATENESS))
+
+
+def _dummies(spark, folder):
+    """Event types by the vocabulary of the events that are no errors."""
+    events = table(spark, folder, "events")
+    words = dummies.vocabulary(events.where("event_type <> 'error'"), ["event_type"], 10)
+    return dummies.add_dummies(events.select("event_id", "event_type"), words)
+
+
+VOCABULARY_SQL = (
+    "WITH c AS (SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'user_id', cast(user_id AS varchar), count(*) FROM events GROUP BY user_id), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS place FROM c) "
+    "SELECT \"column\", value, cast(place AS int) AS place, n FROM p WHERE place <= 4 "
+    "UNION ALL SELECT \"column\", NULL, 5, cast(sum(n) AS bigint) FROM p WHERE place > 4 GROUP BY \"column\""
+)
+
+
 def _build(spark, folder):
     return rounded(jobs.build_features(station(spark, folder).drop("event_type"), SPEC), 4)
 
@@ -344,6 +376,14 @@ QUERIES: dict[str, Query] = {
     "inversion_events": Query(_events(SPEC), _events_sql(SITE)),
     "inversion_events_threshold": Query(_events(SPEC, 1.5), _events_sql(SITE, 1.5)),
     "inversion_events_long_series": Query(_events(HOT), _events_sql("event_type")),
+    "events_incremental": Query(_arriving, _events_sql(SITE)),
+    "site_dummies": Query(
+        _dummies,
+        "SELECT event_id, event_type, " + ", ".join(f"cast(event_type = '{v}' AS int) AS event_type_{v}" for v in EVENT_TYPES if v != "error") + ", cast(event_type = 'error' AS int) AS event_type_other FROM events",
+    ),
+    "dummy_vocabulary": Query(
+        lambda s, d: dummies.vocabulary(table(s, d, "events"), ["event_type", "user_id"], 4), VOCABULARY_SQL
+    ),
     "event_summary": Query(
         lambda s, d: rounded(windows.event_summary(station(s, d), SPEC, F.col("VT90") - F.col("VT05"))),
         with_station(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inversia.operators import impute, impute_ml
 from inversia.plans import jobs
 from inversia.queries.views import HOT, SITE, SPEC, TIME, Query, r, rounded, station, with_station
-from inversia.session import scratch_path
+from inversia.session import scratch_path, staged
 
 KEYS = f"{SITE}, {TIME}, event_id"
 
@@ -127,25 +127,47 @@ def _facts_sql(variable, method, left="0"):
     )
 
 
+def _hidden(st):
+    """Every seventh known cell hidden, its value kept beside it."""
+    hide = F.col("TAIR").isNotNull() & (F.col("event_id") % 7 == 0)
+    return st.withColumns({"truth": F.when(hide, F.col("TAIR")), "TAIR": F.when(~hide, F.col("TAIR"))})
+
+
+def _beats_mean(masked, filled):
+    """Whether hidden cells come back at less than half the squared error of the mean."""
+    mean = masked.agg(F.avg("TAIR")).first()[0]
+    back = filled.where("truth IS NOT NULL AND TAIR IS NOT NULL")
+    return back.agg(F.sum((F.col("truth") - F.col("TAIR")) ** 2) < 0.5 * F.sum((F.col("truth") - mean) ** 2)).first()[0]
+
+
 def _model_fill(fill, method):
     def run(spark, folder):
-        st = _some(spark, folder, "TAIR", "DWPT", "PRES", "RELH", "WSPD")
-        return _facts(st, fill(st, SPEC, "TAIR", SMALL), "TAIR", method)
+        st = staged(_hidden(_some(spark, folder, "TAIR", "DWPT", "PRES", "RELH", "WSPD")), "hidden")
+        filled = staged(fill(st, SPEC, "TAIR", SMALL), "filled")
+        return _facts(st, filled, "TAIR", method).withColumn("beats_mean", F.lit(_beats_mean(st, filled)))
 
     return run
 
 
+def _model_fill_sql(method, left="0"):
+    hidden = _facts_sql("TAIR", f"'{method}'", left).replace("FROM st", "FROM h")
+    return with_station(f", h AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN TAIR END AS TAIR) FROM st) SELECT *, true AS beats_mean FROM ({hidden})")
+
+
 AUTO = ("TAIR", "RELH", "WDIR", "VR05")
 
 
 def _auto(spark, folder):
     """Method and outcome per variable when one model serves all sites."""
-    st = _some(spark, folder, "DWPT", *AUTO)
+    st = staged(_hidden(_some(spark, folder, "DWPT", *AUTO)), "hidden")
     methods = impute_ml.choose_methods(st, SPEC, ["DWPT", *AUTO])
     filled, _, _ = jobs.fill_job(st, SPEC, "auto", SMALL)
+    filled = staged(filled, "filled")
     # directions are compared by presence: the circle turns them into numbers of their own
     parts = [_facts(st, filled, v, methods.get(v)) for v in AUTO]
-    return reduce(DataFrame.unionByName, parts)
+    # short runs are filled linearly, which follows no model
+    learned = _beats_mean(st, filled) if methods.get("TAIR") in ("random_forest", "gradient_boosting") else None
+    return reduce(DataFrame.unionByName, parts).withColumn("beats_mean", F.when(F.col("variable") == "TAIR", F.lit(learned)))
 
 
 def _longest(variable):
@@ -161,8 +183,10 @@ def _auto_sql():
         method = f"CASE WHEN {_longest(v)} = 0 THEN NULL WHEN {_longest(v)} <= 12 THEN 'linear' WHEN {_longest(v)} <= 48 THEN 'random_forest' ELSE 'gradient_boosting' END"
         # the linear fill can do nothing for a site that never reports; runs of 12 are within its reach
         left = f"CASE WHEN {_longest(v)} <= 12 THEN (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM st GROUP BY {SITE} HAVING count({v}) = 0)) ELSE 0 END"
-        parts.append(_facts_sql(v, method, left))
-    return with_station(" UNION ALL ".join(parts))
+        learned = f"CASE WHEN {_longest(v)} > 12 THEN true END" if v == "TAIR" else "NULL"
+        parts.append(f"SELECT *, {learned} AS beats_mean FROM ({_facts_sql(v, method, left)})")
+    whole = " UNION ALL ".join(parts).replace("FROM st", "FROM h")
+    return with_station(f", h AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN TAIR END AS TAIR) FROM st) {whole}")
 
 
 def _auto_by_site(spark, folder):
@@ -212,16 +236,13 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "fill_evaluation": Query(_evaluation, EVALUATION_SQL),
-    "forest_fill": Query(_model_fill(impute_ml.forest_fill, "random_forest"), with_station(_facts_sql("TAIR", "'random_forest'"))),
+    "forest_fill": Query(_model_fill(impute_ml.forest_fill, "random_forest"), _model_fill_sql("random_forest")),
     "boosted_fill": Query(
         _model_fill(impute_ml.boosted_fill, "gradient_boosting"),
         # a series' first row lacks six lags of fourteen features, too many to be filled
-        with_station(
-            _facts_sql(
-                "TAIR",
-                "'gradient_boosting'",
-                f"(SELECT count(*) FROM (SELECT TAIR, row_number() OVER (PARTITION BY {SITE} ORDER BY {TIME}, event_id) AS n FROM st) WHERE n = 1 AND TAIR IS NULL)",
-            )
+        _model_fill_sql(
+            "gradient_boosting",
+            f"(SELECT count(*) FROM (SELECT TAIR, row_number() OVER (PARTITION BY {SITE} ORDER BY {TIME}, event_id) AS n FROM st) WHERE n = 1 AND TAIR IS NULL)",
         ),
     ),
     "auto_fill": Query(_auto, _auto_sql()),

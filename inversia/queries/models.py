@@ -207,28 +207,51 @@ PHI_SQL = (
 TEST_ROWS = "sum(n - floor(n * 0.8e0)) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)"
 
 
+LEARNED = (*FEATURES, "noise")
+
+
+def _learnable(spark, folder):
+    """Training and test rows whose label follows from three of four columns; the fourth is a hash."""
+    noise = F.pmod(F.xxhash64(*LINE_KEYS), F.lit(10_000)) / 10_000.0
+    rows = lines(spark, folder).select(*LINE_KEYS, *FEATURES, noise.alias("noise"), F.expr(FORMULA).cast("double").alias("made"))
+    split = modeling.chronological_split(rows, LINES)
+    made = ml.assemble(split, LEARNED, "made").select(*LINE_KEYS, "features", "label", "is_train")
+    return made.where("is_train"), made.where(~F.col("is_train"))
+
+
+def _better(rows, *by):
+    """Whether predictions miss by less than half of what the mean misses by."""
+    missed = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
+    return rows.groupBy(*by).agg((missed < 0.5 * F.stddev_pop("label")).alias("beats_mean"))
+
+
 def _forest(spark, folder):
-    train, test = _assembled(spark, folder)
+    train, test = _learnable(spark, folder)
     model = ml.fit_forest(train.select("features", "label"), trees=20, depth=6)
-    importance = ml.importance_table(model, FEATURES, train)
-    total = importance.agg(F.round(F.sum("importance"), 6)).first()[0]
-    scored = model.transform(test).agg(F.count("prediction").alias("n"), *modeling.score_columns()).first()
+    importance = ml.importance_table(model, LEARNED, train)
+    shares = {r["feature"]: r["importance"] for r in importance.collect()}
+    scored = model.transform(test)
+    missed = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
+    found = scored.agg(F.count("prediction").alias("n"), (missed < 0.5 * F.stddev_pop("label")).alias("better")).first()
     return importance.select(
         "feature",
         F.col("importance").between(0, 1).alias("in_range"),
-        F.lit(total).alias("total"),
-        F.lit(scored["n"]).cast("bigint").alias("scored_rows"),
-        F.lit(scored["rmse"] >= scored["mae"]).alias("consistent"),
+        F.lit(round(sum(shares.values()), 6)).alias("total"),
+        # what the label follows from is far above the hash
+        (F.col("importance") == F.lit(max(shares.values()))).alias("strongest"),
+        F.lit(shares["noise"] < 0.01 * shares["l_quantity"]).alias("above_noise"),
+        F.lit(found["n"]).cast("bigint").alias("scored_rows"),
+        F.lit(found["better"]).alias("beats_mean"),
     )
 
 
 def _boosted(spark, folder):
-    """Rows that each variant and their stack predict."""
-    train, test = _assembled(spark, folder)
+    """Rows that each variant and their stack predict, and whether they learn."""
+    train, test = _learnable(spark, folder)
     train = staged(train.select(*LINE_KEYS, "features", "label"), "boosted")
     _, predictions = ml.train_all(train, test, LINES, rounds=2, depth=3, folds=3)
     counted = predictions.groupBy("model").agg(F.count("prediction").alias("scored_rows"))
-    return counted.join(ml.evaluate(predictions).select("model", (F.col("rmse") >= F.col("mae")).alias("consistent")), "model")
+    return counted.join(_better(predictions, "model"), "model")
 
 
 def _two_sites(spark, folder, sensors):
@@ -257,12 +280,16 @@ SINKS_SQL = with_station(
 
 def _forecast(sites):
     def run(spark, folder):
-        st = _two_sites(spark, folder, ["TAIR", "PRES", "VT05", "VT20", "VT90"])
+        st = _two_sites(spark, folder, ["TAIR", "WSPD", "PRES", "DWPT", "VT05", "VT20", "VT90"])
         features = staged(jobs.build_features(st, SPEC), "features")
-        columns = ["TAIR", "PRES", "VT05", "VT20", "VT90", "hour_sin", "VT20_lag_1", "VT90_rolling_mean_3"]
+        columns = ["WSPD", "PRES", "VT05", "VT20", "VT90", "hour_sin", "VT20_lag_1", "VT90_rolling_mean_3"]
         asked = None if sites is None else [*sites, "nowhere"]
-        found = jobs.forecast_job(features, SPEC, {"VT20": "VT20_target_1h"}, rounds=2, depth=2, folds=2, columns=columns, sites=asked)
-        counted = found["predictions"].groupBy("site", "target", "model").agg(F.count("prediction").alias("n"))
+        # one target that nothing tells, one step on, and one that the features tell
+        targets = {"VT20": "VT20_target_1h", "DWPT": "DWPT"}
+        found = jobs.forecast_job(features, SPEC, targets, rounds=2, depth=2, folds=2, columns=columns, sites=asked)
+        by = ["site", "target", "model"]
+        counted = found["predictions"].groupBy(*by).agg(F.count("prediction").alias("n"))
+        counted = counted.join(_better(found["predictions"], *by).withColumn("beats_mean", F.when(F.col("target") == "DWPT", F.col("beats_mean"))), by)
         best = found["best"].groupBy("site", "target").agg(F.count("model").alias("best"))
         importance = found["importance"].groupBy("site", "target", "model").agg(F.round(F.sum("importance"), 6).alias("importance"))
         if sites is None:  # one set of models for all sites
@@ -278,24 +305,25 @@ def _forecast(sites):
 def _forecast_sql(failed):
     counts = with_station(
         ", s AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS site FROM st), "
-        f"t AS (SELECT *, lead(VT20) OVER (PARTITION BY site ORDER BY {TIME}, event_id) AS y FROM s), "
-        "c AS (SELECT site, count(*) - floor(count(*) * 0.8e0) AS n FROM t WHERE y IS NOT NULL AND VT90 - VT05 > 0 GROUP BY site), "
+        f"t AS (SELECT site, VT90, VT05, unnest(['VT20', 'DWPT']) AS target, unnest([lead(VT20) OVER (PARTITION BY site ORDER BY {TIME}, event_id), DWPT]) AS y FROM s), "
+        "c AS (SELECT site, target, count(*) - floor(count(*) * 0.8e0) AS n FROM t WHERE y IS NOT NULL AND VT90 - VT05 > 0 GROUP BY site, target), "
         "m AS (SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model) "
-        "SELECT site, 'VT20' AS target, model, cast(n AS bigint) AS n, CASE WHEN model <> 'stacked' THEN 1.0e0 END AS importance, 1 AS best FROM c, m"
+        "SELECT site, target, model, cast(n AS bigint) AS n, CASE WHEN target = 'DWPT' THEN true END AS beats_mean, CASE WHEN model <> 'stacked' THEN 1.0e0 END AS importance, 1 AS best FROM c, m"
     )
-    return counts + (" UNION ALL SELECT 'nowhere', 'VT20', 'none', NULL, NULL, NULL" if failed else "")
+    return counts + ("".join(f" UNION ALL SELECT 'nowhere', '{t}', 'none', NULL, NULL, NULL, NULL" for t in ("VT20", "DWPT")) if failed else "")
 
 
 def _significance(sites, pooled):
     def run(spark, folder):
         """Importance of the sensors and the time for the surface difference; all rows explained."""
-        st = _two_sites(spark, folder, ["TAIR", "PRES", "WSPD", "VT20", "VT90"])
+        st = _two_sites(spark, folder, ["TAIR", "PRES", "WSPD", "VT20", "VT90"]).withColumn("noise", F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000.0)
         found = jobs.significance_job(
             st, SPEC, ["TAIR_VT20"], exclude_inputs=True, pooled=pooled, k=5, sites=sites, trees=5, depth=4, repeats=2, permutations=2
         )
         ranks = found["report"].groupBy("site", "target", "method").agg(
-            F.count("*").alias("reported"), F.max("rank").alias("last_rank"), F.countDistinct("feature").alias("features")
-        )
+            F.count("*").alias("reported"), F.max("rank").alias("last_rank"), F.countDistinct("feature").alias("features"),
+            F.max_by("feature", -F.col("rank")).alias("strongest"),
+        )
         compared = found["comparison"].groupBy("site", "target").agg(F.count("*").alias("compared"))
         return ranks.join(found["explained"], ["site", "target"]).join(compared, ["site", "target"])
 
@@ -310,7 +338,7 @@ def _significance_sql(groups):
         )
     return with_station(
         ", s AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS place, TAIR - VT20 AS d FROM st WHERE TAIR IS NOT NULL), "
-        f"n AS ({' UNION ALL '.join(parts)}) SELECT site, 'TAIR_VT20' AS target, method, 5 AS reported, 5 AS last_rank, 5 AS features, n AS explained_rows, 7 AS compared "
+        f"n AS ({' UNION ALL '.join(parts)}) SELECT site, 'TAIR_VT20' AS target, method, 5 AS reported, 5 AS last_rank, 5 AS features, 'WSPD' AS strongest, n AS explained_rows, 8 AS compared "
         "FROM n, (SELECT unnest(['impurity', 'permutation', 'shapley']) AS method)"
     )
 
@@ -383,7 +411,8 @@ QUERIES: dict[str, Query] = {
     ),
     "forest_importance": Query(
         _forest,
-        f"SELECT unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature, true AS in_range, 1.0e0 AS total, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS consistent",
+        f"SELECT feature, true AS in_range, 1.0e0 AS total, feature = 'l_quantity' AS strongest, true AS above_noise, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS beats_mean "
+        f"FROM (SELECT unnest([{', '.join(repr(f) for f in LEARNED)}]) AS feature)",
     ),
     "shapley_values": Query(lambda s, d: rounded(_shapley(s, d)), PHI_SQL + f"SELECT {KEYS_SQL}, feature, {r('phi', 'phi')} FROM phi"),
     "shapley_importance": Query(
@@ -400,7 +429,7 @@ QUERIES: dict[str, Query] = {
     ),
     "boosted_and_stacked": Query(
         _boosted,
-        f"SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS consistent",
+        f"SELECT unnest(['gbt_row_col', 'gbt_col', 'gbt_full', 'stacked']) AS model, (SELECT cast({TEST_ROWS.replace(' FROM', ' AS bigint) FROM', 1)}) AS scored_rows, true AS beats_mean",
     ),
     "feature_sinks": Query(_feature_sinks, SINKS_SQL),
     "forecast": Query(_forecast(None), _forecast_sql(False)),

@@ -82,16 +82,27 @@ def list_rasters(spark: SparkSession, path: str) -> DataFrame:
     return joined.withColumns(parts).withColumn("error", error)
 
 
-def _open(path: str):
-    """Input file of any filesystem the workers reach, and its path there."""
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The filesystem of a path that the workers reach, and its path there."""
     if path.startswith("file:"):
         path = "file:///" + path[len("file:") :].lstrip("/")
     elif path.startswith("s3a:"):
         path = "s3:" + path[len("s3a:") :]
-    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    """Input file of any filesystem the workers reach."""
+    filesystem, inner = _store(path)
     return filesystem.open_input_file(inner)
 
 
+def open_stream(path: str):
+    """The bytes of a file from its start on, unpacked if its name says that it is packed."""
+    filesystem, inner = _store(path)
+    return filesystem.open_input_stream(inner, compression="detect")
+
+
 def _span(start: float, stop: float, n: int) -> tuple[int, int]:
     """First index and one past the last of the cell centres 0..n-1 within [start, stop]."""
     tolerance = 1e-9

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inversia.functions.coercion import coerce_numeric, finite, with_parsed_time
 from inversia.operators.impute import SENSORS
+from inversia.sources.raster import open_stream
 
+#: Bytes of a file read for its header, files read at once, stores that pyarrow opens.
+HEAD_BYTES, MOST_TASKS, STORES = 1 << 16, 1_000, ("file", "hdfs", "s3", "s3a", "gs", "abfs")
 SITE, COUNTY, TIME = "NetSiteAbbrev", "County", "UTCTimestampCollected"
 
 
@@ -20,15 +25,37 @@ def union_sites(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file, of which no more is read than that needs."""
+    for batch in batches:
+        heads = []
+        for path in batch.column(0).to_pylist():
+            with open_stream(path) as f:
+                line = f.read(HEAD_BYTES)
+                while not (ends := re.search(rb"[\r\n]", line)) and (more := f.read(HEAD_BYTES)):
+                    line += more
+            heads.append(line[: ends.start() if ends else None].decode("utf-8", "replace").removeprefix("\ufeff"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string())], ["file_path", "header"])
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file_path`` and ``header`` of every file: its first bytes, read where pyarrow knows the
+    store, else its lines as Spark reads them."""
+    files = spark.read.format("binaryFile").load(list(paths)).where("length > 0").select(F.col("path").alias("file_path"))  # a listing
+    first = files.first()
+    if first is None or re.match(rf"({'|'.join(STORES)}):", first["file_path"]):
+        return files.repartition(max(1, min(MOST_TASKS, files.count()))).mapInArrow(_first_lines, "file_path string, header string")
+    lines = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    numbered = lines.where("file_block_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    return numbered.groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
+
+
 def header_groups(spark: SparkSession, *paths: str) -> list[list[str]]:
-    """The files under the paths, those with the same header line together.
+    """The files under the paths, those with the same header line together; empty files are left out.
 
     Only first lines reach the driver, one for each file, as a listing of the files would."""
-    lines = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    numbered = lines.where("file_block_start = 0").withColumn("_at", F.monotonically_increasing_id())
-    heads = numbered.groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
     groups: dict[str, list[str]] = {}
-    for row in heads.orderBy("file_path").collect():
+    for row in _headers(spark, paths).orderBy("file_path").collect():
         groups.setdefault(row["header"], []).append(row["file_path"])
     return list(groups.values())
 
