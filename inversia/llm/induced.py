@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY = 64 << 20
+MEMORY = 16 << 20
 BATCH = 1 << 18
 
 

@@ -37,8 +37,10 @@ WIDTH, ANCHOR = 100, 32
 STARTS = WIDTH - ANCHOR + 1
 #: Bytes of text whose anchors are found at once.
 BLOCK = 1 << 20
-#: Bits of the filter that picks stretches to send: a bound on what is broadcast (16 MB).
+#: Bits of the filter that picks stretches to send: a bound on what is broadcast (16 MB); and up to how
+#: many stretches it is used, with under 1 % let through in error. More of them are joined to their texts.
 FILTER_BITS = 27
+MOST_FILTERED = 1 << (FILTER_BITS - 5)
 #: Text of a shard as planned, and classes of an anchor that may be in one.
 SHARD_BYTES, MOST_CLASSES = 4 << 20, 20_000
 LAST = (1 << 63) - 1
@@ -257,43 +259,72 @@ def _texts_of(docs: DataFrame, wanted: np.ndarray, many: np.ndarray | None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, size = [], 0
-            for text, key, tie, anchor, first, last in _open_stretches(batch, *sent.value, False):
-                parts.append((anchor, key, tie, first, text[first : last + WIDTH]))
-                size += last - first + WIDTH
-                if size >= 8 << 20:
-                    yield _pieces(parts)
-                    parts, size = [], 0
-            if parts:
-                yield _pieces(parts)
+            yield from _sent_pieces(_open_stretches(batch, *sent.value, False))
 
-    return docs.mapInArrow(run, "anchor long, key long, tie long, first long, piece binary")
+    return docs.mapInArrow(run, PIECES)
 
 
 def _strings_of(docs: DataFrame, wanted: np.ndarray, many: np.ndarray) -> DataFrame:
     """Every string of the wanted stretches whose anchors have many classes, as a stretch of its own
     under its own hash."""
     sent = docs.sparkSession.sparkContext.broadcast((wanted, many))
-    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, rows = [], 0
-            for text, key, tie, _, first, last in _open_stretches(batch, *sent.value, True):
-                start = np.arange(first, last + 1)
-                own = np.array([digest(text[i : i + WIDTH]) for i in start.tolist()], np.uint64).view(np.int64)
-                n = len(start)
-                parts.append((own, np.zeros(n, np.int64), _pack(start, start, start), np.full(n, key), np.full(n, tie)))
-                rows += n
-                if rows >= COMBINED:
-                    yield _combined(parts)
-                    parts, rows = [], 0
-            if parts:
-                yield _combined(parts)
+            yield from _single_strings(_open_stretches(batch, *sent.value, True))
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _single_strings(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Each string of the stretches as a stretch of its own; its 128-bit hash is its anchor and class."""
+    digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
+    parts, rows = [], 0
+    for text, key, tie, _, first, last in found:
+        start = np.arange(first, last + 1)
+        hashes = [digest(text[i : i + WIDTH]) for i in start.tolist()]
+        own, rest = (np.array([h >> shift & low for h in hashes], np.uint64).view(np.int64) for shift in (0, 64))
+        n = len(start)
+        parts.append((own, rest, _pack(start, start, start), np.full(n, key), np.full(n, tie)))
+        rows += n
+        if rows >= COMBINED:
+            yield _combined(parts)
+            parts, rows = [], 0
+    if parts:
+        yield _combined(parts)
+
+
+def _with_open(docs: DataFrame, unsure: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """``key``, ``tie``, ``text`` and ``open`` (anchor, place, many: whether the anchor has many classes)
+    of the documents that have open stretches: the exact way where they are too many for a filter."""
+    large = classes.where(F.col("n") > most).select("anchor", F.lit(True).alias("many"))
+    marked = unsure.join(large, "anchor", "left").select("key", "tie", F.struct("anchor", "place", F.coalesce("many", F.lit(False)).alias("many")).alias("one"))
+    by_document = marked.groupBy("key", "tie").agg(F.collect_list("one").alias("open"))  # a document's own stretches
+    return docs.join(by_document, ["key", "tie"]).select("key", "tie", "text", "open.anchor", "open.place", "open.many")
+
+
+def _opened(batch: pa.RecordBatch, of_many: bool) -> Iterator[tuple]:
+    """As ``_open_stretches``, of rows of ``_with_open``."""
+    keys, ties, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))
+    for key, tie, text, anchor, place, many in zip(keys, ties, texts, *(batch.column(c).to_pylist() for c in (3, 4, 5))):
+        _, first, last = _unpack(np.array(place, np.int64))
+        for i in range(len(place)):
+            if many[i] == of_many:
+                yield text, key, tie, anchor[i], int(first[i]), int(last[i])
+
+
+def _sent_pieces(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for text, key, tie, anchor, first, last in found:
+        parts.append((anchor, key, tie, first, text[first : last + WIDTH]))
+        size += last - first + WIDTH
+        if size >= 8 << 20:
+            yield _pieces(parts)
+            parts, size = [], 0
+    if parts:
+        yield _pieces(parts)
+
+
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "key", "tie", "first", "piece"])
@@ -382,6 +413,7 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 RANGES = "key long, tie long, first long, last long"
+PIECES = "anchor long, key long, tie long, first long, piece binary"
 
 
 def _judged(rows: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -406,14 +438,29 @@ def find_repeats(docs: DataFrame, space: Workspace, most: int = MOST_CLASSES) ->
     total, widest = classes.agg(F.sum("n"), F.max("n")).first()
     if not total:
         return found
-    wanted, many = _filter_of(unsure, whole=True), None
-    if widest > most:
-        large = classes.where(F.col("n") > most).select("anchor", *[F.lit(0).cast("long").alias(c) for c in ("place", "key", "tie")])
-        many = _filter_of(large, whole=False)
-        found = found.unionByName(_judged(_strings_of(source, wanted, many), space)[0])
     shards = max(1, total * (WIDTH + STARTS // 2) // SHARD_BYTES)
-    texts = _texts_of(source, wanted, many).repartition(shards, "anchor")
-    return found.unionByName(texts.mapInArrow(_sort_shard, RANGES))
+    if total > MOST_FILTERED:
+        opened = _with_open(source, unsure, classes, most)
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _sent_pieces(_opened(batch, False))
+
+        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _single_strings(_opened(batch, True))
+
+        texts = opened.mapInArrow(pieces, PIECES)
+        if widest > most:
+            found = found.unionByName(_judged(opened.mapInArrow(strings, SCHEMA), space)[0])
+    else:
+        wanted, many = _filter_of(unsure, whole=True), None
+        if widest > most:
+            large = classes.where(F.col("n") > most).select("anchor", *[F.lit(0).cast("long").alias(c) for c in ("place", "key", "tie")])
+            many = _filter_of(large, whole=False)
+            found = found.unionByName(_judged(_strings_of(source, wanted, many), space)[0])
+        texts = _texts_of(source, wanted, many)
+    return found.unionByName(texts.repartition(shards, "anchor").mapInArrow(_sort_shard, RANGES))
 
 
 def cut(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_CLASSES) -> DataFrame:

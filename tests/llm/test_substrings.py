@@ -74,6 +74,41 @@ def test_whole_table(spark):
     assert sum(r[2] for r in got) > 0 and check(documents(spark), most=2) == got
 
 
+@pytest.mark.parametrize("most", [2, substrings.MOST_CLASSES])
+def test_stretches_joined_to_their_texts(spark, monkeypatch, most):
+    """Beyond what the filter is for, the same stretches are sent, to the same result."""
+    with_filter = check(documents(spark), most=most)
+    monkeypatch.setattr(substrings, "MOST_FILTERED", 0)
+    assert check(documents(spark), most=most) == with_filter
+
+
+def test_no_more_text_is_sent_when_joined(spark):
+    from inversia.llm.workspace import Workspace
+
+    space = Workspace(spark, "test")
+    source = substrings.keyed(documents(spark), "doc_id", "text").select("key", "tie", "text")
+    _, unsure = substrings._judged(source.mapInArrow(substrings._stretch_rows, substrings.SCHEMA), space)
+    classes = unsure.groupBy("anchor").count().withColumnRenamed("count", "n")
+    opened = substrings._with_open(source, unsure, classes, 10**9)
+
+    def lengths(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for piece in substrings._sent_pieces(substrings._opened(batch, False)):
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in piece.column(4).to_pylist()], pa.int64())], ["n"])
+
+    joined = opened.mapInArrow(lengths, "n long").agg({"n": "sum"}).first()[0]
+    filtered = substrings._texts_of(source, substrings._filter_of(unsure, whole=True), None).selectExpr("length(piece) as n").agg({"n": "sum"}).first()[0]
+    assert 0 < joined <= filtered
+
+
+def test_a_shard_above_the_queues_memory_goes_to_disk():
+    rng = random.Random(13)
+    text = "\xff".join(sentence(rng, 60) for _ in range(40)).encode("latin-1")
+    check_order(text * 2, 100, memory=1 << 12)
+
+
 def test_types_are_told_across_blocks(monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(induced, "BATCH", 4)
