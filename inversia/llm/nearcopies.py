@@ -6,12 +6,16 @@ the sets themselves. Candidates come from two searches:
 * **SimHash.** Fingerprints linked by BK-trees (see ``simhash``) find copies and light edits cheaply.
 * **Heads.** Of two sets that are alike enough, the first ``n - ceil(THRESHOLD n) + 1`` shingles of
   each, in any order that holds for all sets, have one in common. The order is by hash; shingles that
-  lead more than MOST heads (a passage that many texts share) are moved to its end and the heads they
-  were in are drawn again, so that such a shingle counts only for texts that hold little else.
+  lead more than MOST heads (a passage that some texts share) are moved to its end and the heads they
+  were in are drawn again, so that such a shingle counts only for texts that hold little else. Any
+  order is right: which shingles are moved decides how many candidates there are, not what is found.
 
-Texts that share a head shingle are first compared with the smallest and the largest of them. What
-that connects needs no further comparison, so of a large group of near copies only what stands apart
-is compared with the rest. Equal texts are one node, by a digest of 128 bits."""
+Texts that share a head shingle are first paired with the smallest and the largest of them. Of two
+texts the one whose head ends first in the order has no shared shingle in it that the other's head
+lacks; so the number of shared head shingles says how many the texts can share at most, and pairs
+that fall short are dropped unread. What the others connect needs no further comparison, so of a
+large group of near copies only what stands apart is compared with the rest. Equal texts are one
+node, by a digest of 128 bits."""
 
 from __future__ import annotations
 
@@ -28,10 +32,12 @@ from inversia.llm.simhash import near_links
 from inversia.llm.workspace import Workspace, bytes_of, per_batch
 
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
-#: A shingle that leads more heads is moved to the end of the order, this often at most.
-MOST, ROUNDS = 64, 2
-#: Tables of ids or hashes are sent to every task up to so many bytes; larger ones are shuffled.
-MOST_SENT = 32 << 20
+#: A shingle that leads more heads is moved to the end of the order, in so many rounds, so many in a
+#: round at most (the most common ones; they are sent to every task).
+MOST, ROUNDS, MOVED = 3, 2, 1 << 20
+#: Tables of ids are sent to every task up to so many bytes, arrays of hashes up to so many of them;
+#: larger ones are shuffled.
+MOST_SENT, MOST_HASHES = 8 << 20, 4 << 20
 #: The head of a text without words.
 WORDLESS = 0
 HASHED = 1 << 15
@@ -72,24 +78,24 @@ def _digests(text: Column) -> list[Column]:
 
 def scanned(df: DataFrame, key: str, text: str, threshold: float, shingle: int) -> DataFrame:
     """``key``, ``row`` (a hash of the whole row), ``t1``, ``t2``, ``fp``, ``n`` (different shingles),
-    ``head`` (the smallest of them) of every row; one pass over the texts."""
-    narrow = df.select(df[key].alias("key"), F.xxhash64(*[df[c] for c in df.columns]).alias("row"), *_digests(df[text]), df[text].alias("text"))
+    ``front`` (the smallest of them, twice as many as a head) of every row; one pass over the texts."""
+    narrow = df.select(df[key].alias("key"), _row(df), *_digests(df[text]), df[text].alias("text"))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sizes, heads = [], [], []
+            fps, sizes, fronts = [], [], []
             for body in bytes_of(batch.column(4)):
                 hashes = shingle_hashes(body, shingle)
                 own = np.unique(hashes)
                 fps.append(fingerprint_of(hashes))
                 sizes.append(len(own))
-                heads.append(own[: head_length(len(own), threshold)] if len(own) else np.array([WORDLESS], np.int64))
-            columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["key", "row", "t1", "t2", "fp", "n", "head"])
+                fronts.append(own[: 2 * head_length(len(own), threshold)] if len(own) else np.array([WORDLESS], np.int64))
+            columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fronts, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["key", "row", "t1", "t2", "fp", "n", "front"])
 
         return work
 
-    return per_batch(narrow, make, f"key {narrow.schema['key'].dataType.simpleString()}, row long, t1 long, t2 long, fp long, n long, head array<long>")
+    return per_batch(narrow, make, f"key {narrow.schema['key'].dataType.simpleString()}, row long, t1 long, t2 long, fp long, n long, front array<long>")
 
 
 def sent(table: DataFrame, row_bytes: int) -> DataFrame:
@@ -97,9 +103,14 @@ def sent(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= MOST_SENT else table
 
 
+def _row(df: DataFrame) -> Column:
+    return F.xxhash64(*[df[c] for c in df.columns]).alias("row")
+
+
 def _sets(df: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``t1``, ``t2``, ``found`` (the different shingle hashes, ascending) of the texts wanted, once each."""
-    texts = df.select(*_digests(df[text]), df[text].alias("text")).join(sent(wanted, 48), ["t1", "t2"], "left_semi")
+    """``t1``, ``t2``, ``found`` (the different shingle hashes, ascending) of the texts wanted (``t1, t2,
+    row``: one row that has the text). Rows that are equal in all columns give their text again."""
+    texts = df.select(*_digests(df[text]), _row(df), df[text].alias("text")).join(sent(wanted, 64), ["t1", "t2", "row"], "left_semi")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -108,48 +119,107 @@ def _sets(df: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFram
 
         return work
 
-    once = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    return per_batch(once, make, "t1 long, t2 long, found array<long>")
+    return per_batch(texts.select("t1", "t2", "text"), make, "t1 long, t2 long, found array<long>")
 
 
-def _heads(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``h``, ``t1``, ``t2``, ``n`` of every head shingle, and per shared ``h`` its number of heads
-    ``c`` and the smallest and largest of their texts, ``lo`` and ``hi``."""
-    heads = nodes.select(F.explode("head").alias("h"), "t1", "t2", "n")
-    common: DataFrame | None = None
-    node = F.struct("n", "t1", "t2")
+def _is_late(hashes: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the sorted array ``late``."""
+    if not len(late):
+        return np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+    return late[at] == hashes
+
+
+def _drawn(table: DataFrame, late: np.ndarray, threshold: float, whole: bool, kept: np.ndarray | None = None) -> DataFrame:
+    """``t1``, ``t2``, ``n``, ``head`` from the ascending hashes of each row (``t1, t2, n, hashes``);
+    of the head only hashes that are in ``kept``, if that is given.
+
+    Unless the hashes are the ``whole`` set, a head that they don't suffice for is null."""
+    held = table.sparkSession.sparkContext.broadcast((late, kept))  # of bounded lengths
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        late, kept = held.value
+
+        def head(n: int, own: np.ndarray) -> np.ndarray | None:
+            length = head_length(n, threshold) if n else 1
+            moved = _is_late(own, late)
+            first = own[~moved][:length]
+            if len(first) < length:
+                if not whole and len(own) < n:
+                    return None
+                first = np.concatenate([first, own[moved]])[:length]
+            return first if kept is None else first[_is_late(first, kept)]
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            heads = [head(n, hashes.values.to_numpy()) for n, hashes in zip(batch.column(2).to_pylist(), batch.column(3))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.list_(pa.int64()))], ["t1", "t2", "n", "head"])
+
+        return work
+
+    return per_batch(table, make, "t1 long, t2 long, n long, head array<long>")
+
+
+def _heads(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, threshold: float, shingle: int) -> DataFrame:
+    """``h``, ``t1``, ``t2``, ``n`` of the head shingles that several texts share."""
+    late = np.empty(0, np.int64)
+    fronts = nodes.select("t1", "t2", "n", "front")
     for turn in range(ROUNDS + 1):
-        shared = heads.groupBy("h").agg(F.count("*").alias("c"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("c > 1")
+        drawn, again = _drawn(fronts, late, threshold, False), None
+        if len(late):
+            # few texts hold so many moved shingles that their front is used up; they are read again
+            short = space.keep(drawn.where("head IS NULL").select("t1", "t2").join(nodes.select("t1", "t2", "row"), ["t1", "t2"]), "short")
+            again = space.keep(_sets(df, text, short, shingle).select("t1", "t2", F.size("found").cast("long").alias("n"), "found"), "again")
+            drawn = drawn.where("head IS NOT NULL").unionByName(_drawn(again, late, threshold, True))
+        shared = drawn.select(F.explode("head").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
         shared = space.keep(shared, "shared")
-        crowded = shared.where((F.col("c") > MOST) & (F.col("h") != WORDLESS)).select("h")
-        if turn == ROUNDS or crowded.isEmpty():
+        if turn == ROUNDS:
             break
-        common = space.keep(crowded if common is None else common.unionByName(crowded).distinct(), "common")
-        moved = space.keep(heads.join(sent(crowded, 24), "h", "left_semi").select("t1", "t2").distinct(), "moved")
-        whole = _sets(df, text, moved, shingle).select("t1", "t2", F.size("found").alias("n"), F.explode("found").alias("h"))
-        late = sent(common.withColumn("late", F.lit(True)), 32)
-        ranked = whole.join(late, "h", "left").groupBy("t1", "t2", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("order"))
-        length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-        again = ranked.select(F.explode(F.slice("order", F.lit(1), length.cast("int"))["h"]).alias("h"), "t1", "t2", F.col("n").cast("long").alias("n"))
-        heads = space.keep(heads.join(sent(moved, 48), ["t1", "t2"], "left_anti").unionByName(again), "heads")
-    return heads, shared
+        crowded = shared.where((F.col("c") > MOST) & (F.col("h") != WORDLESS)).orderBy(F.desc("c"), "h").limit(MOVED).select("h")
+        fresh = np.setdiff1d(crowded.toArrow()["h"].to_numpy(), late)
+        if not len(fresh):
+            break
+        late = np.union1d(late, fresh)
+    if shared.count() <= MOST_HASHES:
+        kept = np.sort(shared.select("h").toArrow()["h"].to_numpy())
+        drawn = _drawn(fronts, late, threshold, False, kept)
+        if again is not None:
+            drawn = drawn.where("head IS NOT NULL").unionByName(_drawn(again, late, threshold, True, kept))
+        return drawn.select(F.explode("head").alias("h"), "t1", "t2", "n")
+    return drawn.select(F.explode("head").alias("h"), "t1", "t2", "n").join(shared.select("h"), "h", "left_semi")
 
 
-PAIR = ["a1", "a2", "b1", "b2"]
+PAIR, SIZES = ["a1", "a2", "b1", "b2"], ["an", "bn"]
 
 
 def _ordered(a: Column, b: Column, threshold: float) -> Column:
     """One pair, the smaller text first, or null if their sizes are too far apart for a link."""
     first, last = F.least(a, b), F.greatest(a, b)
-    pair = F.struct(first["t1"].alias("a1"), first["t2"].alias("a2"), last["t1"].alias("b1"), last["t2"].alias("b2"))
+    ends = zip(("a1", "a2", "an", "b1", "b2", "bn"), (first, first, first, last, last, last), ("t1", "t2", "n", "t1", "t2", "n"))
     near = first["n"] >= last["n"] * threshold - 1e-9
-    return F.when(near & ((first["t1"] != last["t1"]) | (first["t2"] != last["t2"])), pair)
+    return F.when(near & ((first["t1"] != last["t1"]) | (first["t2"] != last["t2"])), F.struct(*[x[f].alias(n) for n, x, f in ends]))
+
+
+def _possible(pairs: DataFrame, hidden: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (with ``s``, shared head shingles that were seen) that may be alike. ``hidden``: for a
+    text, how many of its head shingles more it may share unseen."""
+    for side in ("a", "b"):
+        own = hidden.select(F.col("t1").alias(f"{side}1"), F.col("t2").alias(f"{side}2"), F.col("hidden").alias(f"{side}h"))
+        pairs = pairs.join(own, [f"{side}1", f"{side}2"], "left")
+    shared = F.col("s") + F.least(F.coalesce("ah", F.lit(0)), F.coalesce("bh", F.lit(0)))
+    needed = F.ceil((F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
+
+    def fits(n: Column) -> Column:
+        head = F.when(n > 0, n - F.ceil(n * threshold - 1e-9) + 1).otherwise(1)
+        return head - shared <= n - needed
+
+    return pairs.where(fits(F.col("an")) | fits(F.col("bn"))).select(*PAIR)
 
 
-def _confirmed(df: DataFrame, text: str, pairs: DataFrame, space: Workspace, threshold: float, shingle: int) -> DataFrame:
+def _confirmed(df: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, space: Workspace, threshold: float, shingle: int) -> DataFrame:
     """The pairs that are alike, as links of nodes named by text."""
     ends = pairs.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).unionByName(pairs.select(F.col("b1").alias("t1"), F.col("b2").alias("t2"))).distinct()
-    sets = space.keep(_sets(df, text, space.keep(ends, "ends"), shingle), "sets")
+    ends = space.keep(ends.join(nodes.select("t1", "t2", "row"), ["t1", "t2"]), "ends")
+    sets = space.keep(_sets(df, text, ends, shingle), "sets")
     both = pairs.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"]).select(*PAIR, "x", "y")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +250,20 @@ def _classes(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, thres
     linked = near_links(by_fp.select("fp"), most=4096)
     linked = linked.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(_ordered(F.col("x"), F.col("y"), threshold).alias("pair"))
     # heads: each text with the smallest and the largest of those it shares a shingle with
-    heads, shared = _heads(df, text, nodes, space, threshold, shingle)
-    two = shared.where("c = 2").select(_ordered(F.col("lo"), F.col("hi"), threshold).alias("pair"))
-    more = shared.where("c > 2")
-    members = space.keep(heads.join(sent(more, 96), "h").select("h", node.alias("node"), "lo", "hi"), "members")
-    stars = [members.select(_ordered(F.col("node"), F.col(end), threshold).alias("pair")) for end in ("lo", "hi")]
-    pairs = equal.unionByName(linked).unionByName(two).unionByName(stars[0]).unionByName(stars[1])
-    pairs = space.keep(pairs.where("pair IS NOT NULL").select("pair.*").distinct(), "pairs")
-    links = _confirmed(df, text, pairs, space, threshold, shingle)
+    members = space.keep(_heads(df, text, nodes, space, threshold, shingle).select("h", node.alias("node")), "members")
+    ends = space.keep(members.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")), "ends")
+    two = ends.where("c = 2").select(_ordered(F.col("lo"), F.col("hi"), threshold).alias("pair"))
+    members = space.keep(members.join(sent(ends.where("c > 2"), 96), "h"), "members")
+    low = members.where("node <> lo").select(_ordered(F.col("node"), F.col("lo"), threshold).alias("pair"))
+    high = members.where("node <> lo AND node <> hi").select(_ordered(F.col("node"), F.col("hi"), threshold).alias("pair"))
+    seen = two.unionByName(low).unionByName(high).where("pair IS NOT NULL").select("pair.*")
+    seen = space.keep(seen.groupBy(*PAIR, *SIZES).agg(F.count("*").alias("s")), "seen")
+    # of four and more texts under one shingle not all pairs are seen there
+    members = members.where("c > 3")
+    hidden = space.keep(members.groupBy("node.t1", "node.t2").agg(F.count("*").alias("hidden")).toDF("t1", "t2", "hidden"), "hidden")
+    by_print = equal.unionByName(linked).where("pair IS NOT NULL").select("pair.*").select(*PAIR)
+    pairs = space.keep(_possible(seen, hidden, threshold).unionByName(by_print).distinct(), "pairs")
+    links = _confirmed(df, text, nodes, pairs, space, threshold, shingle)
     labels = space.keep(connected_components(links, space), "labels")
     # what is still apart: pairs of different classes under one shingle
     named = members.select("h", "node", _name("node.t1", "node.t2").alias("name"))
@@ -196,8 +272,9 @@ def _classes(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, thres
     left = placed.join(space.keep(open_, "open"), "h", "left_semi")
     a, b = left.toDF("h", "x", "label_x"), left.toDF("h", "y", "label_y")
     apart = a.join(b, "h").where("label_x <> label_y AND x < y").select(_ordered(F.col("x"), F.col("y"), threshold).alias("pair"))
-    apart = space.keep(apart.where("pair IS NOT NULL").select("pair.*").distinct().join(pairs, PAIR, "left_anti"), "apart")
-    further = _confirmed(df, text, apart, space, threshold, shingle)
+    apart = apart.where("pair IS NOT NULL").select("pair.*").select(*PAIR).distinct()
+    apart = space.keep(apart.join(seen.select(*PAIR), PAIR, "left_anti").join(pairs, PAIR, "left_anti"), "apart")
+    further = _confirmed(df, text, nodes, apart, space, threshold, shingle)
     return space.keep(connected_components(links.unionByName(further), space), "classes")
 
 
@@ -207,7 +284,7 @@ def near_copy_classes(df: DataFrame, key: str = "doc_id", text: str = "text", th
     Null texts are empty texts; texts without words are one class; repeated rows are in one class."""
     space = Workspace(df.sparkSession, "nearcopies")
     rows = space.keep(scanned(df, key, text, threshold, shingle), "scanned")
-    nodes = space.keep(rows.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("fp", "n", "head")]), "nodes")
+    nodes = space.keep(rows.groupBy("t1", "t2").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "n", "front")]), "nodes")
     classes = _classes(df, text, nodes, space, threshold, shingle)
     named = rows.select("key", "row", "t1", "t2", _name("t1", "t2").alias("name"))
     # a text of very many copies is an equi-join side that Spark splits
@@ -226,7 +303,7 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", thr
     same = placed.groupBy("row", "t1", "t2").agg(F.count("*").alias("times")).where("times > 1")
     kept = space.keep(best.join(same, ["row", "t1", "t2"], "left").withColumn("repeated", F.col("times").isNotNull()).drop("times", "k"), "kept")
     whole = F.struct(*[df[c] for c in df.columns]).alias("whole")
-    rows = df.select(whole, F.xxhash64(*[df[c] for c in df.columns]).alias("row"), *_digests(df[text]))
+    rows = df.select(whole, _row(df), *_digests(df[text]))
     found = rows.join(kept, ["row", "t1", "t2"])
     # rows that occur more than once are few kinds: copies meet where they are read
     single = found.where("NOT repeated").select("whole")
