@@ -19,7 +19,7 @@ node, by a digest of 128 bits."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -220,20 +220,11 @@ def _confirmed(df: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, spa
     ends = pairs.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).unionByName(pairs.select(F.col("b1").alias("t1"), F.col("b2").alias("t2"))).distinct()
     ends = space.keep(ends.join(nodes.select("t1", "t2", "row"), ["t1", "t2"]), "ends")
     sets = space.keep(_sets(df, text, ends, shingle), "sets")
-    both = pairs.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"]).select(*PAIR, "x", "y")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            x, y = batch.column(4), batch.column(5)
-            for i in range(len(batch)):
-                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both_have = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(both_have >= threshold * (len(a) + len(b) - both_have) - 1e-9)
-            mask = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], PAIR)
-
-    return space.keep(both.mapInArrow(alike, ", ".join(f"{c} long" for c in PAIR)).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "links")
+    both = pairs.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"])
+    # row by row: sets of long texts would fill an Arrow batch
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9)
+    return space.keep(near.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "links")
 
 
 def _name(t1: str, t2: str) -> Column:
