@@ -238,3 +238,13 @@ def test_shapley_draws_come_from_the_whole_background(spark):
 
 def test_keys_without_site():
     assert SeriesSpec((), "ts").keys == ("ts",)
+
+
+def test_shapley_scores_are_not_shuffled(spark):
+    rows = spark.range(300).select("id", *[((F.col("id") * k) % 7).cast("double").alias(f"x{k}") for k in (1, 3, 5)])
+    rows = ml.assemble(rows.withColumn("y", F.col("x1")), ["x1", "x3", "x5"], "y").select("id", "features")
+    phi = ml.shapley_values(linear_scorer([2.0, 1.0, -1.0]), rows, rows, ["x1", "x3", "x5"], ["id"], permutations=3)
+    # a draw's scores meet where its row is, without a list of them
+    assert "collect_list" not in phi._jdf.queryExecution().optimizedPlan().toString()
+    found = phi.groupBy("id").agg(F.count("*").alias("n")).collect()
+    assert len(found) == 300 and {r.n for r in found} == {3}
