@@ -173,3 +173,16 @@ def test_shapley_values_of_a_forest(spark):
     assert total.agg(F.max(F.abs(F.col("total") - F.col("prediction")))).first()[0] < 1e-9
     ranks = tree_shapley.shapley_ranks(phi).collect()
     assert sorted(r["rank"] for r in ranks) == [1, 2, 3, 4] and {r.feature for r in ranks if r["rank"] <= 2} == {"a", "b"}
+
+
+def test_large_groups_and_variants_grow_the_same_trees(spark, monkeypatch):
+    df = table(spark)
+    sizes = {"p1": Growth(rounds=1, depth=2, rate=0.5, least=2, bins=4, bits=52), "p2": Growth(rounds=2, depth=1, rate=0.5, l2=0.0, bins=4, bits=52)}
+    alone = grouped_trees.fit_boosted(df, ["site"], FEATURES, "y", ["id"], growth=sizes["p2"])[1]
+    # the site of two thirds of the rows sends sums, the others meet in a task
+    monkeypatch.setattr(grouped_trees, "MOST_CELLS", 600)
+    models, out = grouped_trees.fit_variants(df, ["site"], FEATURES, "y", ["id"], None, sizes)
+    assert set(out.columns) == {*df.columns, *sizes} and set(models) == set(sizes)
+    both = out.join(alone.select("id", "prediction"), "id")
+    assert both.where("abs(p2 - prediction) < 1e-9 OR (p2 IS NULL AND prediction IS NULL)").count() == df.count()
+    assert both.where("abs(p1 - p2) > 1e-3").count() > 0
