@@ -14,8 +14,10 @@ Texts that share a head shingle are first paired with the smallest and the large
 texts the one whose head ends first in the order has no shared shingle in it that the other's head
 lacks; so the number of shared head shingles says how many the texts can share at most, and pairs
 that fall short are dropped unread. What the others connect needs no further comparison, so of a
-large group of near copies only what stands apart is compared with the rest. Equal texts are one
-node, by a digest of 128 bits."""
+large group of near copies only what stands apart is compared with the rest: under the first shingle
+that two alike texts share, enough of both must still follow in the order for all that they share. So
+a passage that many texts hold after words of their own pairs none of them. Equal texts are one node,
+by a digest of 128 bits."""
 
 from __future__ import annotations
 
@@ -38,6 +40,8 @@ MOST, ROUNDS, MOVED = 3, 2, 1 << 20
 #: Tables of ids are sent to every task up to so many bytes, arrays of hashes up to so many of them;
 #: larger ones are shuffled.
 MOST_SENT, MOST_HASHES = 8 << 20, 4 << 20
+#: So many shingles before one say whether two texts have met already.
+BEFORE = 16
 #: The head of a text without words.
 WORDLESS = 0
 HASHED = 1 << 15
@@ -131,8 +135,9 @@ def _is_late(hashes: np.ndarray, late: np.ndarray) -> np.ndarray:
 
 
 def _drawn(table: DataFrame, late: np.ndarray, threshold: float, whole: bool, kept: np.ndarray | None = None) -> DataFrame:
-    """``t1``, ``t2``, ``n``, ``head`` from the ascending hashes of each row (``t1, t2, n, hashes``);
-    of the head only hashes that are in ``kept``, if that is given.
+    """``t1``, ``t2``, ``n``, ``head`` and ``place`` (its hashes' places in the set's order, from 0) from
+    the ascending hashes of each row (``t1, t2, n, hashes``); of the head only hashes that are in
+    ``kept``, if that is given.
 
     Unless the hashes are the ``whole`` set, a head that they don't suffice for is null."""
     held = table.sparkSession.sparkContext.broadcast((late, kept))  # of bounded lengths
@@ -140,27 +145,29 @@ def _drawn(table: DataFrame, late: np.ndarray, threshold: float, whole: bool, ke
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         late, kept = held.value
 
-        def head(n: int, own: np.ndarray) -> np.ndarray | None:
+        def head(n: int, own: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
             length = head_length(n, threshold) if n else 1
             moved = _is_late(own, late)
             first = own[~moved][:length]
             if len(first) < length:
                 if not whole and len(own) < n:
-                    return None
+                    return None, None
                 first = np.concatenate([first, own[moved]])[:length]
-            return first if kept is None else first[_is_late(first, kept)]
+            place = np.arange(len(first)) if kept is None else np.flatnonzero(_is_late(first, kept))
+            return first[place], place
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            heads = [head(n, hashes.values.to_numpy()) for n, hashes in zip(batch.column(2).to_pylist(), batch.column(3))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.list_(pa.int64()))], ["t1", "t2", "n", "head"])
+            found = [head(n, hashes.values.to_numpy()) for n, hashes in zip(batch.column(2).to_pylist(), batch.column(3))]
+            columns = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["t1", "t2", "n", "head", "place"])
 
         return work
 
-    return per_batch(table, make, "t1 long, t2 long, n long, head array<long>")
+    return per_batch(table, make, "t1 long, t2 long, n long, head array<long>, place array<long>")
 
 
 def _heads(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, threshold: float, shingle: int) -> DataFrame:
-    """``h``, ``t1``, ``t2``, ``n`` of the head shingles that several texts share."""
+    """``h``, ``place`` (in the text's order), ``t1``, ``t2``, ``n`` of the head shingles that several texts share."""
     late = np.empty(0, np.int64)
     fronts = nodes.select("t1", "t2", "n", "front")
     for turn in range(ROUNDS + 1):
@@ -184,8 +191,12 @@ def _heads(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, thresho
         drawn = _drawn(fronts, late, threshold, False, kept)
         if again is not None:
             drawn = drawn.where("head IS NOT NULL").unionByName(_drawn(again, late, threshold, True, kept))
-        return drawn.select(F.explode("head").alias("h"), "t1", "t2", "n")
-    return drawn.select(F.explode("head").alias("h"), "t1", "t2", "n").join(shared.select("h"), "h", "left_semi")
+        return _one_by_one(drawn)
+    return _one_by_one(drawn).join(shared.select("h"), "h", "left_semi")
+
+
+def _one_by_one(drawn: DataFrame) -> DataFrame:
+    return drawn.select(F.inline(F.arrays_zip(F.col("head").alias("h"), F.col("place").alias("place"))), "t1", "t2", "n")
 
 
 PAIR, SIZES = ["a1", "a2", "b1", "b2"], ["an", "bn"]
@@ -199,6 +210,11 @@ def _ordered(a: Column, b: Column, threshold: float) -> Column:
     return F.when(near & ((first["t1"] != last["t1"]) | (first["t2"] != last["t2"])), F.struct(*[x[f].alias(n) for n, x, f in ends]))
 
 
+def _needed(an: Column, bn: Column, threshold: float) -> Column:
+    """How many shingles two texts of these numbers must share."""
+    return F.ceil((an + bn) * (threshold / (1 + threshold)) - 1e-9)
+
+
 def _possible(pairs: DataFrame, hidden: DataFrame, threshold: float) -> DataFrame:
     """The pairs (with ``s``, shared head shingles that were seen) that may be alike. ``hidden``: for a
     text, how many of its head shingles more it may share unseen."""
@@ -206,7 +222,7 @@ def _possible(pairs: DataFrame, hidden: DataFrame, threshold: float) -> DataFram
         own = hidden.select(F.col("t1").alias(f"{side}1"), F.col("t2").alias(f"{side}2"), F.col("hidden").alias(f"{side}h"))
         pairs = pairs.join(own, [f"{side}1", f"{side}2"], "left")
     shared = F.col("s") + F.least(F.coalesce("ah", F.lit(0)), F.coalesce("bh", F.lit(0)))
-    needed = F.ceil((F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
+    needed = _needed(F.col("an"), F.col("bn"), threshold)
 
     def fits(n: Column) -> Column:
         head = F.when(n > 0, n - F.ceil(n * threshold - 1e-9) + 1).otherwise(1)
@@ -224,7 +240,9 @@ def _confirmed(df: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame, spa
     # row by row: sets of long texts would fill an Arrow batch
     shared = F.size(F.array_intersect("x", "y"))
     near = both.where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9)
-    return space.keep(near.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "links")
+    links = space.keep(near.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "links")
+    space.drop(ends, sets)
+    return links
 
 
 def _name(t1: str, t2: str) -> Column:
@@ -241,7 +259,7 @@ def _classes(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, thres
     linked = near_links(by_fp.select("fp"), most=4096)
     linked = linked.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(_ordered(F.col("x"), F.col("y"), threshold).alias("pair"))
     # heads: each text with the smallest and the largest of those it shares a shingle with
-    members = space.keep(_heads(df, text, nodes, space, threshold, shingle).select("h", node.alias("node")), "members")
+    members = space.keep(_heads(df, text, nodes, space, threshold, shingle).select("h", "place", node.alias("node")), "members")
     ends = space.keep(members.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")), "ends")
     two = ends.where("c = 2").select(_ordered(F.col("lo"), F.col("hi"), threshold).alias("pair"))
     members = space.keep(members.join(sent(ends.where("c > 2"), 96), "h"), "members")
@@ -257,12 +275,21 @@ def _classes(df: DataFrame, text: str, nodes: DataFrame, space: Workspace, thres
     links = _confirmed(df, text, nodes, pairs, space, threshold, shingle)
     labels = space.keep(connected_components(links, space), "labels")
     # what is still apart: pairs of different classes under one shingle
-    named = members.select("h", "node", _name("node.t1", "node.t2").alias("name"))
-    placed = space.keep(named.join(labels, named["name"] == labels["node"], "left").select("h", named["node"], F.coalesce("label", "name").alias("label")), "placed")
+    named = members.select("h", "place", "node", _name("node.t1", "node.t2").alias("name"))
+    placed = space.keep(named.join(labels, named["name"] == labels["node"], "left").select("h", "place", named["node"], F.coalesce("label", "name").alias("label")), "placed")
     open_ = placed.groupBy("h").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("h")
     left = placed.join(space.keep(open_, "open"), "h", "left_semi")
-    a, b = left.toDF("h", "x", "label_x"), left.toDF("h", "y", "label_y")
-    apart = a.join(b, "h").where("label_x <> label_y AND x < y").select(_ordered(F.col("x"), F.col("y"), threshold).alias("pair"))
+    # they meet under the first shingle they share: what follows it in either must suffice for all they
+    # share, and the few shingles just before it have none in common
+    own = left.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("own"))
+    own = own.select("node", "label", "own", F.posexplode("own").alias("i", "e"))
+    before = F.transform(F.slice("own", F.greatest(F.col("i") - BEFORE, F.lit(0)) + 1, F.least(F.col("i"), F.lit(BEFORE))), lambda e: e["h"])
+    left = space.keep(own.select("e.h", "node", "label", (F.col("node.n") - F.col("e.place")).alias("rest"), before.alias("before")), "left")
+    a = left.where(F.col("rest") >= _needed(F.col("node.n"), F.col("node.n"), threshold)).toDF("h", "x", "label_x", "rest_x", "before_x")
+    b = left.toDF("h", "y", "label_y", "rest_y", "before_y")
+    near = (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (F.least("rest_x", "rest_y") >= _needed(F.col("x.n"), F.col("y.n"), threshold))
+    met = a.join(b, "h").where((F.col("label_x") != F.col("label_y")) & (F.col("x") < F.col("y")) & near & ~F.arrays_overlap("before_x", "before_y"))
+    apart = met.select(_ordered(F.col("x"), F.col("y"), threshold).alias("pair"))
     apart = apart.where("pair IS NOT NULL").select("pair.*").select(*PAIR).distinct()
     apart = space.keep(apart.join(seen.select(*PAIR), PAIR, "left_anti").join(pairs, PAIR, "left_anti"), "apart")
     further = _confirmed(df, text, nodes, apart, space, threshold, shingle)
@@ -273,10 +300,14 @@ def near_copy_classes(df: DataFrame, key: str = "doc_id", text: str = "text", th
     """``key``, ``row``, ``t1``, ``t2`` and ``class`` (a name shared by all texts that links reach) of every row.
 
     Null texts are empty texts; texts without words are one class; repeated rows are in one class."""
-    space = Workspace(df.sparkSession, "nearcopies")
+    return _placed(df, key, text, threshold, shingle, Workspace(df.sparkSession, "nearcopies"))
+
+
+def _placed(df: DataFrame, key: str, text: str, threshold: float, shingle: int, space: Workspace) -> DataFrame:
     rows = space.keep(scanned(df, key, text, threshold, shingle), "scanned")
     nodes = space.keep(rows.groupBy("t1", "t2").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "n", "front")]), "nodes")
     classes = _classes(df, text, nodes, space, threshold, shingle)
+    space.clear(rows, classes)
     named = rows.select("key", "row", "t1", "t2", _name("t1", "t2").alias("name"))
     # a text of very many copies is an equi-join side that Spark splits
     return named.join(classes, named["name"] == classes["node"], "left").select("key", "row", "t1", "t2", F.coalesce("label", "name").alias("class"))
@@ -288,11 +319,12 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", thr
 
     It is decided on keys and hashes alone; whole rows move once, to meet the decisions."""
     space = Workspace(df.sparkSession, "nearcopies")
-    placed = space.keep(near_copy_classes(df, key, text, threshold, shingle), "classes")
+    placed = space.keep(_placed(df, key, text, threshold, shingle, space), "classes")
     choice = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row", "t1", "t2")).alias("best")
     best = placed.groupBy("class").agg(choice).select("best.row", "best.t1", "best.t2", F.col("best.key").alias("k"))
     same = placed.groupBy("row", "t1", "t2").agg(F.count("*").alias("times")).where("times > 1")
     kept = space.keep(best.join(same, ["row", "t1", "t2"], "left").withColumn("repeated", F.col("times").isNotNull()).drop("times", "k"), "kept")
+    space.clear(kept)
     whole = F.struct(*[df[c] for c in df.columns]).alias("whole")
     rows = df.select(whole, _row(df), *_digests(df[text]))
     found = rows.join(kept, ["row", "t1", "t2"])

@@ -19,12 +19,13 @@ class Workspace:
     """One run's folder below ``spark.checkpoint.dir``.
 
     ``keep`` writes a table there and returns it as read back, so that a lost executor costs one
-    task and not the lineage; ``drop`` removes a table that nothing will read again. Tables that a
+    task and not the lineage; ``drop`` and ``clear`` remove what nothing will read again. Tables that a
     returned DataFrame still reads stay until the owner of the checkpoint folder clears it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self._made = spark, scratch_path(spark, name), 0
         self._paths: dict[int, str] = {}
+        self._written: list[str] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         self._made += 1
@@ -32,13 +33,22 @@ class Workspace:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = path
+        self._written.append(path)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table)))
+        self._remove([self._paths.pop(id(table)) for table in tables])
+
+    def clear(self, *still_read: DataFrame) -> None:
+        """Remove all tables but those that are still read."""
+        stay = {self._paths[id(table)] for table in still_read}
+        self._remove([path for path in self._written if path not in stay])
+
+    def _remove(self, paths: list[str]) -> None:
+        for name in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._written = [path for path in self._written if path not in paths]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 from inversia.llm import nearcopies
 from tests.llm.messy import empty, messy, sentence
@@ -95,3 +96,35 @@ def test_recall_and_precision_of_the_pipeline_stage(spark):
     kept = {r.text or "" for r in corpus_pipeline.remove_near_copies(spark, df, folder).collect()}
     place = dict(zip(texts, labels))
     assert pairs >= 3 and sorted(place[t] for t in kept) == sorted(set(labels))
+
+
+def test_a_shared_passage_after_own_words_pairs_nothing(spark, monkeypatch):
+    """Forty texts of likeness 0.74: all hold one passage, which is late in the order of each."""
+    monkeypatch.setattr(nearcopies, "ROUNDS", 8)
+    compared, keep = [], nearcopies.Workspace.keep
+
+    def watched(self, df, label):
+        out = keep(self, df, label)
+        if label == "apart":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies.Workspace, "keep", watched)
+    passage = " ".join(f"p{i}" for i in range(88))
+    rows = [(k, " ".join(f"t{k}x{i}" for i in range(11)) + " " + passage) for k in range(40)]
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert compared == [0, 0]
+
+
+def test_only_the_decision_stays_on_disk(spark, monkeypatch):
+    spaces, made = [], nearcopies.Workspace.__init__
+
+    def watched(self, *arguments):
+        made(self, *arguments)
+        spaces.append(self)
+
+    monkeypatch.setattr(nearcopies.Workspace, "__init__", watched)
+    df = messy(spark)
+    kept = nearcopies.drop_near_copies(df)
+    left = sorted(p.name for s in spaces for p in Path(s.root.removeprefix("file:")).glob("*"))
+    assert len(left) == 1 and left[0].endswith("-kept") and kept.count() > 0
