@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inversia.llm.workspace import LONG_ROWS, few_at_once
+
 FIT_TASKS = 4
-#: Rows whose features a pass of ``fit_sparse`` opens at once.
-AT_ONCE = 256
 
 
 def bounded(rows: DataFrame, row: str, most: int) -> DataFrame:
@@ -43,8 +43,8 @@ def fit_sparse(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int =
             (own, intercept), gradient = sent.value, np.zeros(size + 1)
             total, weights = 0.0, 0.0
             for batch in batches:
-                for at in range(0, len(batch), AT_ONCE):
-                    part = batch.slice(at, AT_ONCE)
+                for at in range(0, len(batch), LONG_ROWS):
+                    part = batch.slice(at, LONG_ROWS)
                     y, weight = part.column("label").to_numpy(), part.column("weight").to_numpy()
                     lengths, i = part.column("i").value_lengths().to_numpy(), part.column("i").flatten().to_numpy()
                     row = np.repeat(np.arange(len(y)), lengths)
@@ -57,7 +57,8 @@ def fit_sparse(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int =
                     weights += float(weight.sum())
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights]), pa.array([gradient.tobytes()])], ["loss", "weights", "gradient"])
 
-        found = rows.mapInArrow(sums, "loss double, weights double, gradient binary").collect()
+        with few_at_once(spark):
+            found = rows.mapInArrow(sums, "loss double, weights double, gradient binary").collect()
         sent.destroy()
         n = sum(r["weights"] for r in found)
         gradient = sum(np.frombuffer(r["gradient"]) for r in found) / n

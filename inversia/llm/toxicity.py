@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inversia.llm.decontaminate import small
 from inversia.llm.linear import fit_sparse, sigmoid
 from inversia.llm.ngrams import Presence
-from inversia.llm.workspace import Workspace, held_out, per_batch
+from inversia.llm.workspace import Workspace, few_at_once, held_out, per_batch
 
 LENGTHS, BITS = (4, 5), 18
 SMOOTHING, L2 = 1.0, 1e-3
@@ -45,13 +45,15 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
     rows = labelled.select(labelled[text].alias("text"), labelled[label].cast("double").alias("label"), key.alias("key"))
     rows = rows.where("text is not null and label in (0.0, 1.0)")
 
-    space = Workspace(labelled.sparkSession, "toxicity")
+    spark = labelled.sparkSession
+    space = Workspace(spark, "toxicity")
     texts = space.keep(rows, "texts")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         # log-odds of 6 for the only class seen
         return ToxicityModel(np.zeros(1 << BITS), 6.0 if sizes.get(1.0) else -6.0)
-    counts = presence_counts(texts)
+    with few_at_once(spark):
+        counts = presence_counts(texts)
     ratios = np.where(counts.any(0), log_ratios(counts, (sizes[0.0], sizes[1.0])), 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +62,8 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
             found = pa.array([present(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), found], ["label", "weight", "i"])
 
-    training = space.keep(fitted_rows(texts, sizes, most).mapInArrow(features, "label double, weight double, i array<int>"), "features")
+    with few_at_once(spark):
+        training = space.keep(fitted_rows(texts, sizes, most).mapInArrow(features, "label double, weight double, i array<int>"), "features")
     coefficients, intercept = fit_sparse(training, ratios, L2)
     space.drop(texts, training)
     return ToxicityModel(coefficients * ratios, intercept)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 from inversia.session import scratch_path
 
 FOLDS = 5
+#: Long rows (texts, lists of features) that a task opens at once while a model is fitted.
+LONG_ROWS = 256
 
 
 class Workspace:
@@ -55,6 +58,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = LONG_ROWS) -> Iterator[None]:
+    """Jobs run within read Parquet and send rows to Python so many at a time. Spark's own thousands
+    are many megabytes of long rows, held by reader, Arrow and Python at once."""
+    sizes = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in sizes}
+    try:
+        for name in sizes:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of every text of an Arrow column."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inversia.llm import language, linear, ngrams, quality, toxicity
-from inversia.llm.workspace import held_out, held_out_id, read_table
+from inversia.llm.workspace import LONG_ROWS, few_at_once, held_out, held_out_id, read_table
 from tests.llm.messy import empty, messy
 
 FOLDER = "/root/testdata/sf0.01"
@@ -268,3 +269,24 @@ def test_quality_pseudo_labels_count_repeated_rows_once(spark):
     once = quality.fit_quality(known, unlabelled)
     assert model.rounds == once.rounds and sum(r["rows"] for r in model.rounds) > 0
     assert np.allclose(model.text.weights, once.text.weights, atol=1e-3)
+
+
+def test_a_fit_opens_few_long_rows_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i % 2), 1.0, [i % 7, 7]) for i in range(600)], "label double, weight double, i array<int>").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, collect = spark.conf.get(size), [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: (seen.append(int(spark.conf.get(size))), collect(df))[1])
+    linear.fit_sparse(rows, np.ones(8), 0.1, iterations=2)
+    assert seen and max(seen) <= LONG_ROWS
+    monkeypatch.undo()
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    with few_at_once(spark):
+        found = [r["n"] for r in rows.mapInArrow(lengths, "n long").collect()]
+    assert sum(found) == 600 and max(found) <= LONG_ROWS
+    with pytest.raises(ZeroDivisionError), few_at_once(spark):
+        1 / 0
+    assert spark.conf.get(size) == before
