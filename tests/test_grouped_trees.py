@@ -186,3 +186,26 @@ def test_large_groups_and_variants_grow_the_same_trees(spark, monkeypatch):
     both = out.join(alone.select("id", "prediction"), "id")
     assert both.where("abs(p2 - prediction) < 1e-9 OR (p2 IS NULL AND prediction IS NULL)").count() == df.count()
     assert both.where("abs(p1 - p2) > 1e-3").count() > 0
+
+
+def written(monkeypatch, module):
+    """Names and tables that the module writes from now on."""
+    names, tables, write = [], [], module.staged
+
+    def staged(df, name):
+        names.append(name)
+        tables.append(write(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(module, "staged", staged)
+    return names, tables
+
+
+def test_shapley_values_are_made_once_a_cell(spark, monkeypatch):
+    df = table(spark)
+    model, _ = grouped_trees.fit_boosted(df, ["site"], FEATURES, "y", ["id"], growth=Growth(rounds=1, depth=1, rate=1.0, l2=0.0))
+    names, tables = written(monkeypatch, tree_shapley)
+    found = tree_shapley.tree_shapley(model, df, ["id"])
+    assert found.count() == 400 * len(FEATURES)
+    # one cut a group: two cells of it, one feature of a cell has a value
+    assert max(t.count() for n, t in zip(names, tables) if n == "phi") <= 2 * 3
