@@ -209,3 +209,11 @@ def test_shapley_values_are_made_once_a_cell(spark, monkeypatch):
     assert found.count() == 400 * len(FEATURES)
     # one cut a group: two cells of it, one feature of a cell has a value
     assert max(t.count() for n, t in zip(names, tables) if n == "phi") <= 2 * 3
+
+
+def test_the_last_round_is_not_written(spark, monkeypatch):
+    df = table(spark)
+    names, _ = written(monkeypatch, grouped_trees)
+    _, out = grouped_trees.fit_boosted(df, ["site"], FEATURES, "y", ["id"], growth=Growth(rounds=3, depth=1))
+    assert names.count("round") == 2
+    assert out.where("prediction IS NOT NULL").count() == 400 and "_extra" in out.columns
