@@ -217,3 +217,10 @@ def test_the_last_round_is_not_written(spark, monkeypatch):
     _, out = grouped_trees.fit_boosted(df, ["site"], FEATURES, "y", ["id"], growth=Growth(rounds=3, depth=1))
     assert names.count("round") == 2
     assert out.where("prediction IS NOT NULL").count() == 400 and "_extra" in out.columns
+
+
+def test_a_row_adds_up_its_trees_without_a_shuffle(spark):
+    df = table(spark)
+    _, out = grouped_trees.fit_forests(df, ["site"], FEATURES, "y", ["id"], trees=3, growth=Growth(depth=2, least=2.0, l2=0.0))
+    assert out.where("prediction IS NOT NULL").count() == 400
+    assert "Exchange hashpartitioning(_row" not in out._jdf.queryExecution().executedPlan().toString()
