@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def fit_sparse(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int =
     indices of the features that are present, each of which has the value ``scale[i]``, times its
     entry in ``v`` if there is such a column.
 
-    L-BFGS steps on the mean loss; each is one pass over the (bounded) rows, whose tasks send sums.
+    L-BFGS steps on the mean loss; each is one pass over the (bounded) rows, whose tasks' sums are
+    added up before the driver gets them: it holds one vector a step, however many tasks there are.
     (Spark's own fit scales every feature by its deviation, so that in so many steps rare features,
     most of them noise, take the place of frequent ones.)"""
     size, spark = len(scale), rows.sparkSession
@@ -55,20 +57,36 @@ def fit_sparse(rows: DataFrame, scale: np.ndarray, l2: float, iterations: int =
                     gradient[-1] += error.sum()
                     total += float(weight @ (np.logaddexp(0.0, z) - y * z))
                     weights += float(weight.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights]), pa.array([gradient.tobytes()])], ["loss", "weights", "gradient"])
+            vector = np.concatenate([gradient, [total, weights]])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([vector.tobytes()])], ["part", "vector"])
 
         with few_at_once(spark):
-            found = rows.mapInArrow(sums, "loss double, weights double, gradient binary").collect()
+            vector = added(rows.mapInArrow(sums, "part int, vector binary"))
         sent.destroy()
-        n = sum(r["weights"] for r in found)
-        gradient = sum(np.frombuffer(r["gradient"]) for r in found) / n
-        gradient[:-1] = gradient[:-1] * scale + l2 * w[:-1]
-        return sum(r["loss"] for r in found) / n + l2 / 2 * float(w[:-1] @ w[:-1]), gradient
+        total, n = vector[-2:]
+        gradient = vector[:-2] / n
+        gradient[:-1] *= scale
+        gradient[:-1] += l2 * w[:-1]
+        return float(total / n + l2 / 2 * float(w[:-1] @ w[:-1])), gradient
 
     w = lbfgs(loss, np.zeros(size + 1), iterations)
     return w[:-1], float(w[-1])
 
 
+def added(parts: DataFrame) -> np.ndarray:
+    """The sum of the vectors (``part``, ``vector``: doubles as bytes) of a few tasks, by part, made in
+    one task. It comes as Arrow, which the driver need not turn into rows and pickles of that size."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            found |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(found[i]) for i in sorted(found)).tobytes()])], ["vector"])
+
+    whole = parts.repartition(1).mapInArrow(total, "vector binary").toArrow()
+    return np.frombuffer(whole["vector"][0].as_buffer())
+
+
 def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, iterations: int, tol: float = 1e-6, pairs: int = 10) -> np.ndarray:
     """Where the loss (value and gradient) is least, by limited-memory BFGS with halved steps."""
     value, gradient = loss(w)

@@ -290,3 +290,19 @@ def test_a_fit_opens_few_long_rows_at_once(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError), few_at_once(spark):
         1 / 0
     assert spark.conf.get(size) == before
+
+
+def test_the_driver_gets_one_vector_for_each_step_of_a_fit(spark):
+    size, tasks, rng = 1 << 15, 4, np.random.default_rng(3)
+    rows = [(float(i % 2), 1.0, list(range(size)), rng.normal(size=size).tolist()) for i in range(tasks)]
+    table = spark.createDataFrame(rows, "label double, weight double, i array<int>, v array<double>").repartition(tasks).localCheckpoint()
+    context = spark.sparkContext
+    context.setJobGroup("steps", "")
+    try:
+        linear.fit_sparse(table, rng.random(size), 1e-3, iterations=1)
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("steps")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sent = sorted(context._jsc.sc().statusStore().lastStageAttempt(s).resultSize() for j in jobs for s in j.stageIds if context.statusTracker().getStageInfo(s))
+    assert sent and sent[-1] < 1.5 * 8 * size
