@@ -212,7 +212,20 @@ VOCABULARY_SQL = (
 
 
 def _build(spark, folder):
-    return rounded(jobs.build_features(station(spark, folder).drop("event_type"), SPEC), 4)
+    return _rounded_wide(jobs.build_features(station(spark, folder).drop("event_type"), SPEC), 4)
+
+
+def _rounded_wide(df, digits):
+    """As ``rounded``, by whole numbers: Spark's own goes through a decimal text, which for hundreds of
+    columns costs more than to make them. Values too large for that are rounded by Spark."""
+    scale = float(10**digits)
+
+    def shown(c):
+        near = F.floor(F.abs(c) * scale + 0.5).cast("double") / scale
+        return F.when(F.abs(c) < 1e11, F.when(F.col(c) < 0, 0.0 - near).otherwise(near) + 0.0).otherwise(F.round(c, digits)).alias(c)
+
+    real = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
+    return df.select(*[shown(c) if c in real else F.col(c) for c in df.columns])
 
 
 def _build_sql():
