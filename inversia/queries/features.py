@@ -218,11 +218,11 @@ def _build(spark, folder):
 def _rounded_wide(df, digits):
     """As ``rounded``, by whole numbers: Spark's own goes through a decimal text, which for hundreds of
     columns costs more than to make them. Values too large for that are rounded by Spark."""
-    scale = float(10**digits)
+    scale = f"{10**digits}.0D"
 
-    def shown(c):
-        near = F.floor(F.abs(c) * scale + 0.5).cast("double") / scale
-        return F.when(F.abs(c) < 1e11, F.when(F.col(c) < 0, 0.0 - near).otherwise(near) + 0.0).otherwise(F.round(c, digits)).alias(c)
+    def shown(c):  # one text a column: hundreds of calls for each would take longer than small tables
+        near = f"cast(floor(abs(`{c}`) * {scale} + 0.5D) AS double) / {scale}"
+        return F.expr(f"CASE WHEN abs(`{c}`) < 1e11D THEN CASE WHEN `{c}` < 0 THEN 0D - {near} ELSE {near} END + 0D ELSE round(`{c}`, {digits}) END").alias(c)
 
     real = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
     return df.select(*[shown(c) if c in real else F.col(c) for c in df.columns])
