@@ -76,6 +76,7 @@ def test_every_row_is_drawn_for_itself_and_draws_repeat(spark, monkeypatch):
     # few trees and cells at once: several rounds of drawing and growing
     monkeypatch.setattr(cell_trees, "MOST_TREES", 2)
     monkeypatch.setattr(cell_trees, "CELLS_A_ROW", 50)
+    monkeypatch.setattr(cell_trees, "PACKED_A_ROW", 40)
     monkeypatch.setattr(cell_trees, "ROWS_AT_ONCE", 100)
     df = table(spark)
     variant = {"gbt_row_col": ml.GBTRegressor(maxIter=5, maxDepth=2, subsamplingRate=0.8, maxBins=64, seed=42)}
