@@ -114,6 +114,20 @@ def test_the_stack_learns_from_models_that_did_not_see_the_fold(spark):
     assert sum(r[0] for r in got) == N
 
 
+def test_folds_of_the_split_are_taken_as_they_are(spark, monkeypatch):
+    df = table(spark)
+    split = modeling.chronological_split(df, SPEC, folds=3)
+    made = []
+    real = modeling.contiguous_folds
+    monkeypatch.setattr(modeling, "contiguous_folds", lambda *a: (made.append(1), real(*a))[1])
+    estimators = {"gbt_full": ml.boosted_variants(3, 2)["gbt_full"]}
+    known, apart = (
+        sorted((round(r.label, 9), r.weight, round(r["_p_gbt_full"], 9)) for r in cell_trees.fit_on_cells(t, SPEC, estimators, 3).held.collect())
+        for t in (split.where("is_train"), split.where("is_train").drop("fold"))
+    )
+    assert known == apart and made == [1]
+
+
 def test_rows_of_unseen_cells_are_predicted(spark):
     df = table(spark)
     models_, predictions = ml.train_all(df.where("id % 5 != 0"), df.where("id % 5 = 0").unionByName(table(spark, 40, 9, 12)), SPEC, rounds=3, depth=3, folds=2)
